@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join
+from . import exact_dedup, ngram_join, packing
 
-MODULES = (ngram_join, exact_dedup)
+MODULES = (packing, ngram_join, exact_dedup)
 
 
 def queries() -> dict:
