@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join, packing
+from . import exact_dedup, language_id, ngram_join, packing, quality
 
-MODULES = (packing, ngram_join, exact_dedup)
+MODULES = (packing, ngram_join, language_id, quality, exact_dedup)
 
 
 def queries() -> dict:
