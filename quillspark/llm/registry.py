@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, media, ngram_join, packing, quality
+from . import chat, exact_dedup, language_id, media, mixing, ngram_join, packing, quality
 
-MODULES = (packing, ngram_join, language_id, media, quality, exact_dedup)
+MODULES = (packing, mixing, chat, ngram_join, language_id, media, quality, exact_dedup)
 
 
 def queries() -> dict:
