@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, language_id, media, mixing, ngram_join, packing, quality
+import corpus_pipeline
 
-MODULES = (packing, mixing, chat, ngram_join, language_id, media, quality, exact_dedup)
+from . import chat, exact_dedup, language_id, licenses, media, mixing, ngram_join, packing, quality, url_rules
+
+MODULES = (packing, mixing, chat, ngram_join, language_id, licenses, media, quality, url_rules, exact_dedup)
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
