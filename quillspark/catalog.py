@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import table_queries, text_queries
+
+MODULES = (text_queries, table_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
