@@ -13,10 +13,13 @@ their count. Every set is ordered rare first, then by level. For a set of n toke
   and at most (u - r) + (D - u) unshared ones can part them, so two that follow one another in both prefixes
   remain. Each pair of neighbours in the frequent part is indexed as one combination.
 
-Sharing an indexed key makes a bucket. A bucket of at most SMALL sets yields all its pairs of fitting sizes; a
-larger one a chain and a star, whose members are kept. Pairs are verified on whole sets. Members of a larger
-bucket that are not connected by then are compared block by block, so no link between different sets is lost
-while copies are never expanded into pairs. Equal sets are joined through their digest alone.
+Sharing an indexed key makes a bucket. A bucket of at most SMALL sets yields all its pairs of fitting sizes. In a
+larger one, sets are compared by parity sketches (a bit for each of 2n ranges of hashes: whether it holds an odd
+number of tokens; two sets differ in at least as many tokens as their sketches do in bits): pairs that a sketch
+refutes are never formed, and of the others only a forest of the nearest is verified, on whole texts. Sets of a
+larger bucket that are not connected by then come again, with all pairs between their classes that are neither
+refuted nor verified, so no link between different sets is lost while copies are not expanded into pairs. Equal
+sets are joined through their digest alone.
 
 Defined cases: null or empty text and text without words has an empty set, linked with nothing; fewer words than
 k make one token of the whole sequence; rows that repeat a doc_id stand for one document and each get its class;
@@ -32,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWERED_CODES, documents, flat_text, materialize, mix64, rows_of, span_hashes, word_spans
 from .components import connected_components
@@ -44,6 +48,12 @@ MOST_FREQUENT = 1_000_000
 SMALL = 8
 #: Sets of a large bucket that are compared as one block.
 BLOCK = 512
+#: Large buckets by which a set is compared at first: those of its least keys.
+FIRST_BUCKETS = 3
+#: Bits of the largest sketch.
+MOST_BITS = 1 << 15
+#: Members of one bucket that a task holds before it passes them on.
+BUFFER = 1 << 18
 #: Candidate documents up to which their ids are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -94,8 +104,28 @@ def signatures(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.
 
 # --- counts -----------------------------------------------------------------------------------------------
 
-_COUNT_SCHEMA = "range int, keys binary, doc_id long, n long, digest binary"
-_COUNT_ARROW = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_COUNT_SCHEMA = "range int, keys binary, doc_id long, n long, digest binary, sketch binary"
+_COUNT_ARROW = pa.schema([("range", pa.int32()), ("keys", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens in equal ranges of hashes, 64 ranges at least and about two a token."""
+    if not len(tokens):
+        return b""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length()))
+    odd = np.bincount((tokens >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(rows: list[bytes], size: int) -> np.ndarray:
+    """Sketches of one size or more, brought to that size, a row of 64-bit words each."""
+    out = np.zeros((len(rows), size // 8), np.uint64)
+    for i, r in enumerate(rows):
+        if len(r) > size:
+            odd = np.unpackbits(np.frombuffer(r, np.uint8)).reshape(8 * size, -1).sum(1) & 1
+            r = np.packbits(odd.astype(np.uint8)).tobytes()
+        out[i] = np.frombuffer(r, np.uint64)
+    return out
 
 
 def _count_pass(k: int, range_bits: int):
@@ -120,13 +150,14 @@ def _count_pass(k: int, range_bits: int):
             yield pa.RecordBatch.from_arrays([
                 pa.array([r for r, _ in rows] + spread, pa.int32()), pa.array([b for _, b in rows] + [None] * len(ids), pa.binary()),
                 pa.array(none + ids, pa.int64()), pa.array(none + [len(s) for s in sets], pa.int64()), pa.array(none + digests, pa.binary()),
+                pa.array(none + [sketch(s) for s in sets], pa.binary()),
             ], schema=_COUNT_ARROW)
 
     return run
 
 
-_COUNTED_SCHEMA = "key long, count long, doc_id long, n long, digest binary"
-_COUNTED_ARROW = pa.schema([("key", pa.int64()), ("count", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+_COUNTED_SCHEMA = "key long, count long, doc_id long, n long, digest binary, sketch binary"
+_COUNTED_ARROW = pa.schema([("key", pa.int64()), ("count", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
 
 
 def _counted(rare_below: int):
@@ -135,6 +166,7 @@ def _counted(rare_below: int):
         blobs = table.filter(pa.compute.is_valid(table.column("keys"))).column("keys").to_pylist()
         docs = table.filter(pa.compute.is_null(table.column("keys")))
         keys, counts = np.unique(np.frombuffer(b"".join(blobs), np.uint32), return_counts=True)
+        del blobs
         frequent = counts >= rare_below
         keys, counts = keys[frequent].astype(np.int64) | (r << 32), counts[frequent]
         m, d = len(keys), docs.num_rows
@@ -142,7 +174,7 @@ def _counted(rare_below: int):
         return pa.Table.from_arrays([
             pa.chunked_array([pa.array(keys), none_d]), pa.chunked_array([pa.array(counts.astype(np.int64)), none_d]),
             pa.chunked_array([none_m, *docs.column("doc_id").chunks]), pa.chunked_array([none_m, *docs.column("n").chunks]),
-            pa.chunked_array([pa.nulls(m, pa.binary()), *docs.column("digest").chunks]),
+            pa.chunked_array([pa.nulls(m, pa.binary()), *docs.column("digest").chunks]), pa.chunked_array([pa.nulls(m, pa.binary()), *docs.column("sketch").chunks]),
         ], schema=_COUNTED_ARROW)
 
     return run
@@ -223,6 +255,10 @@ _CAND_ARROW = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("a", pa.int64(
 def _bucket_pass(num: int, den: int, small: int):
     """Sorted (sig, n, doc_id) rows to candidate pairs (a, b) and, of large buckets, members (sig, n, a, null)."""
 
+    def members(sig, n, doc):
+        m = len(sig)
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n), pa.array(doc), pa.nulls(m, pa.int64())], schema=_CAND_ARROW)
+
     def emit(sig, n, doc):
         head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.append(head, len(sig)))
@@ -233,9 +269,6 @@ def _bucket_pass(num: int, den: int, small: int):
             at = _spread(head[few], np.maximum(size[few] - step, 0))
             firsts.append(at)
             seconds.append(at + step)
-        at = _spread(head[~few], size[~few] - 1)
-        firsts += [at, np.repeat(head[~few], size[~few] - 1)]
-        seconds += [at + 1, at + 1]
         x, y = np.concatenate(firsts), np.concatenate(seconds)
         fits = (num * n[y] <= den * n[x]) & (doc[x] != doc[y])
         x, y = doc[x[fits]], doc[y[fits]]
@@ -249,19 +282,18 @@ def _bucket_pass(num: int, den: int, small: int):
             ], schema=_CAND_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, waiting = [np.zeros(0, np.int64)] * 3, 0
+        rest = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             now = [np.concatenate((r, batch.column(i).to_numpy())) for i, r in enumerate(rest)]
             if not len(now[0]):
                 continue
             last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
-            if last == 0 and len(now[0]) > 4 * max(small, 1 << 16):
-                # A bucket beyond a buffer: what is here is chained on; its head stays to go on from.
-                yield from emit(*now)
-                rest = [c[-1:] for c in now]
-                continue
             yield from emit(*(c[:last] for c in now))
             rest = [c[last:] for c in now]
+            if len(rest[0]) > BUFFER:
+                # More than a buffer of one bucket: members; the last small + 1 stay, so that what follows is large too.
+                yield members(*(c[: -small - 1] for c in rest))
+                rest = [c[-small - 1 :] for c in rest]
         if len(rest[0]):
             yield from emit(*rest)
 
@@ -277,48 +309,111 @@ def _spread(head: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(head - before, size) + np.arange(total)
 
 
-def _block_pass(num: int, den: int):
-    """Pairs of two blocks of a bucket that are not connected yet and whose sizes fit."""
+def _nearest_forest(away: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of nearest pairs over rows in classes; away holds distances, or FAR where a pair is none."""
+    _, group = np.unique(comp, return_inverse=True)
+    xs, ys = [], []
+    while True:
+        cross = np.where(group[:, None] != group[None, :], away, _FAR)
+        to = cross.argmin(1)
+        least = cross[np.arange(len(cross)), to]
+        order = np.lexsort((np.arange(len(group)), least, group))
+        first = order[np.concatenate(([True], group[order][1:] != group[order][:-1]))]
+        first = first[least[first] < _FAR]
+        if not len(first):
+            break
+        xs.append(first)
+        ys.append(to[first])
+        root = np.arange(group.max() + 1)
+        for x, y in zip(group[first].tolist(), group[to[first]].tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+        while (root[root] != root).any():
+            root = root[root]
+        group = root[group]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (none, none)
+
+
+_FAR = 1 << 30
+
+
+def _block_pass(num: int, den: int, every: bool):
+    """Pairs in two blocks of a bucket, of different classes and not refuted by sketches: all, or a forest."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         n, doc, comp, block = (table.column(c).to_numpy() for c in ("n", "doc_id", "comp", "block"))
-        same = key[1].as_py() == key[2].as_py()
-        left = np.flatnonzero(block == key[1].as_py())
-        right = left if same else np.flatnonzero(block == key[2].as_py())
-        fits = (comp[left][:, None] != comp[right][None, :]) & (num * np.maximum(n[left][:, None], n[right][None, :]) <= den * np.minimum(n[left][:, None], n[right][None, :]))
-        if same:
-            fits = np.triu(fits, 1)
-        x, y = np.nonzero(fits)
-        x, y = doc[left[x]], doc[right[y]]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        rows = table.column("sketch").to_pylist()
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        away = np.full((len(n), len(n)), _FAR, np.int32)
+        # Sizes that fit differ by less than half, so their sketches are of one size or of neighbouring sizes.
+        for width in np.unique(size).tolist():
+            own = np.flatnonzero((size == width) | (size == 2 * width))
+            words = folded([rows[i] for i in own], width)
+            for a in range(0, len(own), 64):
+                part = own[a : a + 64]
+                bits = np.bitwise_count(words[a : a + 64, None, :] ^ words[None, :, :]).sum(2, dtype=np.int32)
+                most = (den - num) * (n[part][:, None] + n[own][None, :]) // (den + num)
+                fits = (bits <= most) & (num * np.maximum(n[part][:, None], n[own][None, :]) <= den * np.minimum(n[part][:, None], n[own][None, :]))
+                fits &= (size[part] == width)[:, None] | (size[own] == width)[None, :]
+                old = away[np.ix_(part, own)]
+                away[np.ix_(part, own)] = np.where(fits, np.minimum(old, bits), old)
+        away[comp[:, None] == comp[None, :]] = _FAR
+        if key[1].as_py() != key[2].as_py():
+            away[block[:, None] == block[None, :]] = _FAR
+        x, y = np.nonzero(np.triu(away < _FAR, 1)) if every else _nearest_forest(away, comp)
+        x, y = doc[x], doc[y]
+        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
 
     return run
 
 
-# --- verification -----------------------------------------------------------------------------------------
-
+def _refute_pass(num: int, den: int):
+    """Pairs (a, b, n_a, n_b, sketch_a, sketch_b) that the sketches do not refute."""
 
-def _set_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows_of(batches):
-            sets = token_sets(*flat_text(batch), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "tokens"])
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = ((den - num) * (na + nb) // (den + num)).tolist()
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                if len(x) != len(y):
+                    x, y = (folded([z], min(len(x), len(y)))[0].tobytes() for z in (x, y))
+                if (int.from_bytes(x) ^ int.from_bytes(y)).bit_count() <= most[i]:
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def _verify_pass(num: int, den: int):
+# --- verification -----------------------------------------------------------------------------------------
+
+
+def _overlap(left: np.ndarray, right: np.ndarray) -> int:
+    short, long = (left, right) if len(left) <= len(right) else (right, left)
+    if not len(short):
+        return 0
+    at = np.minimum(np.searchsorted(long, short), len(long) - 1)
+    return int((long[at] == short).sum())
+
+
+def _verify_pass(k: int, num: int, den: int):
+    """Rows (a, b, text of b, text of a), those of one a together, to the pairs that are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, last, left = [], None, None
-            for i, (a, x, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+        last, left = None, None
+        for batch in rows_of(batches):
+            keep, first = [], batch.column(batch.schema.get_field_index("text_a"))
+            sets = token_sets(*flat_text(batch), k)
+            for i, (a, right) in enumerate(zip(batch.column(0).to_pylist(), sets, strict=True)):
                 if a != last:
-                    last, left = a, np.frombuffer(x.as_buffer(), np.uint64)
-                right = np.frombuffer(y.as_buffer(), np.uint64)
-                short, long = (left, right) if len(left) <= len(right) else (right, left)
-                at = np.searchsorted(long, short)
-                at[at == len(long)] = 0
-                both = int((long[at] == short).sum()) if len(long) else 0
+                    last = a
+                    left = token_sets(*flat_text(pa.record_batch([first.slice(i, 1)], names=["text"])), k)[0]
+                both = _overlap(left, right)
                 if both and den * both >= num * (len(left) + len(right) - both):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
@@ -327,14 +422,16 @@ def _verify_pass(num: int, den: int):
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough, judged on whole sets."""
+    """The pairs (a, b) that are similar enough, judged on whole texts.
+
+    Texts are moved rather than token sets: compressed they are a fraction of the hashes' size.
+    """
     need = materialize(pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct(), "need")
     small = need.count() <= BROADCAST_IDS
-    texts = _texts(docs).join(F.broadcast(need) if small else need, F.col("doc_id") == F.col("need"), "left_semi")
-    sets = materialize(texts.mapInArrow(_set_pass(k), "doc_id long, tokens binary"), "sets")
-    right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    both = right.join(sets.select(F.col("doc_id").alias("a"), "tokens"), "a").select("a", "b", "tokens", "tokens_b")
-    return materialize(both.mapInArrow(_verify_pass(num, den), "a long, b long"), "links")
+    texts = materialize(_texts(docs).join(F.broadcast(need) if small else need, F.col("doc_id") == F.col("need"), "left_semi"), "texts")
+    right = pairs.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text", "text_a")
+    return materialize(both.mapInArrow(_verify_pass(k, num, den), "a long, b long"), "links")
 
 
 def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare_below: int = RARE_BELOW, small: int = SMALL) -> DataFrame:
@@ -345,31 +442,44 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         _texts(docs).mapInArrow(_count_pass(k, bits), _COUNT_SCHEMA).groupBy("range").applyInArrow(_counted(rare_below), _COUNTED_SCHEMA), "tokens"
     )
     rows = counted.where("key is null").select("doc_id", "n", "digest")
+    sketches = counted.where("key is null and doc_id is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
     frequent = spark.sparkContext.broadcast(_frequent(counted, MOST_FREQUENT))
 
     keys = _texts(docs).mapInArrow(_signature_pass(k, num, den, bits, frequent), "sig long, n long, doc_id long")
     found = materialize(
         keys.repartition("sig").sortWithinPartitions("sig", "n", "doc_id").mapInArrow(_bucket_pass(num, den, small), _CAND_SCHEMA), "candidates"
     )
-    pairs = materialize(found.where("b is not null").select("a", "b").distinct(), "pairs")
-    links = _verified(docs, pairs, k, num, den)
+    members = found.where("b is null").select("sig", F.col("a").alias("doc_id")).distinct()
+    members = materialize(members.join(sketches, "doc_id").select("sig", "n", "doc_id", "sketch"), "members")
+
+    # First: pairs of small buckets, and a forest of each set's first large buckets.
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("sig"))
+    first = members.withColumn("turn", turn).where(F.col("turn") <= FIRST_BUCKETS).withColumn("comp", F.col("doc_id"))
+    close = _in_blocks(first, num, den, every=False)
+    few = found.where("b is not null").select("a", "b").distinct()
+    of = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    drawn = few.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    tested = materialize(drawn.mapInArrow(_refute_pass(num, den), "a long, b long").union(close).distinct(), "pairs")
+    links = _verified(docs, tested, k, num, den)
 
     equal = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1")
     copies = rows.join(equal, "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
-    edges = links.union(copies)
-    classes = materialize(connected_components(edges), "classes")
-
-    members = found.where("b is null").select("sig", "n", F.col("a").alias("doc_id"))
-    placed = members.join(classes, F.col("doc_id") == F.col("id"), "left").select("sig", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
-    torn = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    torn = materialize(torn.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "torn")
-    if not torn.isEmpty():
-        dealt = placed.join(torn, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = dealt.select("*", other).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "n", "doc_id", "comp")
-        more = dealt.groupBy("sig", "x", "y").applyInArrow(_block_pass(num, den), "a long, b long").distinct()
-        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
+    classes = materialize(connected_components(links.union(copies)), "classes")
+
+    # Then: what large buckets still hold apart; the nearest once more, and at last every pair that may be similar.
+    for every in (False, True):
+        placed = members.join(classes, F.col("doc_id") == F.col("id"), "left").select("sig", "n", "doc_id", "sketch", F.coalesce("component_id", "doc_id").alias("comp"))
+        code = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+        torn = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *code).where("lo < hi")
+        torn = torn.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig"))  # one of those with the same members
+        more = _in_blocks(placed.join(torn.select("sig"), "sig", "left_semi"), num, den, every)
+        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            if every:
+                break
+            continue
         further = _verified(docs, more, k, num, den)
+        tested = materialize(tested.union(more), "pairs")
         if not further.isEmpty():
             # The classes so far stand for the links so far.
             edges = classes.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(further)
@@ -379,6 +489,15 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     )
 
 
+def _in_blocks(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of members (sig, n, doc_id, sketch, comp) of the same bucket, compared block by block."""
+    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    columns = ["sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "n", "doc_id", "comp", "sketch"]
+    return dealt.select(*columns).groupBy("sig", "x", "y").applyInArrow(_block_pass(num, den, every), "a long, b long").distinct()
+
+
 def keep_one_of_each_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without those whose class has a smaller doc_id; rows with a null doc_id stay."""
     classes = similar_classes(docs, k, num, den)
