@@ -17,7 +17,7 @@ import pyarrow as pa
 from .common import splitmix, span_hashes, word_spans
 
 #: Distinct pieces kept by a Python worker; beyond, the cache starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 400_000
 
 _OTHER, _LETTER, _DIGIT, _SIGN = 0, 1, 2, 3
 _CLASS = np.full(256, _OTHER, np.uint8)
