@@ -33,6 +33,8 @@ from .tokenize import tokenizer
 WINDOW = 2048
 #: Ids that one bin of the histogram spans, and pieces in a combination at most.
 GRAIN, DEPTH = 8, 3
+#: Cut pieces up to which they are broadcast to the token table, so that no ids are shuffled to code them.
+BROADCAST_CUTS = 200_000
 #: A task's own full windows are numbered from (task + 1) * TASK_SPAN; packed windows stay below TASK_SPAN.
 TASK_SPAN = 1 << 40
 
@@ -259,7 +261,8 @@ def pack_tokens(tokens: DataFrame, window: int = WINDOW, grain: int = GRAIN, dep
     ranked = tokens.drop("ids").join(base, ["task", "rest"], "left")
     pieces = materialize(ranked.withColumn("base", F.coalesce("base", F.lit(0).cast("long"))).mapInArrow(_piece_pass(plan), PIECE_SCHEMA), "pieces")
     cut = pieces.where("ids_crc32 is null").drop("ids_crc32", "doc_id", "doc_tokens")
-    read = cut.join(tokens.select("task", "seq", "doc_id", F.col("n").alias("doc_tokens"), "ids"), ["task", "seq"])
+    small = cut.count() <= BROADCAST_CUTS
+    read = tokens.select("task", "seq", "doc_id", F.col("n").alias("doc_tokens"), "ids").join(F.broadcast(cut) if small else cut, ["task", "seq"])
     part = F.expr(f"substring(ids, cast({id_bytes} * start + 1 as int), cast({id_bytes} * length as int))")
     coded = read.withColumn("part", part).drop("ids").mapInArrow(_crc_pass(id_bytes), PIECE_SCHEMA)
     return pieces.where("ids_crc32 is not null").unionByName(coded)
