@@ -142,7 +142,7 @@ _ITEMS = """i AS (SELECT event_id AS item_no, event_type AS layer, CAST(user_id
 SELECT box_id, count(*) AS n, CAST(sum(item_no) AS BIGINT) AS total FROM b, i WHERE x0 <= bx0 + 3 AND x1 >= bx0 AND y0 <= by0 + 2 AND y1 >= by0 GROUP BY 1""")
 def flt_items_in_boxes(spark, d):
     x, y = (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") * 3 % 90).cast("double")
-    boxes = _t(spark, d, "customer").where("c_custkey <= 150").select(F.col("c_custkey").alias("box_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), x.alias("bx0"), y.alias("by0"), (x + 3).alias("bx1"), (y + 2).alias("by1"))
+    boxes = _t(spark, d, "customer").select(F.col("c_custkey").alias("box_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), x.alias("bx0"), y.alias("by0"), (x + 3).alias("bx1"), (y + 2).alias("by1"))
     return G.in_boxes(_items(spark, d), boxes, 4.0).groupBy("box_id").agg(F.count("*").alias("n"), F.sum("item_no").alias("total"))
 
 
@@ -151,7 +151,7 @@ t AS (SELECT *, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN greatest(0, l
 w AS (SELECT point_id, item_no, sqrt((px - x0 - t * (x1 - x0)) ** 2 + (py - y0 - t * (y1 - y0)) ** 2) AS a FROM t)
 SELECT point_id, round(min(a), 5) AS distance FROM w WHERE a <= 3 GROUP BY 1""")
 def flt_nearest_item(spark, d):
-    points = _t(spark, d, "customer").where("c_custkey <= 150").select(F.col("c_custkey").alias("point_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), (F.col("c_custkey") % 97).cast("double").alias("px"), (F.col("c_custkey") * 5 % 97).cast("double").alias("py"))
+    points = _t(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), (F.col("c_custkey") % 97).cast("double").alias("px"), (F.col("c_custkey") * 5 % 97).cast("double").alias("py"))
     return G.nearest(_items(spark, d), points, 3.0).select("point_id", F.round("distance", 5).alias("distance"))
 
 
