@@ -9,9 +9,14 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 
-def cosine_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, vec_id, sim of unit vectors against a small set of queries (query_id, query)."""
-    return vectors.join(F.broadcast(queries)).select("query_id", "vec_id", "label", X.dot(F.col("embedding"), F.col("query")).alias("sim"))
+#: Queries of one block, which a task holds at a time.
+QUERY_BLOCK = 256
+
+
+def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, sim of unit vectors against all queries (query_id, query), a block of queries by a part of the vectors at a time."""
+    blocks = queries.repartition(max(1, -(-queries.count() // block))).hint("shuffle_replicate_nl")
+    return vectors.crossJoin(blocks).select("query_id", "vec_id", "label", X.dot(F.col("embedding"), F.col("query")).alias("sim"))
 
 
 def best_by_family(scores: DataFrame, family: str = "label") -> DataFrame:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from quillspark.operators import ranking as R
 from quillspark.plans import table_queries as Q
 
 
@@ -42,3 +43,37 @@ def test_nearest_item_of_all_customers(spark, tmp_path):
     got = {r["point_id"]: r["distance"] for r in Q.flt_nearest_item(spark, str(tmp_path)).collect()}
     assert got.keys() == wanted.keys() and max(got) > 150
     assert all(abs(got[c] - wanted[c]) < 2e-5 for c in got)
+
+
+def vectors(spark, folder, n=90):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(n, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v[i]], i % 4) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    v = v.astype(float)
+    return {q: v @ v[q] for q in range(0, n, 20)}
+
+
+def test_ranking_of_all_queries(spark, tmp_path):
+    sims = vectors(spark, tmp_path)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["sim"]) for r in Q.srt_cosine_topk(spark, str(tmp_path)).collect()}
+    assert len(got) == 10 * len(sims)
+    for q, s in sims.items():
+        for rank, i in enumerate(np.argsort(-s, kind="stable")[:10].tolist(), 1):
+            assert got[q, rank][0] == i and abs(got[q, rank][1] - s[i]) < 2e-6
+
+
+def test_family_best_of_all_queries(spark, tmp_path):
+    sims = vectors(spark, tmp_path)
+    got = {(r["query_id"], r["label"]): r["vec_id"] for r in Q.agg_family_best(spark, str(tmp_path)).collect()}
+    assert got == {(q, f): max(range(f, len(s), 4), key=lambda i: s[i]) for q, s in sims.items() for f in range(4)}
+
+
+def test_scores_in_blocks(spark):
+    rows = spark.range(50).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding", "0 as label")
+    queries = rows.selectExpr("vec_id as query_id", "embedding as query")
+    scores = R.cosine_scores(rows, queries, block=7)
+    assert {(r["query_id"], r["vec_id"]): r["sim"] for r in scores.collect()} == {(q, v): q * v + 1.0 for q in range(50) for v in range(50)}
+    assert "Broadcast" not in scores._jdf.queryExecution().toString()
+    assert R.cosine_scores(rows, queries.limit(0)).count() == 0
