@@ -137,7 +137,10 @@ def verified_recipes(found: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """row, doc_id, keep_id, keep_row, group_size, kept, text_sha256 for each row of docs."""
-    found = recipes(docs)
+    return _judged(recipes(docs))
+
+
+def _judged(found: DataFrame) -> DataFrame:
     rows = verified_recipes(found).select("row", "doc_id", "n_code_points", "text_sha256", F.to_json("recipe").alias("recipe"))
     order = F.struct((-F.col("n_code_points")).alias("n"), "doc_id", "row")
     groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
@@ -150,15 +153,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    A doc_id stands for one document here: where ids repeat, one row of each kept id stays.
+    Exactly the rows that exact_duplicates does not keep are dropped. Where ids repeat (null counts as one), they do
+    not tell the rows apart: the rows are written with numbers then, and dropped by these.
     """
-    judged = materialize(exact_duplicates(docs).select("row", "doc_id", "kept"), "exact")
-    dropped = judged.groupBy("doc_id").agg(F.max("kept").alias("any_kept"), F.count("*").alias("n"))
-    gone = dropped.where("not any_kept").select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone")), "left_anti")
-    if dropped.where("n > 1").isEmpty():
-        return left
-    return left.dropDuplicates(["doc_id"])
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = recipes(numbered.select(F.col("_row").alias("doc_id"), "text")).drop("row").withColumnRenamed("doc_id", "row")
+    gone = _judged(materialize(found.join(ids, "row"), "recipes")).where("not kept").select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
