@@ -11,7 +11,7 @@ backslashes and "|" get one backslash more, so no control string can occur in th
 feed in a role is written <|nl|>. The loss mask is a list of spans (start, length, in code points of the formatted
 string) over the texts of assistant turns.
 
-Defined cases: null texts and roles are empty; a node without parent, or whose parent is missing, is a root; nodes
+Defined cases: null texts and roles are empty; the turns with a null conv_id are one conversation; a node without parent, or whose parent is missing, is a root; nodes
 of a cycle, and what hangs on one, are on no path; ties of score go to the smaller leaf; rows that repeat a node repeat its turn; an empty
 table gives an empty result; other columns are not read.
 """
@@ -35,6 +35,13 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, by equal keys; a null conv_id is a conversation like any other."""
+    other = right.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "conv_id" else F.col(k) == F.col(f"_{k}") for k in keys]
+    return left.join(other, same, how).drop(*(f"_{k}" for k in keys))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(conv_id, leaf, node, up): the nodes of each root-to-leaf path, up steps above its leaf.
 
@@ -42,11 +49,11 @@ def paths(nodes: DataFrame) -> DataFrame:
     """
     own = nodes.select("conv_id", "node", "parent").where("node is not null").distinct()
     there = own.select("conv_id", F.col("node").alias("parent")).distinct()
-    linked = own.join(there.withColumn("known", F.lit(True)), ["conv_id", "parent"], "left")
+    linked = _join(own, there.withColumn("known", F.lit(True)), ["conv_id", "parent"], "left")
     jump = materialize(linked.select("conv_id", "node", F.when(F.col("known"), F.col("parent")).alias("above")), "jump")
     roots = jump.where("above is null").select("conv_id", "node")
     inner = jump.where("above is not null").select("conv_id", F.col("above").alias("node")).distinct()
-    leaves = jump.join(inner, ["conv_id", "node"], "left_anti")
+    leaves = _join(jump, inner, ["conv_id", "node"], "left_anti")
     found = leaves.select("conv_id", F.col("node").alias("leaf"), "node", F.lit(0).alias("up"))
     longest = own.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
@@ -54,14 +61,14 @@ def paths(nodes: DataFrame) -> DataFrame:
         step = jump.where("above is not null")
         if step.isEmpty():
             break
-        further = found.join(step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
+        further = _join(found, step, ["conv_id", "node"]).select("conv_id", "leaf", F.col("above").alias("node"), (F.col("up") + reach).alias("up"))
         found = materialize(found.union(further), "paths")
         second = jump.select("conv_id", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = materialize(step.join(second, ["conv_id", "above"], "left").select("conv_id", "node", F.col("next").alias("above")), "jump")
+        jump = materialize(_join(step, second, ["conv_id", "above"], "left").select("conv_id", "node", F.col("next").alias("above")), "jump")
         reach *= 2
     # A leaf that hangs on a cycle never comes to a root.
-    whole = found.join(roots, ["conv_id", "node"], "left_semi").select("conv_id", "leaf").distinct()
-    return found.join(whole, ["conv_id", "leaf"], "left_semi")
+    whole = _join(found, roots, ["conv_id", "node"], "left_semi").select("conv_id", "leaf").distinct()
+    return _join(found, whole, ["conv_id", "leaf"], "left_semi")
 
 
 def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -69,11 +76,11 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     steps = paths(nodes)
     scores = nodes.groupBy("conv_id", "node").agg(F.max("score").alias("score"))
     ranked = (
-        steps.join(scores, ["conv_id", "node"]).groupBy("conv_id", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+        _join(steps, scores, ["conv_id", "node"]).groupBy("conv_id", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
         .withColumn("path_rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("mean"), "leaf")))
         .where(F.col("path_rank") <= branches).select("conv_id", "leaf", "path_rank")
     )
-    return steps.join(ranked, ["conv_id", "leaf"])
+    return _join(steps, ranked, ["conv_id", "leaf"])
 
 
 def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -85,7 +92,7 @@ def format_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     )
     along = Window.partitionBy("conv_id", "leaf").orderBy(F.desc("up"), "head", "body")
     length = F.length("head") + F.length("body") + len(END) + 1
-    placed = chosen_paths(nodes, branches).join(turns, ["conv_id", "node"]).select(
+    placed = _join(chosen_paths(nodes, branches), turns, ["conv_id", "node"]).select(
         "conv_id", "leaf", "path_rank", "loss", "head", "body",
         F.row_number().over(along).alias("at"), (F.sum(length).over(along) - length + F.length("head")).alias("start"),
     )
