@@ -19,9 +19,11 @@ WS_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only where none is configured and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -35,6 +37,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_dir(spark)
+        folders = {f[: f.index("/", len(root) + 1)] for f in df.inputFiles() if f.startswith(root + "/")}
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
@@ -110,33 +123,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(name: str, base: int, n: int) -> np.ndarray:
-    known = _powers.get(name)
-    if known is None or len(known) < n:
-        with np.errstate(over="ignore"):
-            known = np.cumprod(np.full(max(n, 1 << 16), base, np.uint64), dtype=np.uint64)
-        _powers[name] = known
-    return known[:n]
-
-
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of codes[start:end] for many spans, from one running sum.
+    """64-bit hashes of codes[start:end] for spans in rising order that do not overlap.
 
-    The base is odd, so it has an inverse modulo 2**64 and a span's hash is a difference of prefix sums
-    scaled by a power: no loop over spans or characters.
+    Each code is mixed with its place in its span before the codes of a span are summed: no polynomial, so texts of
+    regular build (Thue-Morse words and the like) collide no more often than any others. Differences of one running
+    sum give all spans at once.
     """
     n = len(codes)
     if not len(starts):
         return np.zeros(0, np.uint64)
+    first = np.zeros(n, np.int64)
+    first[starts] = starts
+    np.maximum.accumulate(first, out=first)
+    place = np.subtract(np.arange(n), first, out=first).view(np.uint64)
+    place *= np.uint64(0x9E3779B97F4A7C15)
+    place += codes
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * _power_table("inverse", _INVERSE, n), dtype=np.uint64, out=sums[1:])
-    out = (sums[ends] - sums[starts]) * _power_table("base", _BASE, n + 1)[ends]
-    return mix64(out ^ ((ends - starts).astype(np.uint64) << np.uint64(1)))
+    np.cumsum(mix64(place), dtype=np.uint64, out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) ^ ((ends - starts).astype(np.uint64) << np.uint64(1)))
 
 
 def _byte_codes() -> tuple[np.ndarray, np.ndarray]:

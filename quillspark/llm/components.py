@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         small_in = large.where("u <> v").distinct()
         small = _with_least(small_in)
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        now = materialize(linked.where("u <> v").distinct(), "edges")
+        before, now = now, materialize(linked.where("u <> v").distinct(), "edges")
+        discard(before)
     parent = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct()
     return parent.union(roots)

@@ -14,6 +14,7 @@ columns of the input are not read, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,14 +157,15 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     Exactly the rows that exact_duplicates does not keep are dropped. Where ids repeat (null counts as one), they do
     not tell the rows apart: the rows are written with numbers then, and dropped by these.
     """
+    key = f"row_{uuid.uuid4().hex}"  # no column of the input has this name
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
-    numbered = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    ids = numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = recipes(numbered.select(F.col("_row").alias("doc_id"), "text")).drop("row").withColumnRenamed("doc_id", "row")
-    gone = _judged(materialize(found.join(ids, "row"), "recipes")).where("not kept").select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+        gone = exact_duplicates(docs).where("not kept").select(F.col("doc_id").alias(key))
+        return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(key)), "left_anti")
+    numbered = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    ids = numbered.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = recipes(numbered.select(F.col(key).alias("doc_id"), "text")).drop("row").withColumnRenamed("doc_id", "row")
+    gone = _judged(materialize(found.join(ids, "row"), "recipes")).where("not kept").select(F.col("row").alias(key))
+    return numbered.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

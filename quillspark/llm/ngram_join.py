@@ -8,18 +8,24 @@ their count. Every set is ordered rare first, then by level. For a set of n toke
     D = floor((1 - t) n / t)     tokens in which a partner may differ in all,
 
 * if more than E tokens are rare, the first E + 1 rare ones are indexed singly;
-* else all r rare ones are indexed singly, and the prefix is extended to E + D - r + 2 tokens: when no rare
-  token is shared, S >= E + D - r + 2 - u shared frequent tokens stand in it (u of its tokens are not shared),
-  and at most (u - r) + (D - u) unshared ones can part them, so two that follow one another in both prefixes
-  remain. Each pair of neighbours in the frequent part is indexed as one combination.
-
-Sharing an indexed key makes a bucket. A bucket of at most SMALL sets yields all its pairs of fitting sizes. In a
-larger one, sets are compared by parity sketches (a bit for each of 2n ranges of hashes: whether it holds an odd
-number of tokens; two sets differ in at least as many tokens as their sketches do in bits): pairs that a sketch
-refutes are never formed, and of the others only a forest of the nearest is verified, on whole texts. Sets of a
-larger bucket that are not connected by then come again, with all pairs between their classes that are neither
-refuted nor verified, so no link between different sets is lost while copies are not expanded into pairs. Equal
-sets are joined through their digest alone.
+* else all r rare ones are indexed singly, and the prefix is extended to E - r + (c - 1) (D - r + 1) + 1 frequent
+  tokens, whose runs of c neighbours are indexed as combinations. When no rare token is shared, of the frequent
+  tokens in the prefix of that set whose prefix ends first x <= E - r are not shared, and y more of the partner's
+  stand between them, x + y <= D - r; these part the others into x + y + 1 runs at most, so one run has c tokens or
+  more and is the same in both.
+
+c grows with the set: the largest up to LARGEST for which a set of that size is long enough. Sets near the size
+where c changes are indexed for both, so partners always have one in common.
+
+Sharing an indexed key makes a bucket. A bucket of at most SMALL sets yields all its pairs of fitting sizes. A larger
+one is first dealt into blocks of BLOCK sets of about one size, each with the block's own sets and a pivot of each
+size within reach, so its rows grow with the bucket and not with its square; a forest of the nearest sets in each
+block is verified on whole texts and makes classes. Only then, where a bucket still holds several classes, the sets
+outside its largest class are compared with all its sets of fitting sizes. Comparisons are by parity sketches (a bit
+for each of 2n ranges of hashes: whether it holds an odd number of tokens; two sets differ in at least as many
+tokens as their sketches do in bits), which move only for the sets of a block: pairs that a sketch refutes are never
+formed, and every other pair of different classes is verified, so no link between different sets is lost while
+copies are not expanded into pairs. Equal sets are joined through their digest alone.
 
 Defined cases: null or empty text and text without words has an empty set, linked with nothing; fewer words than
 k make one token of the whole sequence; rows that repeat a doc_id stand for one document and each get its class;
@@ -28,7 +34,10 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +46,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWERED_CODES, documents, flat_text, materialize, mix64, rows_of, span_hashes, word_spans
+from .common import LOWERED_CODES, discard, documents, flat_text, materialize, mix64, rows_of, span_hashes, word_spans
 from .components import connected_components
 
 #: Tokens in fewer documents than this are rare.
 RARE_BELOW = 16
-#: Most frequent tokens that are held by each task; of more, those with lower counts become rare again.
-MOST_FREQUENT = 1_000_000
+#: Tokens of one combination at most.
+LARGEST = 3
+#: Slots of the table of levels that each task holds, a byte each. Tokens that share a slot share its higher level:
+#: any classes of tokens give the same links, so the table needs no more room for a larger corpus.
+LEVEL_SLOTS = 1 << 24
 #: Buckets up to this size yield all their pairs at once.
 SMALL = 8
 #: Sets of a large bucket that are compared as one block.
 BLOCK = 512
+#: Sets of a bucket that one block of the rest is compared with in one task.
+CHUNK = 4096
 #: Large buckets by which a set is compared at first: those of its least keys.
 FIRST_BUCKETS = 3
 #: Bits of the largest sketch.
@@ -56,6 +70,8 @@ MOST_BITS = 1 << 15
 BUFFER = 1 << 18
 #: Candidate documents up to which their ids are broadcast rather than joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bytes of text whose tokens are counted as one range, and the bits of the number of ranges at most.
+RANGE_BYTES, MOST_RANGE_BITS = 1 << 25, 24
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
@@ -86,8 +102,21 @@ def allowed(n, num: int, den: int):
     return n - -(-num * n // den), (den - num) * n // num
 
 
+@cache
+def least_sizes(num: int, den: int) -> tuple[int, ...]:
+    """For c = 1, 2, .. up to LARGEST: the size from which on all sets are long enough for runs of c; fewer entries if none is."""
+    out, tried = [0], 4096
+    for c in range(2, LARGEST + 1):
+        short = [n for n in range(1, tried) if (e := allowed(n, num, den))[0] + (c - 1) * (e[1] + 1) + 1 > n]
+        if short and short[-1] > tried // 2:
+            break
+        # Above the last short one both sides grow in proportion.
+        out.append(max(out[-1], short[-1] + 1 if short else 0))
+    return tuple(out)
+
+
 def signatures(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index keys of one set: single rare tokens and neighbouring pairs of frequent ones."""
+    """Index keys of one set: single rare tokens and runs of neighbouring frequent ones."""
     n = len(tokens)
     lack, differ = allowed(n, num, den)
     if differ == 0:
@@ -95,11 +124,22 @@ def signatures(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.
     rare = tokens[level == 0]
     if len(rare) > lack:
         return rare[: lack + 1]
-    frequent = tokens[level > 0]
-    order = np.argsort(level[level > 0], kind="stable")[: lack + differ - 2 * len(rare) + 2]
-    part = frequent[order]
-    pairs = mix64(part[:-1] * np.uint64(0xBF58476D1CE4E5B9) + part[1:])
-    return np.concatenate((rare, pairs))
+    order = np.argsort(level[level > 0], kind="stable")
+    frequent = tokens[level > 0][order]
+    least = least_sizes(num, den)
+    keys, r = [rare], len(rare)
+    for c, size in enumerate(least, 1):
+        # A partner has num / den of the tokens at least and den / num of them at most.
+        if n < size or (c < len(least) and n * num >= least[c] * den):
+            continue
+        part = frequent[: lack - r + (c - 1) * max(0, differ - r + 1) + 1]
+        m = len(part) - c + 1
+        if m > 0:
+            run = part[:m]
+            for i in range(1, c):
+                run = mix64(run * np.uint64(0xBF58476D1CE4E5B9) + part[i : i + m])
+            keys.append(run if c < 3 else mix64(run + np.uint64(c)))
+    return np.concatenate(keys)
 
 
 # --- counts -----------------------------------------------------------------------------------------------
@@ -184,26 +224,23 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def _range_bits(spark) -> int:
-    """Ranges of the counting shuffle: four a shuffle partition, so a range's tokens fit a task."""
-    return min(24, max(8, (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length()))
+def _range_bits(docs: DataFrame) -> int:
+    """Ranges of the counting shuffle: four a shuffle partition, and as many as keep a range's tokens small."""
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), text // RANGE_BYTES)
+    return min(MOST_RANGE_BITS, max(8, int(most).bit_length()))
 
 
-def _frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and levels of the frequent tokens: at most `most`, the highest levels first."""
-    level = F.floor(F.log2(F.col("count"))).cast("int")
-    keys = counted.where("key is not null").select("key", level.alias("level"))
-    least, total = None, 0
-    for row in sorted(keys.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        if total + row["count"] > most:
-            break
-        least, total = row["level"], total + row["count"]
-    if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint8)
-    found = keys.where(F.col("level") >= least).toArrow()
-    k, lv = found.column("key").to_numpy(), found.column("level").to_numpy().astype(np.uint8)
-    order = np.argsort(k)
-    return k[order], lv[order]
+def _levels(counted: DataFrame, range_bits: int, slots: int) -> np.ndarray:
+    """The level of each slot of tokens: 0 where all are rare."""
+    kept = 32 + range_bits  # bits of a key
+    bits = slots.bit_length() - 1
+    slot = F.shiftrightunsigned("key", kept - bits) if kept > bits else F.shiftleft("key", bits - kept)
+    level = F.floor(F.log2(F.col("count"))).cast("byte")
+    found = counted.where("key is not null").groupBy(slot.cast("int").alias("slot")).agg(F.max(level).alias("level")).toArrow()
+    out = np.zeros(slots, np.uint8)
+    out[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+    return out
 
 
 # --- candidates -------------------------------------------------------------------------------------------
@@ -211,29 +248,20 @@ def _frequent(counted: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
 _SIG_ARROW = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64())])
 
 
-def _signature_pass(k: int, num: int, den: int, range_bits: int, frequent):
+def _signature_pass(k: int, num: int, den: int, levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, levels = frequent.value
-        shift = np.uint64(32 - range_bits)
-        bitmap = np.zeros(1 << 22, bool)
-        down = max(0, 32 + range_bits - 22)
-        bitmap[keys >> down] = True
+        table = levels.value
+        down = np.uint64(64 - len(table).bit_length() + 1)
         seen = set()
         for batch in rows_of(batches):
             ids, sets = batch.column(0).to_pylist(), token_sets(*flat_text(batch), k)
             sigs, ns, owners = [], [], []
             for doc, s in zip(ids, sets, strict=True):
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                if doc is None or d in seen:
+                if d in seen:
                     continue
                 seen.add(d)
-                key = (s >> shift).astype(np.int64)
-                level = np.zeros(len(s), np.uint8)
-                maybe = np.flatnonzero(bitmap[key >> down])
-                if len(maybe):
-                    at = np.minimum(np.searchsorted(keys, key[maybe]), len(keys) - 1)
-                    hit = keys[at] == key[maybe]
-                    level[maybe[hit]] = levels[at[hit]]
+                level = table[(s >> down).astype(np.int64)]
                 own = signatures(s, level, num, den)
                 if len(own):
                     sigs.append(own)
@@ -252,7 +280,7 @@ _CAND_SCHEMA = "sig long, n long, a long, b long"
 _CAND_ARROW = pa.schema([("sig", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _bucket_pass(num: int, den: int, small: int):
+def _bucket_pass(num: int, den: int, small: int, buffer: int):
     """Sorted (sig, n, doc_id) rows to candidate pairs (a, b) and, of large buckets, members (sig, n, a, null)."""
 
     def members(sig, n, doc):
@@ -290,7 +318,7 @@ def _bucket_pass(num: int, den: int, small: int):
             last = int(np.searchsorted(now[0], now[0][-1]))  # the last bucket may go on in the next batch
             yield from emit(*(c[:last] for c in now))
             rest = [c[last:] for c in now]
-            if len(rest[0]) > BUFFER:
+            if len(rest[0]) > buffer:
                 # More than a buffer of one bucket: members; the last small + 1 stay, so that what follows is large too.
                 yield members(*(c[: -small - 1] for c in rest))
                 rest = [c[-small - 1 :] for c in rest]
@@ -341,33 +369,66 @@ def _nearest_forest(away: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.
 _FAR = 1 << 30
 
 
-def _block_pass(num: int, den: int, every: bool):
-    """Pairs in two blocks of a bucket, of different classes and not refuted by sketches: all, or a forest."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        n, doc, comp, block = (table.column(c).to_numpy() for c in ("n", "doc_id", "comp", "block"))
-        rows = table.column("sketch").to_pylist()
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        away = np.full((len(n), len(n)), _FAR, np.int32)
-        # Sizes that fit differ by less than half, so their sketches are of one size or of neighbouring sizes.
-        for width in np.unique(size).tolist():
-            own = np.flatnonzero((size == width) | (size == 2 * width))
-            words = folded([rows[i] for i in own], width)
-            for a in range(0, len(own), 64):
-                part = own[a : a + 64]
-                bits = np.bitwise_count(words[a : a + 64, None, :] ^ words[None, :, :]).sum(2, dtype=np.int32)
-                most = (den - num) * (n[part][:, None] + n[own][None, :]) // (den + num)
-                fits = (bits <= most) & (num * np.maximum(n[part][:, None], n[own][None, :]) <= den * np.minimum(n[part][:, None], n[own][None, :]))
-                fits &= (size[part] == width)[:, None] | (size[own] == width)[None, :]
-                old = away[np.ix_(part, own)]
-                away[np.ix_(part, own)] = np.where(fits, np.minimum(old, bits), old)
-        away[comp[:, None] == comp[None, :]] = _FAR
-        if key[1].as_py() != key[2].as_py():
-            away[block[:, None] == block[None, :]] = _FAR
-        x, y = np.nonzero(np.triu(away < _FAR, 1)) if every else _nearest_forest(away, comp)
-        x, y = doc[x], doc[y]
-        both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+def _distances(n, rows: list[bytes], x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bits in which the sketches of x and y differ, FAR where sizes or sketches refute the pair."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    away = np.full((len(x), len(y)), _FAR, np.int32)
+    # Sizes that fit differ by less than half, so their sketches are of one size or of neighbouring sizes.
+    for width in np.unique(size).tolist():
+        here = [np.flatnonzero((size[part] == width) | (size[part] == 2 * width)) for part in (x, y)]
+        if not len(here[0]) or not len(here[1]):
+            continue
+        words = [folded([rows[i] for i in part[h]], width) for part, h in zip((x, y), here, strict=True)]
+        step = max(1, 4_000_000 // (len(here[1]) * width // 8 + 1))
+        right, own = words[1], y[here[1]]
+        for a in range(0, len(here[0]), step):
+            at = here[0][a : a + step]
+            part = x[at]
+            bits = np.bitwise_count(words[0][a : a + step, None, :] ^ right[None, :, :]).sum(2, dtype=np.int32)
+            most = (den - num) * (n[part][:, None] + n[own][None, :]) // (den + num)
+            fits = (bits <= most) & (num * np.maximum(n[part][:, None], n[own][None, :]) <= den * np.minimum(n[part][:, None], n[own][None, :]))
+            fits &= (size[part] == width)[:, None] | (size[own] == width)[None, :]
+            grid = np.ix_(at, here[1])
+            away[grid] = np.where(fits, np.minimum(away[grid], bits), away[grid])
+    return away
+
+
+def _pairs_of(doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    x, y = doc[x], doc[y]
+    both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+
+
+def _forest_pass(num: int, den: int):
+    """A forest of the nearest pairs of one block (n, doc_id, sketch)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, doc = (table.column(c).to_numpy() for c in ("n", "doc_id"))
+        every = np.arange(len(n))
+        away = _distances(n, table.column("sketch").to_pylist(), every, every, num, den)
+        away[doc[:, None] == doc[None, :]] = _FAR
+        return _pairs_of(doc, *_nearest_forest(away, doc))
+
+    return run
+
+
+def _rest_pass(num: int, den: int, every: bool):
+    """Pairs of a block of the rest with other sets (n, doc_id, comp, rest, sketch) of other classes: all that no sketch refutes, or each one's nearest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        n, doc, comp, rest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "doc_id", "comp", "rest"))
+        x, y = np.flatnonzero(rest), np.flatnonzero(~rest)
+        if not len(x) or not len(y):
+            return _pairs_of(doc, x[:0], y[:0])
+        away = _distances(n, table.column("sketch").to_pylist(), x, y, num, den)
+        away[comp[x][:, None] == comp[y][None, :]] = _FAR
+        if every:
+            i, j = np.nonzero(away < _FAR)
+        else:
+            j = away.argmin(1)
+            i = np.flatnonzero(away[np.arange(len(x)), j] < _FAR)
+            j = j[i]
+        return _pairs_of(doc, x[i], y[j])
 
     return run
 
@@ -434,33 +495,95 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return materialize(both.mapInArrow(_verify_pass(k, num, den), "a long, b long"), "links")
 
 
-def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare_below: int = RARE_BELOW, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs: classes of texts linked at Jaccard >= num / den."""
-    spark = docs.sparkSession
-    bits = _range_bits(spark)
+def _of_class(num: int, den: int):
+    """The size class of n: sets within reach of one another are at most two classes apart."""
+    return F.floor(F.log(F.col("n")) / F.lit(0.5 * log(den / num))).cast("int")
+
+
+def _spread_join(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (with doc_id) joined to a row for each key, with a hot key's rows in SALTS tasks."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+SALTS = 16
+
+
+def _dealt(count, part: int):
+    """How many parts so many sets make, and in which of them a set is."""
+    parts = F.ceil(count / part).cast("int")
+    return parts, lambda seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts")).cast("int")
+
+
+def _first_pairs(members: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a forest in each block of members (sig, n, doc_id); rows grow with the members."""
+    sized = members.withColumn("cls", _of_class(num, den))
+    parts, block = _dealt(F.count("*"), BLOCK)
+    stats = materialize(sized.groupBy("sig", "cls").agg(parts.alias("parts"), F.min("doc_id").alias("pivot")), "blocks")
+    own = _spread_join(sized, stats, ["sig", "cls"]).select("sig", "cls", block(1).alias("block"), "doc_id")
+    near = stats.select("sig", F.explode(F.sequence(F.col("cls"), F.col("cls") + 2)).alias("cls"), F.col("pivot").alias("doc_id"))
+    pivots = near.join(stats.select("sig", "cls", "parts"), ["sig", "cls"])
+    pivots = pivots.select("sig", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "doc_id")
+    blocks = own.union(pivots).join(sketches, "doc_id")
+    return blocks.groupBy("sig", "cls", "block").applyInArrow(_forest_pass(num, den), "a long, b long").distinct()
+
+
+def _rest_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs between classes of one bucket: its sets outside its largest class against all of fitting size."""
+    placed = members.join(classes, F.col("doc_id") == F.col("id"), "left").select("sig", "n", "doc_id", F.coalesce("component_id", "doc_id").alias("comp"))
+    placed = materialize(placed.withColumn("cls", _of_class(num, den)), "placed")
+    code = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    shares = placed.groupBy("sig", "comp").agg(F.count("*").alias("m"), *code)
+    torn = shares.groupBy("sig").agg(
+        F.count("*").alias("classes"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
+    ).where("classes > 1")
+    # One of those with the same members.
+    torn = materialize(torn.groupBy("m", "h1", "h2").agg(F.min_by(F.struct("sig", "main"), "sig").alias("x")).select("x.sig", "x.main"), "torn")
+    held = _spread_join(placed, torn, ["sig"])
+    rest = held.where("comp <> main")
+    parts, block = _dealt(F.count("*"), BLOCK)
+    chunks, _ = _dealt(F.count("*"), CHUNK)
+    rest_sizes = rest.groupBy("sig", "cls").agg(parts.alias("blocks")).withColumn("other", F.explode(F.sequence(F.col("cls") - 2, F.col("cls") + 2)))
+    all_sizes = held.groupBy("sig", F.col("cls").alias("other")).agg(chunks.alias("chunks"))
+    met = materialize(rest_sizes.join(all_sizes, ["sig", "other"]), "met")
+    of_rest = met.groupBy("sig", "cls").agg(F.first("blocks").alias("parts"), F.collect_list(F.struct("other", "chunks")).alias("met"))
+    of_all = met.groupBy("sig", "other").agg(F.first("chunks").alias("parts"), F.collect_list(F.struct(F.col("cls").alias("small"), "blocks")).alias("met"))
+    left = _spread_join(rest, of_rest, ["sig", "cls"]).withColumn("block", block(1)).withColumn("x", F.explode("met"))
+    left = left.select("sig", "cls", "block", F.col("x.other").alias("other"), F.explode(F.sequence(F.lit(0), F.col("x.chunks") - 1)).alias("chunk"), "doc_id", "comp", F.lit(True).alias("rest"))
+    right = _spread_join(held.withColumn("other", F.col("cls")).drop("cls"), of_all, ["sig", "other"]).withColumn("chunk", block(2)).withColumn("x", F.explode("met"))
+    right = right.select("sig", F.col("x.small").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)).alias("block"), "other", "chunk", "doc_id", "comp", F.lit(False).alias("rest"))
+    both = left.unionByName(right).join(sketches, "doc_id")
+    return both.groupBy("sig", "cls", "block", "other", "chunk").applyInArrow(_rest_pass(num, den, every), "a long, b long").distinct()
+
+
+def _classes(texts: DataFrame, k: int, num: int, den: int, rare_below: int, small: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of texts (doc_id, text) whose ids are unique and not null."""
+    spark = texts.sparkSession
+    bits = _range_bits(texts)
     counted = materialize(
-        _texts(docs).mapInArrow(_count_pass(k, bits), _COUNT_SCHEMA).groupBy("range").applyInArrow(_counted(rare_below), _COUNTED_SCHEMA), "tokens"
+        texts.mapInArrow(_count_pass(k, bits), _COUNT_SCHEMA).groupBy("range").applyInArrow(_counted(rare_below), _COUNTED_SCHEMA), "tokens"
     )
     rows = counted.where("key is null").select("doc_id", "n", "digest")
-    sketches = counted.where("key is null and doc_id is not null").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"])
-    frequent = spark.sparkContext.broadcast(_frequent(counted, MOST_FREQUENT))
+    sketches = counted.where("key is null").select("doc_id", "n", "sketch")
+    frequent = counted.where("key is not null").count()
+    slots = min(LEVEL_SLOTS, max(1 << 12, 1 << (16 * frequent).bit_length()))
+    levels = spark.sparkContext.broadcast(_levels(counted, bits, slots))
 
-    keys = _texts(docs).mapInArrow(_signature_pass(k, num, den, bits, frequent), "sig long, n long, doc_id long")
+    keys = texts.mapInArrow(_signature_pass(k, num, den, levels), "sig long, n long, doc_id long")
     found = materialize(
-        keys.repartition("sig").sortWithinPartitions("sig", "n", "doc_id").mapInArrow(_bucket_pass(num, den, small), _CAND_SCHEMA), "candidates"
+        keys.repartition("sig").sortWithinPartitions("sig", "n", "doc_id").mapInArrow(_bucket_pass(num, den, small, BUFFER), _CAND_SCHEMA), "candidates"
     )
-    members = found.where("b is null").select("sig", F.col("a").alias("doc_id")).distinct()
-    members = materialize(members.join(sketches, "doc_id").select("sig", "n", "doc_id", "sketch"), "members")
+    members = found.where("b is null").select("sig", "n", F.col("a").alias("doc_id")).distinct()
 
     # First: pairs of small buckets, and a forest of each set's first large buckets.
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("sig"))
-    first = members.withColumn("turn", turn).where(F.col("turn") <= FIRST_BUCKETS).withColumn("comp", F.col("doc_id"))
-    close = _in_blocks(first, num, den, every=False)
+    first = materialize(members.withColumn("turn", turn).where(F.col("turn") <= FIRST_BUCKETS).drop("turn"), "members")
     few = found.where("b is not null").select("a", "b").distinct()
     of = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     drawn = few.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    close = _first_pairs(first, sketches, num, den)
     tested = materialize(drawn.mapInArrow(_refute_pass(num, den), "a long, b long").union(close).distinct(), "pairs")
-    links = _verified(docs, tested, k, num, den)
+    links = _verified(texts, tested, k, num, den)
 
     equal = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).where("m > 1")
     copies = rows.join(equal, "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b")
@@ -468,41 +591,66 @@ def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # Then: what large buckets still hold apart; the nearest once more, and at last every pair that may be similar.
     for every in (False, True):
-        placed = members.join(classes, F.col("doc_id") == F.col("id"), "left").select("sig", "n", "doc_id", "sketch", F.coalesce("component_id", "doc_id").alias("comp"))
-        code = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-        torn = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), *code).where("lo < hi")
-        torn = torn.groupBy("m", "h1", "h2").agg(F.min("sig").alias("sig"))  # one of those with the same members
-        more = _in_blocks(placed.join(torn.select("sig"), "sig", "left_semi"), num, den, every)
-        more = materialize(more.join(tested, ["a", "b"], "left_anti"), "more")
+        more = materialize(_rest_pairs(members, sketches, classes, num, den, every).join(tested, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             if every:
                 break
             continue
-        further = _verified(docs, more, k, num, den)
+        further = _verified(texts, more, k, num, den)
         tested = materialize(tested.union(more), "pairs")
         if not further.isEmpty():
             # The classes so far stand for the links so far.
             edges = classes.select(F.col("id").alias("a"), F.col("component_id").alias("b")).union(further)
             classes = materialize(connected_components(edges), "classes")
-    return rows.join(classes, F.col("doc_id") == F.col("id"), "left").select(
+    out = rows.join(classes, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+    discard(found, first, links, tested)
+    return out
+
 
+def _ids_repeat(docs: DataFrame) -> bool:
+    """Whether an id is null or that of several rows."""
+    return not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
 
-def _in_blocks(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of members (sig, n, doc_id, sketch, comp) of the same bucket, compared block by block."""
-    sizes = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    columns = ["sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "n", "doc_id", "comp", "sketch"]
-    return dealt.select(*columns).groupBy("sig", "x", "y").applyInArrow(_block_pass(num, den, every), "a long, b long").distinct()
+
+def _numbered_classes(numbered: DataFrame, k: int, num: int, den: int, rare_below: int, small: int) -> DataFrame:
+    """row, doc_id, n_shingles, class (a row number) of rows numbered by `row`."""
+    found = _classes(numbered.select(F.col("row").alias("doc_id"), "text"), k, num, den, rare_below, small)
+    found = found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("class"))
+    return numbered.select("row", "doc_id").join(found, "row")
+
+
+def similar_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rare_below: int = RARE_BELOW, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: classes of texts linked at Jaccard >= num / den.
+
+    Where ids repeat or are null, each row is a document of its own: its component_id is the smallest id of its
+    class that is not null.
+    """
+    texts = _texts(docs)
+    if not _ids_repeat(texts):
+        return _classes(texts, k, num, den, rare_below, small)
+    numbered = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = materialize(_numbered_classes(numbered, k, num, den, rare_below, small), "rows")
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "class").select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one_of_each_class(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs without those whose class has a smaller doc_id; rows with a null doc_id stay."""
-    classes = similar_classes(docs, k, num, den)
-    gone = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of docs without those whose class has a smaller doc_id; of equal ids one row stays, and rows with a null doc_id all do."""
+    texts = _texts(docs)
+    gone = f"gone_{uuid.uuid4().hex}"  # no column of the input has this name
+    if not _ids_repeat(texts):
+        classes = _classes(texts, k, num, den, RARE_BELOW, SMALL)
+        drop = materialize(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)), "near")
+        return docs.join(drop, docs["doc_id"].cast("long") == drop[gone], "left_anti")
+    numbered = materialize(docs.withColumn(gone, F.monotonically_increasing_id()), "numbered")
+    rows = numbered.select(F.col(gone).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = materialize(_numbered_classes(rows, k, num, den, RARE_BELOW, SMALL), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = found.groupBy("class").agg(F.min(order)["row"].alias("best"))
+    drop = found.join(best, "class").where("row <> best and doc_id is not null").select(F.col("row").alias(gone))
+    return numbered.join(drop, gone, "left_anti").select(*docs.columns)
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -258,7 +258,8 @@ def pack_tokens(tokens: DataFrame, window: int = WINDOW, grain: int = GRAIN, dep
     plan = spark.sparkContext.broadcast(Plan(counts, window, grain, depth))
     earlier = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.select("task", "rest", F.coalesce(F.sum("m").over(earlier), F.lit(0)).cast("long").alias("base"))
-    ranked = tokens.drop("ids").join(base, ["task", "rest"], "left")
+    # base grows with the tasks: merged by a shuffle of narrow rows, never broadcast.
+    ranked = tokens.drop("ids").join(base.hint("merge"), ["task", "rest"], "left")
     pieces = materialize(ranked.withColumn("base", F.coalesce("base", F.lit(0).cast("long"))).mapInArrow(_piece_pass(plan), PIECE_SCHEMA), "pieces")
     cut = pieces.where("ids_crc32 is null").drop("ids_crc32", "doc_id", "doc_tokens")
     small = cut.count() <= BROADCAST_CUTS

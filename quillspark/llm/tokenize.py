@@ -4,7 +4,8 @@ The tokenizer (lower case, white space dropped, `letters | one digit | other` pi
 white space, so a text's ids are those of its words end to end. Words of ASCII and Latin-1 letters, digits and
 signs are cut into pieces by byte classes, all words of a batch at once; a piece's ids come from the tokenizer's
 own model. Any other word (other scripts, apostrophes, control characters, special tokens) goes to the whole
-tokenizer. Each distinct piece is asked for once and kept in a bounded cache.
+tokenizer. Each distinct piece is asked for once and kept in a bounded cache, by its bytes: hashes only group the
+pieces of a batch, and every piece is compared byte by byte with the one that stands for its group.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ _CLASS[[ord("'"), ord("<")]] = _OTHER  # contractions and special tokens
 _CLASS[0xC3] = _LETTER
 _CLASS[0x80:0xC0] = _LETTER
 _CODES = splitmix(256, 23)
-_LOWERED = _CODES.copy()
-_LOWERED[65:91] = _CODES[97:123]
-_LOWERED[0x80:0x9F] = _CODES[0xA0:0xBF]
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_LOW[0x80:0x9F] += 32  # second bytes of the Latin-1 letters
 
 
 def _byte_letters() -> dict[int, str]:
@@ -54,7 +55,7 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.wide = self.whole.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[tuple[bytes, bool], bytes] = {}
 
     def piece(self, raw: bytes, simple: bool) -> bytes:
         if simple:
@@ -80,7 +81,7 @@ class WordTokenizer:
         odd |= (data < 32) & ~((data >= 9) & (data <= 13))
         begins = np.zeros(len(data), bool)
         begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-        codes = _LOWERED[data]
+        low = _LOW[data]
         begins[ends[ends < len(data)]] = False
         begins[starts] = True
         inside = np.zeros(len(data) + 1, np.int8)
@@ -98,22 +99,18 @@ class WordTokenizer:
             first = np.zeros(len(data), bool)
             first[starts[words]] = True
             begins &= ~hard | first
-            codes[hard] = _CODES[data[hard]]
+            low[hard] = data[hard]
         p_start = np.flatnonzero(begins)
         # A piece ends where the next one begins, or where its word ends.
         word_end = ends[np.searchsorted(starts, p_start, side="right") - 1]
         p_end = np.minimum(np.append(p_start[1:], len(data)), word_end)
-        coded = pa.array(span_hashes(codes, p_start, p_end)).dictionary_encode()
-        which, keys = coded.indices.to_numpy(), coded.dictionary.to_numpy().tolist()
+        which, first = _groups(low, p_start, p_end)
+        keys = [(low[a:b].tobytes(), hard is None or not hard[a]) for a, b in zip(p_start[first].tolist(), p_end[first].tolist(), strict=True)]
         if len(self.cache) + len(keys) > CACHE_PIECES:
             self.cache.clear()
         known = list(map(self.cache.get, keys))
-        if None in known:
-            first = np.empty(len(keys), np.int64)
-            first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-            for i in [i for i, x in enumerate(known) if x is None]:
-                a, b = int(p_start[first[i]]), int(p_end[first[i]])
-                known[i] = self.cache[keys[i]] = self.piece(data[a:b].tobytes(), hard is None or not hard[a])
+        for i in [i for i, x in enumerate(known) if x is None]:
+            known[i] = self.cache[keys[i]] = self.piece(*keys[i])
         width = self.dtype.itemsize
         pool = np.frombuffer(b"".join(known), self.dtype)
         size = np.fromiter(map(len, known), np.int64, len(known)) // width
@@ -126,6 +123,25 @@ class WordTokenizer:
         return out, sums[np.searchsorted(p_start, offsets)]
 
 
+def _groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each span's group of equal bytes, and the first span of each group."""
+    coded = pa.array(span_hashes(_CODES[data], starts, ends)).dictionary_encode()
+    which = coded.indices.to_numpy()
+    first = np.empty(len(coded.dictionary), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    size, like = ends - starts, first[which]
+    same = (size == size[like]).all()
+    if same:
+        at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        same = (data[at] == data[at + np.repeat(starts[like] - starts, size)]).all()
+    if not same:  # a hash stands for two texts: group by the bytes themselves
+        coded = pa.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]).dictionary_encode()
+        which = coded.indices.to_numpy()
+        first = np.empty(len(coded.dictionary), np.int64)
+        first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    return which, first
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
