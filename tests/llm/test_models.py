@@ -34,7 +34,8 @@ def test_language_odd_rows(spark):
 
 
 def test_out_of_place_distance_by_hand():
-    p = language_id.Profiles({"x": ["aaab"], "y": ["bbba"]})
+    ranked = lambda t: [language_id.gram_text(g) for g in language_id.ranked_grams(t)[0]]
+    p = language_id.Profiles({"x": ranked("aaab"), "y": ranked("bbba")})
     assert p.judge("aaab")[0] == "x" and p.judge("bbba")[0] == "y"
     assert p.judge("aaab")[1] > 0
 
