@@ -1,15 +1,18 @@
 """URL filters by association rules, in DataFrame operations only.
 
-A url is a set of tokens: labels of its host, their parts between hyphens, and segments of its path that are not
-numbers. From labelled urls FP-growth mines combinations of tokens together with the label; rules "these tokens,
-then block" are kept by support and confidence, and a rule is pruned when a part of it is as sure. Rules match by an
-inverted index: each rule is filed under its rarest token, and a url looks up its own tokens there and checks the
-rest. A list of given rules (host, path) goes first: they are found by an equality join on the suffixes of the host.
-
-Defined cases: a null url or one without "://" has an empty host and path, fits no rule and is allowed; labels are
-read as the worst of repeated ones; ties between rules go to the longer, then the smaller by text; rows that repeat
-are judged each; without labels nothing is learned; an empty table gives an empty result; other columns are not
-read.
+A url is a set of tokens: its scheme, the labels of its host, the parts of labels with hyphens, the segments of its
+path that are not numbers, its extension and the keys of its query. From labelled urls FP-growth mines combinations of
+tokens together with the label. A rule "these tokens, then block" is kept when enough blocked urls support it and its
+confidence is MIN_LIFT times the share of blocked urls among all (or a stated confidence), and it is pruned when a
+part of it is as sure. Tokens that stand in exactly the same labelled urls count as one (the first by name), or
+itemsets would double with each of them. Rules match by an inverted index: each rule is filed under the one of its
+tokens that is rarest among the urls, and a url looks up its own tokens there and checks the rest. A list of given
+rules (host, path) goes first: they are found by an equality join on the suffixes of the host.
+
+Defined cases: a null url or one without "://" has an empty host and path and no tokens, fits no rule and is allowed;
+labels are read as the worst of repeated ones; ties between rules go to the surer, then the longer, then the smaller by
+text; rows that repeat are judged each; without labels nothing is learned; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from .common import materialize, table
 
 MIN_COUNT = 20
 MIN_SUPPORT = 0.001
-MIN_CONFIDENCE = 0.6
+MIN_LIFT = 1.2
 MAX_TOKENS = 3
 #: Rules up to which they are broadcast to the urls.
 BROADCAST_RULES = 20_000
@@ -38,47 +41,72 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def tokens_of(host: Column, path: Column) -> Column:
-    labels = F.transform(F.split(host, r"\."), lambda x: F.concat(F.lit("h:"), x))
-    parts = F.transform(F.split(host, r"[.\-]"), lambda x: F.concat(F.lit("w:"), x))
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(r"^[0-9]+(\.[a-z]+)?$")), lambda s: F.concat(F.lit("p:"), s))
-    return F.array_distinct(F.filter(F.concat(labels, parts, segments), lambda t: F.length(t) > 2))
-
-
-def learn_rules(labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def tokens_of(url: Column, host: Column, path: Column) -> Column:
+    """Tokens of a url; none where it has no host part."""
+    url = F.coalesce(url, F.lit(""))
+    named = lambda kind, items: F.transform(F.filter(items, lambda x: x != ""), lambda x: F.concat(F.lit(kind), x))
+    labels = F.split(host, r"\.")
+    parts = F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("-"))), lambda x: F.split(x, "-")))
+    segments = F.filter(F.split(path, "/"), lambda x: ~x.rlike(r"^[0-9]+(\.[a-z]+)?$"))
+    query = F.split(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1), "&")
+    scheme = F.array(F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))
+    extension = F.array(F.lower(F.regexp_extract(path, r"\.([0-9A-Za-z]{1,8})$", 1)))
+    keys = F.transform(query, lambda x: F.substring_index(x, "=", 1))
+    found = F.concat(named("s:", scheme), named("h:", labels), named("w:", parts), named("p:", segments), named("e:", extension), named("q:", keys))
+    return F.when(F.contains(url, F.lit("://")), F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+
+def learn_rules(
+    labelled: DataFrame, min_count: int = MIN_COUNT, min_support: float = MIN_SUPPORT, min_confidence: float | None = None, min_lift: float = MIN_LIFT
+) -> DataFrame:
     """Rules (rule_tokens, confidence, support) from rows (tokens, block)."""
     from pyspark.ml.fpm import FPGrowth
 
-    items = F.concat("tokens", F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>")))
-    rows = materialize(labelled.where(F.size("tokens") > 0).select(items.alias("items")), "transactions")
-    n = rows.count()
+    rows = materialize(labelled.where(F.size("tokens") > 0).select(F.monotonically_increasing_id().alias("i"), "tokens", "block"), "transactions")
+    n, blocked = rows.agg(F.count("*"), F.count_if("block")).first()
     least = max(min_support, min_count / n) if n else 1.0
-    empty = rows.select(F.col("items").alias("rule_tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
-    if n < min_count or least > 1:
-        return empty
-    # Only tokens that stand in blocked urls often enough can be in a rule: the rest is left out of the growth.
-    use = rows.where(F.array_contains("items", _BLOCK)).select(F.explode("items").alias("t")).groupBy("t").count().where(F.col("count") >= least * n)
-    slim = rows.select(F.monotonically_increasing_id().alias("i"), "items")
-    kept = slim.select("i", F.explode("items").alias("t")).join(use.select("t"), "t").groupBy("i").agg(F.collect_set("t").alias("items"))
-    rules = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / max(1, n)), minConfidence=min_confidence).fit(materialize(kept.select("items"), "slim")).associationRules
-    blocking = rules.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == _BLOCK) & (F.size("antecedent") <= MAX_TOKENS))
-    found = materialize(blocking.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"), "rules")
-    # A rule says nothing new when fewer of its tokens are as sure.
-    small, large = found.alias("s"), found.alias("l")
-    part = (F.size("s.rule_tokens") < F.size("l.rule_tokens")) & (F.size(F.array_except("s.rule_tokens", "l.rule_tokens")) == 0) & (F.col("s.confidence") >= F.col("l.confidence"))
-    one = found.select("rule_tokens", F.explode("rule_tokens").alias("t"))
-    near = one.alias("a").join(one.alias("b"), "t").select(F.col("a.rule_tokens").alias("x"), F.col("b.rule_tokens").alias("y")).where("size(x) < size(y)").distinct()
-    idle = near.join(small, F.col("x") == F.col("s.rule_tokens")).join(large, F.col("y") == F.col("l.rule_tokens")).where(part).select(F.col("y").alias("rule_tokens"))
+    if n < min_count or not blocked or least > 1:
+        return rows.select(F.col("tokens").alias("rule_tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
+    sure = min(1.0, min_lift * blocked / n) if min_confidence is None else min_confidence
+    # Only tokens that stand in blocked urls often enough can be in a rule; of those with the same urls one is left.
+    each = rows.select("i", "block", F.explode(F.array_distinct("tokens")).alias("t"))
+    code = [F.bit_xor(F.xxhash64("i", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    often = each.groupBy("t").agg(F.count("*").alias("n"), F.count_if("block").alias("m"), *code).where(F.col("m") >= least * n)
+    use = often.groupBy("n", "h1", "h2").agg(F.min("t").alias("t")).select("t")
+    kept = each.join(use, "t").groupBy("i", "block").agg(F.collect_set("t").alias("items"))
+    items = F.concat("items", F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>")))
+    slim = materialize(kept.select(items.alias("items")), "slim")
+    # Urls without any such token count in the support as well.
+    m = slim.count()
+    if not m:
+        return rows.select(F.col("tokens").alias("rule_tokens"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")).limit(0)
+    grown = FPGrowth(itemsCol="items", minSupport=min(1.0, least * n / m), minConfidence=sure).fit(slim).associationRules
+    blocking = grown.where((F.size("consequent") == 1) & (F.element_at("consequent", 1) == _BLOCK) & (F.size("antecedent") <= MAX_TOKENS))
+    found = materialize(blocking.select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", (F.col("support") * m / n).alias("support")), "rules")
+    # A rule says nothing new when some of its tokens alone are as sure: at most MAX_TOKENS are few enough to list all parts.
+    parts = [F.transform(F.col("rule_tokens"), lambda t: F.array(t))]
+    drop = F.transform(F.col("rule_tokens"), lambda t: F.array_remove(F.col("rule_tokens"), t))
+    parts.append(F.when(F.size("rule_tokens") > 2, drop).otherwise(F.array().cast("array<array<string>>")))
+    listed = found.where(F.size("rule_tokens") > 1).select("rule_tokens", "confidence", F.explode(F.concat(*parts)).alias("part"))
+    short = found.select(F.col("rule_tokens").alias("part"), F.col("confidence").alias("part_confidence"))
+    idle = listed.join(short, "part").where("part_confidence >= confidence").select("rule_tokens").distinct()
     return found.join(idle, "rule_tokens", "left_anti")
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """(row, confidence) of the surest rule that fits each url (row, tokens), by an index on each rule's rarest token."""
-    counts = rules.select(F.explode("rule_tokens").alias("t")).groupBy("t").count()
-    filed = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("t")).join(counts, "t")
-    index = filed.groupBy("rule_tokens", "confidence").agg(F.min_by("t", F.struct("count", "t")).alias("t"))
-    looked = urls.select("row", "tokens", F.explode("tokens").alias("t")).join(index, "t")
-    return looked.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).groupBy("row").agg(F.max("confidence").alias("confidence"))
+    """(row, confidence, mined) of the surest rule that fits each url (row, tokens), by an index on each rule's rarest token."""
+    rules = materialize(rules, "mined")
+    small = rules.count() <= BROADCAST_RULES
+    share = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    each = urls.select("row", "tokens", F.explode("tokens").alias("t"))
+    filed = rules.select("rule_tokens", "confidence", F.explode("rule_tokens").alias("t"))
+    counts = each.select("t").join(share(filed.select("t").distinct()), "t", "left_semi").groupBy("t").count()
+    rarest = F.min_by("t", F.struct(F.coalesce("count", F.lit(0)), "t"))
+    index = filed.join(counts, "t", "left").groupBy("rule_tokens", "confidence").agg(rarest.alias("t"))
+    looked = each.join(share(index), "t").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+    text = F.array_join("rule_tokens", " ")
+    best = F.min_by(F.struct("confidence", text.alias("mined")), F.struct(-F.col("confidence"), -F.size("rule_tokens"), text))
+    return looked.groupBy("row").agg(best.alias("b")).select("row", "b.confidence", "b.mined")
 
 
 def given_rules(spark, rules: list[tuple[str, str]]) -> DataFrame:
@@ -95,7 +123,7 @@ def host_suffixes(host: Column) -> Column:
 
 
 def judge(urls: DataFrame, rules: DataFrame, learned: DataFrame) -> DataFrame:
-    """row, host, path, rule, verdict for urls (row, host, path, tokens)."""
+    """row, host, path, rule, verdict, mined (the learned rule that fits best) for urls (row, host, path, tokens)."""
     small = rules.count() <= BROADCAST_RULES
     listed = urls.where("host <> ''").select("row", "path", F.explode(host_suffixes(F.col("host"))).alias("rule_host"))
     fits = listed.join(F.broadcast(rules) if small else rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
@@ -103,7 +131,7 @@ def judge(urls: DataFrame, rules: DataFrame, learned: DataFrame) -> DataFrame:
     mined = matched_rules(urls, learned)
     joined = urls.join(best, "row", "left").join(mined, "row", "left")
     own = F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")
-    return joined.select("row", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"))
+    return joined.select("row", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "mined")
 
 
 #: The production list.
@@ -113,17 +141,21 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 def split_urls(pages: DataFrame) -> DataFrame:
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"), F.col("url").alias("_url"))
-    return parts.withColumn("tokens", tokens_of(F.col("host"), F.col("path"))).withColumn("row", F.monotonically_increasing_id())
+    return parts.withColumn("tokens", tokens_of(F.col("_url"), F.col("host"), F.col("path"))).drop("_url").withColumn("row", F.monotonically_increasing_id())
+
+
+def labelled_urls(urls: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tokens, block) of urls whose path ends with the number of a labelled document: block where it is bad or toxic."""
+    bad = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    number = F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) as bigint)")
+    return urls.select("tokens", number.alias("doc_id")).join(bad, "doc_id").select("tokens", F.coalesce("block", F.lit(False)).alias("block"))
 
 
 def op9_url_rules(spark, sf_dir: str) -> DataFrame:
     urls = materialize(split_urls(table(spark, sf_dir, "pages").select("page_id", "url")), "urls")
-    # A page's url ends with the number of its document; what the document was labelled is the url's label.
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
-    number = F.expr(r"try_cast(regexp_extract(path, '/([0-9]+)[^/]*/?$', 1) as bigint)")
-    labelled = urls.select("tokens", number.alias("doc_id")).join(labels, "doc_id").select("tokens", F.coalesce("block", F.lit(False)).alias("block"))
+    labelled = labelled_urls(urls, table(spark, sf_dir, "labels"))
     judged = judge(urls, given_rules(spark, RULES), learn_rules(labelled))
-    return judged.join(urls.select("row", "page_id"), "row").select("page_id", "host", "path", "rule", "verdict")
+    return judged.join(urls.select("row", "page_id"), "row").select("page_id", "host", "path", "rule", "verdict", "mined")
 
 
 QUERIES = {"op9_url_rules": op9_url_rules}
