@@ -535,11 +535,13 @@ def _rest_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, num
     code = [F.bit_xor(F.xxhash64("doc_id", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
     shares = placed.groupBy("sig", "comp").agg(F.count("*").alias("m"), *code)
     torn = shares.groupBy("sig").agg(
-        F.count("*").alias("classes"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
+        F.count("*").alias("classes"), F.max_by(F.struct("comp", "m", "h1", "h2"), F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
     ).where("classes > 1")
-    # One of those with the same members.
-    torn = materialize(torn.groupBy("m", "h1", "h2").agg(F.min_by(F.struct("sig", "main"), "sig").alias("x")).select("x.sig", "x.main"), "torn")
-    held = _spread_join(placed, torn, ["sig"])
+    # Buckets with the same sets outside the same largest class are one: their sets are compared once and not once a key.
+    rest_of = [F.col("most.comp").alias("main"), F.col("m") - F.col("most.m"), *(F.col(f"h{i}").bitwiseXOR(F.col(f"most.h{i}")) for i in (1, 2))]
+    torn = materialize(torn.select("sig", rest_of[0], F.xxhash64(*rest_of).alias("group")), "torn")
+    held = _spread_join(placed, torn, ["sig"]).select(F.col("group").alias("sig"), "main", "doc_id", "comp", "cls").distinct()
+    held = materialize(held, "held")
     rest = held.where("comp <> main")
     parts, block = _dealt(F.count("*"), BLOCK)
     chunks, _ = _dealt(F.count("*"), CHUNK)
