@@ -1,17 +1,19 @@
 """Media columns in FLAC: texts stored as audio payloads, read back in blocks with seekable sample offsets.
 
 encode_payloads writes a stream for each text, decode_payloads reads streams back (Rice residuals, linear
-predictors, frame checksums, MD5) and computes features of the samples, pcm_blocks writes the samples as rows of
-blocks with their sample offsets, and read_samples fetches a range by seek points.
+predictors, frame checksums, MD5), cuts the samples into PCM blocks at their sample offsets, digests these and computes
+features of the samples; the tail is read a second time, by the last seek point alone. pcm_blocks writes the blocks as
+rows with their sample offsets, and read_samples fetches a range by seek points.
 
 Defined cases: a null text is empty; an empty text is one block of blanks; equal texts have equal streams and
-features; rows that repeat are handled each; a damaged stream raises; an empty table gives an empty result; other
-columns are not read.
+features; rows that repeat are handled each; a damaged stream (or a null one) is a row whose status says so and whose
+digests are null, and has no PCM blocks; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -54,13 +56,15 @@ def feature_of(payload: bytes) -> str:
     return f"mean={total * 1000 // n};energy={int((x * x).sum(dtype=np.int64)) * 1000 // n};peak={int(np.abs(x).max())};crossings={int((above[1:] != above[:-1]).sum())};steps={int(np.abs(np.diff(x)).sum())}"
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, last_offset long, status string"
+#: Frames of one PCM block.
+BLOCK_FRAMES = 256
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     for batch in batches:
         i = batch.schema.get_field_index("media")
-        streams, at = batch.column(i).to_pylist(), 0
+        streams, at = [x or b"" for x in batch.column(i).to_pylist()], 0
         while at < len(streams):
             end, size = at, 0
             while end < len(streams) and (end == at or size + len(streams[end]) <= BATCH_BYTES):
@@ -70,14 +74,49 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             at = end
 
 
+def _decoded(streams: list[bytes]) -> tuple[list[bytes | None], list[str]]:
+    """Payload and status of each stream; None where it is damaged."""
+    wrong = (flac.Damaged, ValueError, IndexError, OverflowError, struct.error)
+    try:
+        return flac.decode_many(streams), ["ok"] * len(streams)
+    except wrong:
+        payloads, status = [], []
+        for s in streams:
+            try:
+                payloads += flac.decode_many([s])
+                status.append("ok")
+            except wrong as e:
+                payloads.append(None)
+                status.append(f"damaged: {e}" if s else "missing")
+        return payloads, status
+
+
+def blocks_of(payload: bytes, frames: int = BLOCK_FRAMES) -> list[tuple[int, bytes]]:
+    """(sample offset, PCM) of a payload's blocks."""
+    step = frames * flac.BLOCK
+    return [(a, payload[a : a + step]) for a in range(0, len(payload), step)]
+
+
 def _decode_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, streams in _groups(batches):
-        payloads = flac.decode_many(streams)
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-            pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), pa.array([len(s) for s in streams], pa.int64()),
-            pa.array([hashlib.sha256(s).hexdigest() for s in streams]), pa.array([feature_of(p) for p in payloads]),
-        ], names=[c.split()[0] for c in DIGEST.split(", ")])
+        payloads, status = _decoded(streams)
+        good = [s for s, p in zip(streams, payloads, strict=True) if p is not None]
+        tails = iter(flac.read_tails(good, 16))
+        rows = []
+        for s, p in zip(streams, payloads, strict=True):
+            if p is None:
+                rows.append((None, None, None, len(s), hashlib.sha256(s).hexdigest(), None, None, None))
+                continue
+            digest, offset, n = hashlib.sha256(), 0, 0
+            for offset, pcm in blocks_of(p):  # noqa: B007
+                digest.update(pcm)
+                n += 1
+            rows.append((len(p), digest.hexdigest(), zlib.crc32(next(tails)), len(s), hashlib.sha256(s).hexdigest(), feature_of(p), n, offset))
+        columns = [list(c) for c in zip(*rows, strict=True)]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array(status)], names=[c.split()[0] for c in DIGEST.split(", ")]
+        )
 
 
 def decode_payloads(media: DataFrame) -> DataFrame:
@@ -85,15 +124,14 @@ def decode_payloads(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode_pass, DIGEST)
 
 
-def pcm_blocks(media: DataFrame, frames: int = 256) -> DataFrame:
-    """doc_id, sample_offset, n_samples, pcm of streams, in blocks of so many frames."""
+def pcm_blocks(media: DataFrame, frames: int = BLOCK_FRAMES) -> DataFrame:
+    """doc_id, sample_offset, n_samples, pcm of sound streams, in blocks of so many frames."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = frames * flac.BLOCK
         for batch, streams in _groups(batches):
             rows = []
-            for doc, p in zip(batch.column(0).to_pylist(), flac.decode_many(streams), strict=True):
-                rows += [(doc, a, p[a : a + step]) for a in range(0, len(p), step)]
+            for doc, p in zip(batch.column(0).to_pylist(), _decoded(streams)[0], strict=True):
+                rows += [(doc, a, pcm) for a, pcm in blocks_of(p or b"", frames)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()),
             ], names=["doc_id", "sample_offset", "n_samples", "pcm"])
