@@ -3,8 +3,9 @@
 Documents are gathered into cells (source, language, topic) with their token weight. The weights of the cells are
 raked: scaled in turn so that they sum to the target of each source, each language and each topic, again and again.
 A document of a cell is then drawn with a probability in proportion to raked over present weight, scaled so that
-the largest is 1, by a fixed pseudo-random number made from its id. Only the cells are shuffled, after a partial
-sum in each task; the text is not moved.
+the largest is 1 (or to an expected number of tokens), by a fixed pseudo-random number made from its id. Keys and
+token counts of a text are made once and written; only the cells are shuffled, after a partial sum in each task, and the
+text is not moved. Targets that no weights can meet leave gaps, which gaps() shows.
 
 Targets are shares by key; where none are given, a dimension's own shares are tempered (raised to ALPHA and
 normalised), which lifts rare sources and languages. The topic of a text is the first of TOPICS whose pattern it
@@ -13,8 +14,9 @@ holds, else general.
 Defined cases: null sources and languages are a group of their own, written as an empty string; null and empty
 texts have no tokens, are of topic general and are drawn with their cell's probability; a cell without tokens has
 probability 0 unless it is all there is; keys without a target have target 0; an id decides a document's number, so
-rows that repeat share a decision; an empty table gives an empty result; clashing names are avoided by the prefix
-_mix_.
+rows that repeat share a decision; an empty table gives an empty result; a column of the input named _mix_source,
+_mix_lang, _mix_topic, _mix_tokens, _mix_probability or _mix_kept gives way in calibrated(), and stays as it is in
+sample_documents().
 """
 
 from __future__ import annotations
@@ -65,9 +67,10 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 
 def cells_of(docs: DataFrame) -> DataFrame:
-    """source, lang, topic, mass, n_docs of each cell, in the shared folder."""
+    """source, lang, topic, mass, n_docs of each cell, in the shared folder; in one partition where they are few."""
     cells = docs.groupBy(*(F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("_mix_tokens").cast("double").alias("mass"), F.count("*").alias("n_docs"))
-    return materialize(cells, "cells")
+    found = materialize(cells, "cells")
+    return found.coalesce(1) if found.count() <= BROADCAST_CELLS else found
 
 
 def tempered(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
@@ -92,35 +95,56 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now
 
 
-def probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, weight, probability of each cell, in the shared folder."""
+def gaps(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dim, key, target, reached of raked cells: how far each marginal is from its target."""
+    out = None
+    for dim, target in targets.items():
+        own = raked.groupBy(F.col(dim).alias("key")).agg(F.sum("weight").alias("reached"))
+        both = own.join(target.select("key", F.col("share").alias("target")), "key", "full")
+        part = both.select(F.lit(dim).alias("dim"), "key", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("reached", F.lit(0.0)).alias("reached"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def probabilities(cells: DataFrame, targets: dict[str, DataFrame] | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, tokens: float | None = None) -> DataFrame:
+    """source, lang, topic, weight, probability of each cell, in the shared folder.
+
+    With tokens, the draw is expected to hold so many tokens, less where a cell has not enough of them.
+    """
     goals = targets or {d: materialize(tempered(cells, d, alpha), f"target-{d}") for d in DIMENSIONS}
     ratio = F.when(F.col("mass") > 0, F.col("weight") * F.col("total") / F.col("mass")).otherwise(0.0)
     raked = materialize(rake(cells, goals, rounds).withColumn("ratio", ratio), "raked")
-    most = F.broadcast(raked.agg(F.max("ratio").alias("most")))
-    chance = F.when(F.col("most") > 0, F.least(F.lit(1.0), F.col("ratio") / F.col("most"))).otherwise(1.0)
+    most = F.broadcast(raked.agg(F.max("ratio").alias("most"), F.sum("weight").alias("sum"), F.max("total").alias("tokens")))
+    scaled = F.col("ratio") / F.col("most") if tokens is None else F.col("ratio") * F.lit(float(tokens)) / (F.col("tokens") * F.col("sum"))
+    chance = F.when(F.col("most") > 0, F.least(F.lit(1.0), scaled)).otherwise(1.0)
     return materialize(raked.crossJoin(most).select(*DIMENSIONS, "weight", chance.alias("probability")), "chances")
 
 
-def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """docs with _mix_source, _mix_lang, _mix_topic, _mix_tokens, _mix_probability and _mix_kept."""
-    dealt = with_cells(docs)
-    chances = probabilities(cells_of(dealt), targets)
+def _drawn(dealt: DataFrame, targets: dict[str, DataFrame] | None, tokens: float | None) -> DataFrame:
+    chances = probabilities(cells_of(dealt), targets, tokens=tokens)
     keyed = chances.select(*(F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS), F.col("probability").alias("_mix_probability"))
     small = chances.count() <= BROADCAST_CELLS
     joined = dealt.join(F.broadcast(keyed) if small else keyed, [f"_mix_{d}" for d in DIMENSIONS])
-    number = F.coalesce(drawn_number(F.col("doc_id")), F.lit(0.0))
-    return joined.withColumn("_mix_kept", number < F.col("_mix_probability"))
+    number = F.coalesce(drawn_number(F.col("_mix_id")), F.lit(0.0))
+    return joined.withColumn("_mix_kept", number < F.col("_mix_probability")).drop("_mix_id")
+
+
+def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tokens: float | None = None) -> DataFrame:
+    """docs with _mix_source, _mix_lang, _mix_topic, _mix_tokens, _mix_probability and _mix_kept."""
+    return _drawn(materialize(with_cells(docs).withColumn("_mix_id", F.col("doc_id")), "dealt"), targets, tokens)
 
 
-def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows of docs that are drawn, with the columns of docs."""
-    return calibrated(docs, targets).where("_mix_kept").select(*docs.columns)
+def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tokens: float | None = None) -> DataFrame:
+    """The rows of docs that are drawn, with the columns of docs, whatever their names."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs["doc_id"].alias("_mix_id"), docs["text"], docs["source"], docs["lang"])
+    dealt = materialize(with_cells(whole).drop("text", "source", "lang"), "dealt")
+    return _drawn(dealt, targets, tokens).where("_mix_kept").select("_doc.*")
 
 
 def op2_raked_mixing(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
-    return calibrated(docs).select(
+    dealt = materialize(with_cells(docs).select("doc_id", F.col("doc_id").alias("_mix_id"), *(f"_mix_{c}" for c in (*DIMENSIONS, "tokens"))), "dealt")
+    return _drawn(dealt, None, None).select(
         "doc_id", F.col("_mix_source").alias("source_key"), F.col("_mix_lang").alias("lang_key"), F.col("_mix_topic").alias("topic"),
         F.col("_mix_tokens").alias("n_tokens"), F.round("_mix_probability", 6).alias("probability"), F.col("_mix_kept").alias("kept"),
     )
