@@ -27,23 +27,35 @@ def joined(parts: DataFrame, key: str = "doc_id", order: str = "block_no") -> Da
 # --- checks -----------------------------------------------------------------------------------------------
 
 
-def issues(docs: DataFrame, forbidden: list[str] = (), pages: Column | None = None, expect_pages: int | None = None, tracked: Column | None = None, comments: Column | None = None) -> DataFrame:
-    """issues(doc_id, severity, code, message) of texts: one pass, one row for each finding."""
+def issues(docs: DataFrame, forbidden: list[str] = (), pages: Column | None = None, expect_pages: int | None = None, tracked: Column | None = None, comments: Column | None = None, empty_fields: Column | None = None, missing_glyphs: Column | None = None, bare_pages: Column | None = None) -> DataFrame:
+    """issues(doc_id, severity, code, message) of texts: one pass, one row for each finding.
+
+    empty_fields is an array of names, missing_glyphs a string of characters, bare_pages an array of page numbers.
+    """
     text = F.coalesce("text", F.lit(""))
-    left = X.placeholders(text)
+    # Counts are columns of their own, so that a hit is not counted again for its message.
+    named = {"_left": X.placeholders(text), "_dense": X.dense_length(text)} | {f"_n{i}": X.count_of(text, p) for i, p in enumerate(forbidden)}
+    named |= {f"_{k}": c for k, c in {"pages": pages, "tracked": tracked, "comments": comments, "fields": empty_fields, "glyphs": missing_glyphs, "bare": bare_pages}.items() if c is not None}
+    counted = docs.select("doc_id", *(c.alias(k) for k, c in named.items()))
+    c = F.col
     one = lambda ok, severity, code, message: F.when(ok, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), message.alias("message")))
-    found = [one(F.size(left) > 0, "error", "PLACEHOLDERS_LEFT", F.concat(F.lit("placeholders not filled: "), F.array_join(left, " ")))]
-    for phrase in forbidden:
-        n = X.count_of(text, phrase)
-        found.append(one(n > 0, "error", "FORBIDDEN_TEXT", F.concat(F.lit(f'"{phrase}" appears '), n.cast("string"), F.lit(" times"))))
+    found = [one(F.size("_left") > 0, "error", "PLACEHOLDERS_LEFT", F.concat(F.lit("placeholders not filled: "), F.array_join("_left", " ")))]
+    for i, phrase in enumerate(forbidden):
+        found.append(one(c(f"_n{i}") > 0, "error", "FORBIDDEN_TEXT", F.concat(F.lit(f'"{phrase}" appears '), c(f"_n{i}").cast("string"), F.lit(" times"))))
     if pages is not None and expect_pages:
-        found.append(one((pages > 0) & (pages != expect_pages), "error", "PAGE_COUNT", F.concat(pages.cast("string"), F.lit(f" pages, expected {expect_pages}"))))
+        found.append(one((c("_pages") > 0) & (c("_pages") != expect_pages), "error", "PAGE_COUNT", F.concat(c("_pages").cast("string"), F.lit(f" pages, expected {expect_pages}"))))
+    if empty_fields is not None:
+        found.append(one(F.size("_fields") > 0, "warning", "EMPTY_FIELDS", F.concat(F.lit("fields without a value: "), F.array_join("_fields", ", "))))
+    if missing_glyphs is not None:
+        found.append(one(F.length("_glyphs") > 0, "warning", "MISSING_GLYPHS", F.concat(F.lit("characters the fonts lack: "), c("_glyphs"))))
     if tracked is not None:
-        found.append(one(tracked, "warning", "TRACKED_CHANGES", F.lit("the document still has tracked changes")))
+        found.append(one(c("_tracked"), "warning", "TRACKED_CHANGES", F.lit("tracked changes are not settled")))
     if comments is not None:
-        found.append(one(comments, "warning", "COMMENTS", F.lit("the document has comments")))
-    found.append(one(X.dense_length(text) == 0, "info", "NO_TEXT_LAYER", F.lit("no text")))
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("doc_id", "i.severity", "i.code", "i.message")
+        found.append(one(c("_comments"), "warning", "COMMENTS", F.lit("comments are left")))
+    if bare_pages is not None:
+        found.append(one(F.size("_bare") > 0, "info", "PAGES_WITHOUT_TEXT", F.concat(F.lit("pages without text: "), F.array_join(F.transform("_bare", lambda p: p.cast("string")), ", "))))
+    found.append(one(c("_dense") == 0, "info", "NO_TEXT_LAYER", F.lit("no text")))
+    return counted.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("doc_id", "i.severity", "i.code", "i.message")
 
 
 def passed(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -130,21 +142,35 @@ def fill_rows(data: DataFrame, template: str, key: str, repeat: str | None = Non
     """
     scalars = {c: F.col(c) for c, kind in data.dtypes if not kind.startswith("array")}
     head, mark, tail = template.partition(repeat) if repeat else (template, "", "")
-    body = X.filled(F.lit(head), scalars)
+    body = X.filled(head, scalars)
     added = F.lit(0)
     if mark:
         fields = data.schema[list_column].dataType.elementType.names
-        lines = F.transform(F.coalesce(F.col(list_column), F.array().cast(data.schema[list_column].dataType)), lambda item: X.filled(F.lit(mark), {f"{list_column}.{f}": item[f] for f in fields}))
-        body = F.concat(body, F.array_join(lines, ""), X.filled(F.lit(tail), scalars))
+        lines = F.transform(F.coalesce(F.col(list_column), F.array().cast(data.schema[list_column].dataType)), lambda item: X.filled(mark, {f"{list_column}.{f}": item[f] for f in fields}))
+        body = F.concat(body, F.array_join(lines, ""), X.filled(tail, scalars))
         added = F.greatest(F.lit(-1), F.size(F.col(list_column)) - 1)
     return data.select(F.col(key), body.alias("text"), added.alias("rows_added")).withColumn("left", X.placeholders(F.col("text")))
 
 
 def unique_names(named: DataFrame, name: str, order: str) -> DataFrame:
-    """`unique_name`: the 2nd, 3rd.. of a name get -2, -3.. before the extension, as far as no given name is in the way."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order))
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return named.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), ext)))
+    """`unique_name`: in order, each row takes its name, or the first of name-2, name-3.. that no earlier row has taken.
+
+    Rows of one name count up among themselves; where a made name meets a name of other rows, the earlier row keeps it and
+    the others of the later row's name move on, until no two rows meet. Each round is a few shuffles of narrow rows; two
+    rounds are the rule, and there are never more than chains of such meetings.
+    """
+    rows = named.select(F.col(name).alias("_name"), F.col(order).alias("_order")).distinct()
+    rows = rows.select("*", F.row_number().over(Window.partitionBy("_name").orderBy("_order")).alias("_k"), F.lit(0).alias("_skip"))
+    made = lambda k: F.when(k == 1, F.col("_name")).otherwise(F.concat(F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), k.cast("string"), F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 2)))
+    along = Window.partitionBy("_name").orderBy("_order")
+    while True:
+        now = rows.withColumn("_made", made(F.col("_k") + F.col("_skip"))).withColumn("_first", F.min("_order").over(Window.partitionBy("_made")))
+        if now.where("_order > _first").isEmpty():
+            break
+        more = F.max(F.col("_skip") + (F.col("_order") > F.col("_first")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+        rows = now.select("_name", "_order", "_k", more.alias("_skip"))
+    keyed = now.select("_name", "_order", F.col("_made").alias("unique_name"))
+    return named.join(keyed, (F.col(name) == F.col("_name")) & (F.col(order) == F.col("_order"))).drop("_name", "_order")
 
 
 # --- redaction --------------------------------------------------------------------------------------------

@@ -142,11 +142,17 @@ def sheet_json(rows: DataFrame, header: list[str]) -> DataFrame:
 
 
 def sheet_date(serial: Column) -> Column:
-    """Text of a spreadsheet's serial date: days since 1899-12-30, a time alone below 1."""
-    seconds = F.floor((serial - F.floor(serial)) * 86400 + 0.5)
+    """Text of a spreadsheet's serial date, a time alone below 1.
+
+    Serials count days from 1899-12-30, and from a day later before serial 60, which stands for a 29 February 1900 that
+    never was. The whole serial is rounded to seconds first, so a last half second goes over to the next day.
+    """
+    total = F.floor(serial * 86400 + 0.5)
+    days, seconds = F.floor(total / 86400).cast("int"), F.pmod(total, F.lit(86400))
     time = F.date_format(F.timestamp_seconds(seconds), "HH:mm:ss")
-    day = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")), "yyyy-MM-dd")
-    return F.when(serial < 1, time).when(seconds > 0, F.concat(day, F.lit(" "), time)).otherwise(day)
+    date = F.date_format(F.date_add(F.lit("1899-12-30").cast("date"), days + F.when(days < 60, 1).otherwise(0)), "yyyy-MM-dd")
+    day = F.when(days == 60, "1900-02-29").otherwise(date)
+    return F.when(days < 1, time).when(seconds > 0, F.concat(day, F.lit(" "), time)).otherwise(day)
 
 
 def board_facts(objects: DataFrame) -> DataFrame:

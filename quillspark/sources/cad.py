@@ -15,13 +15,18 @@ import numpy as np
 from .formats import Unreadable, decode_bytes, zip_entries
 
 
-def unpacked(data: bytes, depth: int = 3) -> list[tuple[str, bytes]]:
-    """Files of a zip, gzip or tar, archives inside included."""
+#: Bytes that an archive may expand to, with all archives inside.
+MOST_EXPANDED = 1 << 30
+
+
+def unpacked(data: bytes, depth: int = 3, most: int = MOST_EXPANDED) -> list[tuple[str, bytes]]:
+    """Files of a zip, gzip or tar, archives inside included; TOO_LARGE beyond `most` bytes in all."""
     try:
         if data.startswith(b"PK"):
-            found = zip_entries(data)
+            found = zip_entries(data, most)
         elif data.startswith(b"\x1f\x8b"):
-            found = [("", gzip.decompress(data))]
+            with gzip.open(io.BytesIO(data)) as f:
+                found = [("", f.read(most + 1))]
         elif data[257:262] == b"ustar":
             with tarfile.open(fileobj=io.BytesIO(data)) as t:
                 found = [(m.name, t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
@@ -29,9 +34,14 @@ def unpacked(data: bytes, depth: int = 3) -> list[tuple[str, bytes]]:
             return [("", data)]
     except (zlib.error, EOFError, OSError, tarfile.TarError) as e:
         raise Unreadable("UNREADABLE", "archive is damaged") from e
+    most -= sum(len(b) for _, b in found)
+    if most < 0:
+        raise Unreadable("TOO_LARGE", "the archive expands beyond its limit")
     out = []
     for name, body in found:
-        inner = unpacked(body, depth - 1) if depth else [("", body)]
+        inner = unpacked(body, depth - 1, most) if depth else [("", body)]
+        if inner != [("", body)]:
+            most -= sum(len(b) for _, b in inner)
         out += [("/".join(filter(None, (name, n))), b) for n, b in inner]
     return out
 
@@ -258,7 +268,7 @@ def svg_items(text: str) -> list[dict]:
 
 
 def mesh_elements(data: bytes) -> list[dict]:
-    if is_binary_stl(data) or data.lstrip()[:5].lower() == b"solid":
+    if data.lstrip()[:5].lower() == b"solid" or (b"\0" in data and is_binary_stl(data)):
         return stl_elements(data)
     text = decode_bytes(data)[0]
     if re.search(r"(?m)^v\s+-?[\d.]", text):
@@ -300,13 +310,18 @@ def obj_elements(text: str) -> list[dict]:
 
 
 def is_binary_stl(data: bytes) -> bool:
-    """By shape: a count that fits the length, whatever the first word says."""
-    return len(data) >= 84 and 84 + 50 * int.from_bytes(data[80:84], "little") == len(data)
+    """By shape, whatever the first word says: a count that fits the length, or bytes that are no text."""
+    if len(data) < 84:
+        return False
+    count = int.from_bytes(data[80:84], "little")
+    return 84 + 50 * count == len(data) or (len(data) >= 134 and (b"\0" in data[84:] or not data.lstrip()[:5].lower() == b"solid"))
 
 
 def stl_elements(data: bytes) -> list[dict]:
+    """One element; of a binary file whose count goes beyond its end, the facets that are there."""
     if is_binary_stl(data):
-        facets = np.frombuffer(data, np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")]), offset=84)
+        count = min(int.from_bytes(data[80:84], "little"), (len(data) - 84) // 50)
+        facets = np.frombuffer(data, np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("a", "<u2")]), count, offset=84)
         points = facets["v"].reshape(-1, 3)
     else:
         points = np.array(re.findall(r"vertex\s+(\S+)\s+(\S+)\s+(\S+)", data.decode("latin-1")), float).reshape(-1, 3)

@@ -19,6 +19,8 @@ from . import cad, formats, markup
 
 #: Largest file that a reader takes; beyond, the row says TOO_LARGE.
 MOST_BYTES = 1 << 30
+#: Rows of a file that are given back at a time.
+BATCH_ROWS = 10_000
 
 
 def read_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
@@ -54,21 +56,25 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[dict]], schema: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, content, large in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 try:
+                    if large:
+                        raise formats.Unreadable("TOO_LARGE", f"over {MOST_BYTES} bytes")
                     data = content.as_py()
                     if not data:
                         raise formats.Unreadable("EMPTY", "the file is empty")
-                    if len(data) > MOST_BYTES:
-                        raise formats.Unreadable("TOO_LARGE", f"over {MOST_BYTES} bytes")
                     rows = [{"path": path, "ok": True} | r for r in parse(data)]
                 except formats.Unreadable as e:
                     rows = [{"path": path, "ok": False, "code": e.code, "message": str(e)}]
                 except Exception as e:  # noqa: BLE001  a damaged file must not end the job
                     rows = [{"path": path, "ok": False, "code": "UNREADABLE", "message": f"{type(e).__name__}: {e}"[:300]}]
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                for at in range(0, max(1, len(rows)), BATCH_ROWS):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + BATCH_ROWS], schema=arrow)
 
-    return files.select(F.col("path").cast("string").alias("path"), "content").mapInArrow(run, whole)
+    # A file beyond the limit does not come to Python: its row has no content, and says so.
+    size = F.octet_length("content")
+    content = F.when(size <= MOST_BYTES, F.col("content"))
+    return files.select(F.col("path").cast("string").alias("path"), content.alias("content"), (size > MOST_BYTES).alias("large")).mapInArrow(run, whole)
 
 
 def docx_blocks(files: DataFrame) -> DataFrame:

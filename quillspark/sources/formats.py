@@ -38,7 +38,7 @@ class Unreadable(ValueError):
         self.code = code
 
 
-def decode_bytes(data: bytes, forced: str | None = None, hint: str = "ko") -> tuple[str, str, bool]:
+def decode_bytes(data: bytes, forced: str | None = None, hint: str = "ko", last: tuple[str, ...] = ("windows-1252",)) -> tuple[str, str, bool]:
     """(text, encoding, confident): forced, then a byte order mark, strict UTF-8, and the best scored candidate."""
     if forced:
         return data.decode(_CODEC.get(forced, forced), "replace").removeprefix("﻿"), forced, True
@@ -50,7 +50,7 @@ def decode_bytes(data: bytes, forced: str | None = None, hint: str = "ko") -> tu
     except UnicodeDecodeError:
         pass
     best = None
-    for rank, name in enumerate((*CANDIDATES.get(hint, CANDIDATES["ko"]), "windows-1252")):
+    for rank, name in enumerate((*CANDIDATES.get(hint, CANDIDATES["ko"]), *last)):
         try:
             text = data.decode(_CODEC.get(name, name))
         except UnicodeDecodeError:
@@ -94,15 +94,20 @@ def _zip(data: bytes) -> zipfile.ZipFile:
         raise Unreadable("UNREADABLE", "archive is damaged") from e
 
 
-def zip_entries(data: bytes) -> list[tuple[str, bytes]]:
-    """(name, bytes) of the files of an archive; names without the UTF-8 flag are decoded anew."""
+def zip_entries(data: bytes, most: int = 1 << 30) -> list[tuple[str, bytes]]:
+    """(name, bytes) of the files of an archive, together most bytes at most; names without the UTF-8 flag are decoded anew."""
     out = []
     with _zip(data) as z:
         for info in z.infolist():
             if info.is_dir():
                 continue
-            name = info.filename if info.flag_bits & 0x800 else decode_bytes(info.filename.encode("cp437", "replace"))[0]
-            out.append((name, z.read(info)))
+            name = info.filename if info.flag_bits & 0x800 else decode_bytes(info.filename.encode("cp437", "replace"), last=())[0]
+            with z.open(info) as f:
+                body = f.read(most + 1)
+            most -= len(body)
+            if most < 0:
+                raise Unreadable("TOO_LARGE", "the archive expands beyond its limit")
+            out.append((name, body))
     return out
 
 

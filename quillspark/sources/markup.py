@@ -13,112 +13,131 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+class _Writer(HTMLParser):
+    """Markdown blocks from the events of a page: start tags open blocks and marks, end tags and new blocks close them.
 
+    A block's text is gathered in `text`; `marks` holds what is open inside it, with the place where it began. Scripts,
+    styles and the head are left out; a mark without text vanishes, and one left open ends with its block.
+    """
 
-class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
-
-    def __init__(self, tag, attrs=(), parent=None):
-        self.tag, self.attrs, self.children, self.parent = tag, dict(attrs), [], parent
-
-
-class _Tree(HTMLParser):
-    """A forgiving element tree: end tags close up to their start, stray ones are dropped."""
+    WRAPS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+    HIDDEN = {"script", "style", "head"}
+    #: Tags that are part of a line of text; any other ends the block before it.
+    INLINE = {*WRAPS, "a", "br", "img", "span", "small", "u", "sub", "sup", "font", "label", "abbr", "mark"}
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.now = Node("body")
+        self.blocks: list[tuple[str, str]] = []
+        self.hidden, self.kind, self.lead, self.text, self.marks, self.lists = 0, "paragraph", "", [], [], []
+        self.rows: list[list[str]] | None = None
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body"):
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        if self.hidden:
             return
-        closes = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(tag, set())
-        while self.now.tag in closes:
-            self.now = self.now.parent
-        node = Node(tag, attrs, self.now)
-        self.now.children.append(node)
-        if tag not in VOID:
-            self.now = node
+        own = dict(attrs)
+        if tag == "br":
+            self.text.append("  \n")
+        elif tag == "img":
+            self.text.append(f"![{own.get('alt') or ''}]({own.get('src') or ''})")
+        elif tag in self.WRAPS or tag == "a":
+            self.marks.append((tag, own.get("href"), len(self.text)))
+        elif tag in self.INLINE:
+            return
+        elif self.rows is not None and tag in ("td", "th"):
+            self.cell()
+            self.rows[-1].append("")
+            self.kind = "cell"
+        elif self.rows is not None and tag == "tr":
+            self.cell()
+            self.rows.append([])
+        elif self.kind in ("list", "quote", "cell") and tag in ("p", "div"):
+            self.text.append(" ")
+        else:
+            self.begin(tag)
+
+    def begin(self, tag):
+        self.finish()
+        if tag in ("ul", "ol"):
+            self.lists.append([tag, 0])
+        elif tag == "li":
+            place = self.lists[-1] if self.lists else ["ul", 0]
+            place[1] += 1
+            self.kind, self.lead = "list", f"{place[1]}. " if place[0] == "ol" else "- "
+        elif tag == "blockquote":
+            self.kind, self.lead = "quote", "> "
+        elif len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
+            self.kind, self.lead = "heading", "#" * int(tag[1]) + " "
+        elif tag == "table" and self.rows is None:
+            self.rows = []
 
     def handle_endtag(self, tag):
-        at = self.now
-        while at is not None and at.tag != tag:
-            at = at.parent
-        if at is not None and at.parent is not None:
-            self.now = at.parent
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif self.hidden:
+            return
+        elif tag in self.WRAPS or tag == "a":
+            if any(m[0] == tag for m in self.marks):
+                while self.close_mark() != tag:
+                    pass
+        elif tag == "table" and self.rows is not None:
+            self.cell()
+            rows, self.rows = [r for r in self.rows if r], None
+            if rows:
+                width = max(map(len, rows))
+                lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+                lines.insert(1, "| " + " | ".join(["---"] * width) + " |")
+                self.blocks.append(("table", "\n".join(lines)))
+        elif tag in ("td", "th", "tr") and self.rows is not None:
+            self.cell()
+        elif tag not in self.INLINE and self.kind != "cell" and not (self.kind in ("list", "quote") and tag in ("p", "div")):
+            self.finish()
+            if tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
 
     def handle_data(self, data):
-        self.now.children.append(data)
-
-
-def tree_of(html: str) -> Node:
-    t = _Tree()
-    t.feed(html)
-    t.close()
-    return t.root
-
-
-def _inline(node) -> str:
-    if isinstance(node, str):
-        return node
-    if node.tag in ("script", "style", "head"):
-        return ""
-    inner = "".join(map(_inline, node.children))
-    wrap = {"strong": "**", "b": "**", "em": "*", "i": "*"}.get(node.tag)
-    if wrap:
-        return f"{wrap}{inner}{wrap}" if inner.strip() else ""
-    if node.tag == "code":
-        return f"`{inner}`"
-    if node.tag == "a":
-        return f"[{inner}]({node.attrs['href']})" if node.attrs.get("href") else inner
-    if node.tag == "br":
-        return "  \n"
-    return f"![{node.attrs.get('alt') or ''}]({node.attrs.get('src') or ''})" if node.tag == "img" else inner
-
-
-def _rows(node) -> Iterator[Node]:
-    for c in node.children:
-        if isinstance(c, Node):
-            if c.tag == "tr":
-                yield c
-            yield from _rows(c)
+        if not self.hidden:
+            self.text.append(data)
+
+    def close_mark(self):
+        tag, href, at = self.marks.pop()
+        inner = "".join(self.text[at:])
+        if tag == "a":
+            inner = f"[{inner}]({href})" if href else inner
+        elif tag == "code" or inner.strip():
+            inner = self.WRAPS[tag] + inner + self.WRAPS[tag]
+        else:
+            inner = ""
+        self.text[at:] = [inner]
+        return tag
+
+    def taken(self) -> str:
+        while self.marks:
+            self.close_mark()
+        said, self.text = "".join(self.text).strip(), []
+        return said
+
+    def cell(self):
+        said = " ".join(self.taken().split()).replace("|", "\\|")
+        if self.kind == "cell" and self.rows and self.rows[-1]:
+            self.rows[-1][-1] = said
+        self.kind = "paragraph"
+
+    def finish(self):
+        kind, lead, said = self.kind, self.lead, self.taken()
+        self.kind, self.lead = "paragraph", ""
+        if said:
+            self.blocks.append((kind, lead + said))
 
 
 def html_blocks(html: str) -> list[tuple[str, str]]:
-    """(kind, markdown) of the blocks of a page in order; scripts, styles and the head are left out."""
-    out: list[tuple[str, str]] = []
-
-    def table(node):
-        rows = [[re.sub(r"\s+", " ", _inline(c)).replace("|", "\\|").strip() for c in tr.children if isinstance(c, Node) and c.tag in ("td", "th")] for tr in _rows(node)]
-        if rows:
-            width = max(map(len, rows))
-            lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-            out.append(("table", "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])))
-
-    def walk(parent, prefix):
-        index = 0
-        for c in parent.children:
-            if not isinstance(c, Node) or c.tag in ("script", "style", "head"):
-                continue
-            if re.fullmatch("h[1-6]", c.tag):
-                out.append(("heading", "#" * int(c.tag[1]) + " " + _inline(c).strip()))
-            elif c.tag == "li":
-                out.append(("list", prefix(index) + _inline(c).strip()))
-                index += 1
-            elif c.tag in ("ul", "ol"):
-                walk(c, (lambda i: f"{i + 1}. ") if c.tag == "ol" else (lambda i: "- "))
-            elif c.tag == "blockquote":
-                out.append(("quote", "> " + _inline(c).strip()))
-            elif c.tag == "table":
-                table(c)
-            elif c.tag != "p" and any(isinstance(x, Node) for x in c.children):
-                walk(c, prefix)
-            elif text := _inline(c).strip():
-                out.append(("paragraph", text))
-
-    walk(tree_of(html), lambda i: "- ")
-    return out
+    """(kind, markdown) of the blocks of a page in order."""
+    writer = _Writer()
+    writer.feed(html)
+    writer.close()
+    writer.finish()
+    return writer.blocks
 
 
 def html_markdown(html: str) -> str:
