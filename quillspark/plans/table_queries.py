@@ -32,7 +32,7 @@ def _scores(spark, d):
 
 
 _SIM = """s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(range(1, 65), lambda i: CAST(v.embedding[i] AS DOUBLE) * q.embedding[i])) AS sim
-FROM embeddings v, embeddings q WHERE q.vec_id < 5)"""
+FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"""
 
 
 @query(f"WITH {_SIM} SELECT query_id, vec_id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
@@ -138,7 +138,7 @@ _ITEMS = """i AS (SELECT event_id AS item_no, event_type AS layer, CAST(user_id
   CAST(event_id % 100 + event_id % 5 AS DOUBLE) AS y1 FROM events)"""
 
 
-@query(f"""WITH {_ITEMS}, b AS (SELECT c_custkey AS box_id, CAST(c_custkey % 90 AS DOUBLE) AS bx0, CAST(c_custkey * 3 % 90 AS DOUBLE) AS by0 FROM customer WHERE c_custkey <= 150)
+@query(f"""WITH {_ITEMS}, b AS (SELECT c_custkey AS box_id, CAST(c_custkey % 90 AS DOUBLE) AS bx0, CAST(c_custkey * 3 % 90 AS DOUBLE) AS by0 FROM customer)
 SELECT box_id, count(*) AS n, CAST(sum(item_no) AS BIGINT) AS total FROM b, i WHERE x0 <= bx0 + 3 AND x1 >= bx0 AND y0 <= by0 + 2 AND y1 >= by0 GROUP BY 1""")
 def flt_items_in_boxes(spark, d):
     x, y = (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") * 3 % 90).cast("double")
@@ -146,13 +146,13 @@ def flt_items_in_boxes(spark, d):
     return G.in_boxes(_items(spark, d), boxes, 4.0).groupBy("box_id").agg(F.count("*").alias("n"), F.sum("item_no").alias("total"))
 
 
-@query(f"""WITH {_ITEMS}, p AS (SELECT c_custkey AS point_id, CAST(c_custkey % 97 AS DOUBLE) AS px, CAST(c_custkey * 5 % 97 AS DOUBLE) AS py FROM customer WHERE c_custkey <= 150),
+@query(f"""WITH {_ITEMS}, p AS (SELECT c_custkey AS point_id, CAST(c_custkey % 97 AS DOUBLE) AS px, CAST(c_custkey * 5 % 97 AS DOUBLE) AS py FROM customer),
 t AS (SELECT *, CASE WHEN (x1 - x0) ** 2 + (y1 - y0) ** 2 > 0 THEN greatest(0, least(1, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) ELSE 0 END AS t FROM p, i),
 w AS (SELECT point_id, item_no, sqrt((px - x0 - t * (x1 - x0)) ** 2 + (py - y0 - t * (y1 - y0)) ** 2) AS a FROM t)
-SELECT point_id, round(min(a), 5) AS distance FROM w WHERE a <= 3 GROUP BY 1""")
+SELECT point_id, arg_min(item_no, (round(a, 9), item_no)) AS item_no, round(min(a), 5) AS distance FROM w WHERE a <= 3 GROUP BY 1""")
 def flt_nearest_item(spark, d):
     points = _t(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), (F.col("c_custkey") % 97).cast("double").alias("px"), (F.col("c_custkey") * 5 % 97).cast("double").alias("py"))
-    return G.nearest(_items(spark, d), points, 3.0).select("point_id", F.round("distance", 5).alias("distance"))
+    return G.nearest(_items(spark, d), points, 3.0).select("point_id", "item_no", F.round("distance", 5).alias("distance"))
 
 
 @query(f"WITH {_ITEMS} SELECT layer, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM i WHERE layer <> 'click' GROUP BY 1")
@@ -167,14 +167,14 @@ def snk_sheet_text(spark, d):
     return G.sheet_text(_items(spark, d)).select(F.md5(F.col("text").cast("binary")).alias("code"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 3 = 0),
+@query("""WITH a AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 3 < 2), b AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 3 > 0),
 f AS (SELECT x.no AS a_no, y.no AS b_no FROM (SELECT *, row_number() OVER (PARTITION BY function ORDER BY no) AS n FROM a) x JOIN (SELECT *, row_number() OVER (PARTITION BY function ORDER BY no) AS n FROM b) y ON x.function = y.function AND x.n = y.n),
 a2 AS (SELECT * FROM a WHERE no NOT IN (SELECT a_no FROM f)), b2 AS (SELECT * FROM b WHERE no NOT IN (SELECT b_no FROM f)),
 g AS (SELECT x.no AS a_no, y.no AS b_no FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no) AS n FROM a2) x JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no) AS n FROM b2) y ON x.name = y.name AND x.n = y.n)
 SELECT a_no, b_no, 'function' AS by FROM f UNION ALL SELECT a_no, b_no, 'name' FROM g UNION ALL SELECT no, NULL, 'only_a' FROM a2 WHERE no NOT IN (SELECT a_no FROM g) UNION ALL SELECT NULL, no, 'only_b' FROM b2 WHERE no NOT IN (SELECT b_no FROM g)""")
 def jn_layer_pairs(spark, d):
     layers = _t(spark, d, "part").select(F.col("p_partkey").alias("layer_no"), F.col("p_brand").alias("function"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("file"))
-    return R.paired_layers(layers.where("layer_no % 2 = 0"), layers.where("layer_no % 3 = 0"))
+    return R.paired_layers(layers.where("layer_no % 3 < 2"), layers.where("layer_no % 3 > 0"))
 
 
 @query("""SELECT c_custkey AS row_no, '{"name":"' || c_name || '","col2":"' || c_mktsegment || '","note":null}' AS json FROM customer""")
@@ -183,16 +183,22 @@ def snk_sheet_json(spark, d):
     return R.sheet_json(rows, ["name", " ", "note"]).select("row_no", "json")
 
 
-@query("SELECT o_orderkey, strftime(DATE '1899-12-30' + CAST(40000 + o_orderkey % 3000 AS INT), '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' 12:00:00' ELSE '' END AS text FROM orders")
+@query("""WITH s AS (SELECT o_orderkey, CAST((40000 + o_orderkey % 3000) * 86400 + (CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 43200 WHEN 2 THEN 86400 ELSE 1 END) AS BIGINT) AS t FROM orders)
+SELECT o_orderkey, strftime(DATE '1899-12-30' + CAST(t // 86400 AS INT), '%Y-%m-%d') || CASE WHEN t % 86400 > 0 THEN ' ' || strftime(TIMESTAMP '2000-01-01' + to_seconds(t % 86400), '%H:%M:%S') ELSE '' END AS text FROM s
+UNION ALL SELECT * FROM (VALUES (-1, '1900-02-28'), (-2, '1900-02-29'), (-3, '1900-03-01'), (-4, '1900-01-01'), (-5, '06:00:00')) v(k, t)""")
 def src_sheet_dates(spark, d):
-    serial = 40000 + F.col("o_orderkey") % 3000 + F.when(F.col("o_orderkey") % 2 == 0, 0.5).otherwise(0.0)
-    return _t(spark, d, "orders").select("o_orderkey", R.sheet_date(serial).alias("text"))
+    """Whole days, halves, the last half second of a day (which is the next day) and a second; and the first days of 1900."""
+    part = F.element_at(F.array(*map(F.lit, (0.0, 0.5, 0.999999, 1 / 86400))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    own = _t(spark, d, "orders").select("o_orderkey", (40000 + F.col("o_orderkey") % 3000 + part).alias("serial"))
+    first = spark.sql("select * from values (-1L, 59d), (-2L, 60d), (-3L, 61d), (-4L, 1d), (-5L, 0.25d) as t(o_orderkey, serial)")
+    return own.unionByName(first).select("o_orderkey", R.sheet_date(F.col("serial")).alias("text"))
 
 
 @query("""SELECT o_custkey, CAST(count(*) FILTER (o_orderkey % 3 = 0) AS BIGINT) AS holes, CAST(count(*) FILTER (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) AS BIGINT) AS plated,
-  count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN round(o_orderkey % 10 / 10.0 * 1000) END) AS drill_sizes, min(CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 10 / 10.0 END) AS least_track, count(DISTINCT o_orderstatus) AS nets FROM orders GROUP BY 1""")
+  count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN round(o_orderkey % 10 / 10.0 * 1000) END) AS drill_sizes, min(CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 10 / 10.0 END) AS least_track, count(DISTINCT o_orderstatus) AS nets,
+  CAST(max(o_orderkey % 50 + 1) - min(o_orderkey % 50) AS DOUBLE) AS width, CAST(max(o_orderkey % 30 + 1) - min(o_orderkey % 30) AS DOUBLE) AS height, min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 10 / 10.0 END) AS least_hole FROM orders GROUP BY 1""")
 def agg_board_facts(spark, d):
     kind = F.element_at(F.array(F.lit("hole"), F.lit("track"), F.lit("pad")), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    w = F.col("o_orderkey") % 10 / 10.0
-    objects = _t(spark, d, "orders").select(F.col("o_custkey").alias("file"), kind.alias("kind"), (F.col("o_orderkey") % 2 == 0).alias("plated"), w.alias("w"), *(F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")), F.col("o_orderstatus").alias("net"))
-    return R.board_facts(objects).select(F.col("file").alias("o_custkey"), "holes", "plated", "drill_sizes", "least_track", "nets")
+    w, x, y = F.col("o_orderkey") % 10 / 10.0, (F.col("o_orderkey") % 50).cast("double"), (F.col("o_orderkey") % 30).cast("double")
+    objects = _t(spark, d, "orders").select(F.col("o_custkey").alias("file"), kind.alias("kind"), (F.col("o_orderkey") % 2 == 0).alias("plated"), w.alias("w"), x.alias("x0"), y.alias("y0"), (x + 1).alias("x1"), (y + 1).alias("y1"), F.col("o_orderstatus").alias("net"))
+    return R.board_facts(objects).select(F.col("file").alias("o_custkey"), "holes", "plated", "drill_sizes", "least_track", "nets", "width", "height", "least_hole")

@@ -101,6 +101,21 @@ def win_unique_names(spark, d):
     return D.unique_names(named, "name", "c_custkey")
 
 
+@query("""SELECT c_custkey, k, c_name || CASE k WHEN 0 THEN '.docx' WHEN 1 THEN '-2.docx' ELSE '-2-2.docx' END AS unique_name FROM customer, (VALUES (0), (1), (2)) v(k)""")
+def win_unique_names_taken(spark, d):
+    """Twice the same name, and then a given name that the second has already taken."""
+    rows = _t(spark, d, "customer").select("c_custkey", "c_name", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"))
+    named = rows.withColumn("name", F.concat("c_name", F.when(F.col("k") == 2, "-2.docx").otherwise(".docx"))).withColumn("at", F.col("c_custkey") * 3 + F.col("k"))
+    return D.unique_names(named, "name", "at").select("c_custkey", "k", "unique_name")
+
+
+@query("""SELECT c_custkey, 'Dear {{c_mktsegment}}, {{ c_name }} {{c_name}}' AS text FROM customer""")
+def tpl_values_with_marks(spark, d):
+    """A value that holds a mark is not filled again."""
+    data = _t(spark, d, "customer").select("c_custkey", F.lit("{{c_mktsegment}}").alias("a"), F.lit("{{ c_name }}").alias("b"), "c_mktsegment", F.lit("{{c_name}}").alias("c_name"))
+    return D.fill_rows(data, "Dear {{a}}, {{b}} {{c_name}}", "c_custkey").select("c_custkey", "text")
+
+
 _LETTER = "Dear {{c_name}},\nyour {{ c_mktsegment }} account holds {{c_acctbal}}. {{c_missing}}\n"
 
 
@@ -172,16 +187,16 @@ def _cells(spark, d):
 
 
 @query(f"""WITH {_CELLS}, t AS (SELECT doc_id, max(row_idx) + 1 AS n_rows, list(row_idx) FILTER (col_idx = 0) AS r0, list(row_idx) FILTER (col_idx = 1) AS r1 FROM c GROUP BY 1),
-x AS (SELECT t.*, o.*, list_contains(r0, 1) AS has1, list_contains(CASE col_idx WHEN 0 THEN r0 ELSE r1 END, o.row_idx) AS has FROM t, (VALUES (2, 0), (2, 1), (0, 1)) o(row_idx, col_idx))
+x AS (SELECT t.*, o.*, list_contains(r0, 1) AS has1, list_contains(CASE col_idx WHEN 0 THEN r0 ELSE r1 END, o.row_idx) AS has FROM t, (VALUES (0, 2, 0), (1, 2, 1), (2, 0, 1)) o(op_no, row_idx, col_idx))
 SELECT doc_id, row_idx, col_idx, CASE WHEN row_idx >= n_rows THEN 'BAD_ARGUMENT' WHEN row_idx = 2 AND col_idx = 0 AND has1 THEN 'RULE' ELSE 'ok' END AS status,
-  CASE WHEN row_idx >= n_rows THEN NULL WHEN row_idx = 2 AND col_idx = 0 AND has1 THEN 1 WHEN has THEN row_idx END AS anchor_row FROM x""")
+  CASE WHEN row_idx >= n_rows THEN NULL WHEN row_idx = 2 AND col_idx = 0 AND has1 THEN 1 WHEN has THEN row_idx END AS anchor_row, CASE op_no WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS new_text FROM x""")
 def edt_set_cell(spark, d):
     cells = _cells(spark, d)
     tables = cells.groupBy("doc_id", "table_no").agg((F.max("row_idx") + 1).alias("n_rows"), F.lit(2).alias("n_cols"))
     ops = spark.sql("select * from values (0, 2, 0, 'a'), (1, 2, 1, 'b'), (2, 0, 1, 'c') as t(op_no, row_idx, col_idx, new_text)")
     changes = tables.select("doc_id", "table_no").crossJoin(F.broadcast(ops))
     out = D.set_cells(cells, tables, changes)
-    return out.select("doc_id", "row_idx", "col_idx", "status", F.when(F.col("status") != "BAD_ARGUMENT", F.col("anchor_row")).alias("anchor_row"))
+    return out.select("doc_id", "row_idx", "col_idx", "status", F.when(F.col("status") != "BAD_ARGUMENT", F.col("anchor_row")).alias("anchor_row"), "new_text")
 
 
 @query(f"""WITH {_CELLS}, m AS (SELECT doc_id, max(row_idx) AS last FROM c GROUP BY 1), p AS (SELECT c.doc_id, last FROM c JOIN m ON c.doc_id = m.doc_id AND row_idx = last GROUP BY 1, 2 HAVING max(greatest(row_span, col_span)) = 1)

@@ -191,3 +191,57 @@ def mesh_facts(files: DataFrame) -> DataFrame:
 def step_entities(files: DataFrame) -> DataFrame:
     """id, type, args of the entities of an ISO-10303-21 file (STEP, IFC)."""
     return parsed(files, cad.step_entities, "id long, type string, args string")
+
+
+def edited_docx(files: DataFrame, pairs: list[tuple[str, str]], dry_run: bool = False) -> DataFrame:
+    """path, content, counts, left of DOCX files after literal replacements, judged on what was written.
+
+    In order, and the first without a hit undoes all: ok is false with NOT_APPLIED and the number of the operation. A dry
+    run says the same and gives no content. left counts what still holds a phrase that its replacement does not bring.
+    """
+
+    def parse(b):
+        data, counts = formats.docx_replaced(b, pairs)
+        for i, n in enumerate(counts):
+            if not n:
+                raise formats.Unreadable("NOT_APPLIED", f"operation {i}: no match")
+        doc = formats.docx_blocks(data)
+        said = "\n".join([t for _, _, _, t in doc["blocks"]] + [c[5] for c in doc["cells"]] + [t for _, t in doc["parts"]])
+        return [{"content": None if dry_run else data, "counts": counts, "left": sum(said.count(f) for f, by in pairs if f not in by and not any(f in b2 for _, b2 in pairs))}]
+
+    return parsed(files, parse, "content binary, counts array<long>, left long")
+
+
+def filled_docx(data: DataFrame, template: bytes, key: str, list_column: str | None = None) -> DataFrame:
+    """key, ok, code, message, content, rows_added, left_over: one DOCX for each row of data, read again to see which marks are left.
+
+    Rows are dealt to tasks as they come; the template goes with the job. A row that fills nothing is NOT_APPLIED.
+    """
+    names = [c for c in data.columns if c != list_column]
+    kind = data.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, ok boolean, code string, message string, content binary, rows_added long, left_over array<string>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bare = formats.docx_changed(template, lambda text: [])
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                values = {c: None if row[f"text_{i}"] is None else row[f"text_{i}"] for i, c in enumerate(names)}
+                items = row.get("items")
+                try:
+                    made, added = formats.docx_filled(template, values, {list_column: items or []} if list_column else None)
+                    if made == bare:
+                        raise formats.Unreadable("NOT_APPLIED", "no mark of the template is filled")
+                    doc = formats.docx_blocks(made)
+                    said = "\n".join([t for _, _, _, t in doc["blocks"]] + [c[5] for c in doc["cells"]] + [t for _, t in doc["parts"]])
+                    out.append({key: row["key"], "ok": True, "content": made, "rows_added": added, "left_over": list(dict.fromkeys(formats.re.findall(r"\{\{\s*[^{}]+?\s*\}\}", said)))})
+                except formats.Unreadable as e:
+                    out.append({key: row["key"], "ok": False, "code": e.code, "message": str(e)})
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    columns = [F.col(key).alias("key"), *(F.col(c).cast("string").alias(f"text_{i}") for i, c in enumerate(names))]
+    if list_column:
+        fields = data.schema[list_column].dataType.elementType.names
+        columns.append(F.transform(list_column, lambda x: F.struct(*(x[f].cast("string").alias(f) for f in fields))).alias("items"))
+    return data.select(columns).mapInArrow(run, schema)

@@ -294,6 +294,96 @@ def write_docx(blocks: list[tuple[str, str]], tables: list[list[list[str]]] = ()
     ])
 
 
+_TEXT_PARTS = re.compile(r"word/(document|header\d*|footer\d*)\.xml")
+_PARAGRAPH = re.compile(r"<w:p[ >].*?</w:p>", re.S)
+_TEXT = re.compile(r"(<w:t(?: [^>]*)?>)([^<]*)(</w:t>)")
+
+
+def _in_runs(paragraph: str, change) -> str:
+    """A paragraph's XML after change(text) -> [(start, end, new)]: new text goes to the run where its place begins, which keeps its format."""
+    from xml.sax.saxutils import escape, unescape
+
+    runs = list(_TEXT.finditer(paragraph))
+    texts = [unescape(m[2], {"&quot;": '"', "&apos;": "'"}) for m in runs]
+    edits = change("".join(texts))
+    if not edits:
+        return paragraph
+    owner = [i for i, t in enumerate(texts) for _ in t]
+    new, at, whole = [[] for _ in texts], 0, "".join(texts)
+    for start, end, by in [*edits, (len(whole), len(whole), "")]:
+        for k in range(at, start):
+            new[owner[k]].append(whole[k])
+        if by:
+            new[owner[start]].append(by)
+        at = end
+    parts, last = [], 0
+    for m, t in zip(runs, new, strict=True):
+        parts += [paragraph[last : m.start()], '<w:t xml:space="preserve">', escape("".join(t)), m[3]]
+        last = m.end()
+    return "".join(parts) + paragraph[last:]
+
+
+def docx_changed(data: bytes, change, rows=None) -> bytes:
+    """A DOCX with the texts of its paragraphs changed, in the body, headers and footers; all else stays byte for byte.
+
+    rows, if given, takes the body's XML first (to repeat rows of tables).
+    """
+    out = []
+    for name, body in zip_entries(data):
+        if _TEXT_PARTS.fullmatch(name):
+            xml = body.decode()
+            if rows and name == "word/document.xml":
+                xml = rows(xml)
+            body = _PARAGRAPH.sub(lambda m: _in_runs(m[0], change), xml).encode()
+        out.append((name, body))
+    return write_zip(out)
+
+
+def docx_replaced(data: bytes, pairs: list[tuple[str, str]]) -> tuple[bytes, list[int]]:
+    """Literal replacements in order, also across runs, and how often each was made."""
+    counts = []
+    for find, by in pairs:
+        n = 0
+
+        def places(text, find=find, by=by):
+            nonlocal n
+            found = [(m.start(), m.end(), by) for m in re.finditer(re.escape(find), text)] if find else []
+            n += len(found)
+            return found
+
+        data = docx_changed(data, places)
+        counts.append(n)
+    return data, counts
+
+
+def docx_filled(data: bytes, values: dict[str, str | None], lists: dict[str, list[dict]] | None = None) -> tuple[bytes, int]:
+    """A template with {{key}} marks filled and, for each list, its first row with {{list.field}} marks repeated; rows added.
+
+    A null is empty, an empty list takes its row away, keys without a value stay as they are.
+    """
+    added = 0
+
+    def places(own):
+        def find(text):
+            return [(m.start(), m.end(), own[m[1]] or "") for m in re.finditer(r"\{\{\s*([^{}]+?)\s*\}\}", text) if m[1] in own]
+
+        return find
+
+    def rows(xml):
+        nonlocal added
+        for name, items in (lists or {}).items():
+            for m in re.finditer(r"<w:tr[ >].*?</w:tr>", xml, re.S):
+                said = "".join(t[2] for t in _TEXT.finditer(m[0]))
+                if re.search(r"\{\{\s*" + re.escape(name) + r"\.", said):
+                    copies = [_PARAGRAPH.sub(lambda p, i=item: _in_runs(p[0], places({f"{name}.{k}": v for k, v in i.items()})), m[0]) for item in items]
+                    xml = xml[: m.start()] + "".join(copies) + xml[m.end() :]
+                    added += len(items) - 1
+                    break
+        return xml
+
+    return docx_changed(data, places(values), rows), added
+
+
 def ooxml_properties(data: bytes) -> dict[str, str]:
     """Core and app properties by local name."""
     out = {}

@@ -61,17 +61,29 @@ def output_name(path: Column, ext: str, suffix: str = "") -> Column:
 
 
 def write_each(files: DataFrame, folder: str) -> DataFrame:
-    """Write (name, content) rows as files of a folder that executors share, read each again, and say what was written."""
+    """Write (name, content) rows as files of a folder that executors share, read each again, and say what was written.
+
+    Names may hold folders below the given one; where two rows have one name, the first by content is written and the
+    others say NOT_APPLIED, so no file is overwritten by another row.
+    """
+    from pyspark.sql.window import Window
+
+    turn = F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("content"), "content"))
+    rows = files.select("name", "content", turn.alias("turn"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
 
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["name"], batch["content"], strict=True):
-                target, said, fine = os.path.join(folder, os.path.basename(name)), None, False
+            out = []
+            for name, content, n in zip(batch["name"], batch["content"], batch["turn"], strict=True):
+                target, said, fine = os.path.normpath(os.path.join(folder, name)), None, False
                 try:
-                    os.makedirs(folder, exist_ok=True)
+                    if n > 1:
+                        raise OSError("another row has this name")
+                    if not target.startswith(os.path.normpath(folder) + os.sep):
+                        raise OSError("the name leads out of the folder")
+                    os.makedirs(os.path.dirname(target), exist_ok=True)
                     with open(target + ".part", "wb") as f:
                         f.write(content)
                     os.replace(target + ".part", target)
@@ -80,7 +92,20 @@ def write_each(files: DataFrame, folder: str) -> DataFrame:
                     said = None if fine else "VERIFY_FAILED"
                 except OSError as e:
                     said = f"NOT_APPLIED: {e}"
-                rows.append((name, fine, said, len(content)))
-            yield pd.DataFrame(rows, columns=["name", "ok", "message", "bytes"])
+                out.append((name, fine, said, len(content)))
+            yield pd.DataFrame(out, columns=["name", "ok", "message", "bytes"])
+
+    return rows.mapInPandas(run, "name string, ok boolean, message string, bytes long")
+
+
+def docx_tables(cells: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, content: a DOCX for each key with its tables, from cells (key, table_no, row_idx, col_idx, text) without spans."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        tables = []
+        for _, t in pdf.sort_values(["table_no", "row_idx", "col_idx"]).groupby("table_no", sort=True):
+            tables.append([["" if x is None else x for x in r["text"]] for _, r in t.groupby("row_idx", sort=True)])
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [formats.write_docx([("table", "")] * len(tables), tables)]})
 
-    return files.select("name", "content").mapInPandas(run, "name string, ok boolean, message string, bytes long")
+    kind = cells.schema[key].dataType.simpleString()
+    return cells.groupBy(key).applyInPandas(build, f"{key} {kind}, content binary")
