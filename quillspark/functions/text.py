@@ -194,7 +194,7 @@ def font_name(name: Column) -> Column:
     bare = F.regexp_replace(name, r"^[A-Z]{6}\+", "")
     style = F.regexp_extract(bare, r"[-,](.*)$", 1)
     weight = F.lit(400)
-    for pattern, w in (("thin", 100), ("light", 300), ("medium", 500), ("semi|demi", 600), ("bold", 700), ("black|heavy", 900)):
+    for pattern, w in (("thin", 100), ("light", 300), ("medium", 500), ("bold", 700), ("semi|demi", 600), ("black|heavy", 900)):
         weight = F.when(F.lower(style).rlike(pattern), w).otherwise(weight)
     return F.struct(F.regexp_extract(bare, r"^([^-,]*)", 1).alias("family"), style.alias("style"), weight.alias("weight"))
 

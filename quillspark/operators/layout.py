@@ -2,7 +2,7 @@
 
 Runs (doc_id, page, x, y, width, size, text) become lines by gaps-and-islands windows, lines become cells and
 paragraphs likewise. A table compares each line with the first of its run, which no window frame can say, so that
-step is an applyInPandas by page; a page is a bounded group.
+step is a fold over the lines of a page; a page is a bounded group.
 """
 
 from __future__ import annotations
@@ -73,29 +73,30 @@ def paragraphs(lined: DataFrame) -> DataFrame:
 
 
 def tables(lined: DataFrame, reach: float = 24.0, least: int = 3) -> DataFrame:
-    """doc_id, page, first_line, last_line, columns of runs of lines whose cells stand where those of the run's first line do."""
-
-    def find(pdf):
-        import pandas as pd
-
-        out, start, columns = [], None, []
-        rows = pdf.sort_values("line_no")
-        numbers, all_columns = rows["line_no"].tolist(), [list(c) for c in rows["columns"]]
-
-        def flush(end):
-            if start is not None and end - start + 1 >= least:
-                out.append((pdf["doc_id"].iloc[0], pdf["page"].iloc[0], numbers[start], numbers[end], columns))
-
-        for i, xs in enumerate(all_columns):
-            fits = start is not None and len(xs) == len(columns) and all(abs(a - b) < reach for a, b in zip(columns, xs, strict=True))
-            if fits:
-                continue
-            flush(i - 1)
-            start, columns = (i, xs) if len(xs) >= 2 else (None, [])
-        flush(len(all_columns) - 1)
-        return pd.DataFrame(out, columns=["doc_id", "page", "first_line", "last_line", "columns"])
-
-    return lined.groupBy(*PAGE).applyInPandas(find, "doc_id long, page int, first_line long, last_line long, columns array<double>")
+    """doc_id, page, first_line, last_line, columns of runs of lines whose cells stand where those of the run's first line do.
+
+    A fold over the lines of a page: the state holds the run's first line, its columns and the runs found so far.
+    """
+    one = F.struct(F.col("line_no").cast("long").alias("line_no"), "columns")
+    pages = lined.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("_lines"))
+    kind = "struct<start:bigint,last:bigint,n:int,columns:array<double>,found:array<struct<first_line:bigint,last_line:bigint,columns:array<double>>>>"
+    empty = F.from_json(F.lit('{"n":0,"columns":[],"found":[]}'), kind)
+
+    def state(start, last, n, columns, found):
+        return F.struct(start.cast("long").alias("start"), last.cast("long").alias("last"), n.cast("int").alias("n"), columns.alias("columns"), found.alias("found")).cast(kind)
+
+    def flushed(s):
+        run = F.struct(s["start"].alias("first_line"), s["last"].alias("last_line"), s["columns"].alias("columns"))
+        return F.when(s["start"].isNotNull() & (s["n"] >= least), F.concat(s["found"], F.array(run))).otherwise(s["found"])
+
+    def step(s, x):
+        near = F.forall(F.zip_with(s["columns"], x["columns"], lambda a, b: F.abs(a - b)), lambda d: F.coalesce(d < reach, F.lit(False)))
+        fits = s["start"].isNotNull() & (F.size(s["columns"]) == F.size(x["columns"])) & near
+        fresh = state(F.when(F.size(x["columns"]) >= 2, x["line_no"]), x["line_no"], F.lit(1), x["columns"], flushed(s))
+        return F.when(fits, state(s["start"], x["line_no"], s["n"] + 1, s["columns"], s["found"])).otherwise(fresh)
+
+    found = pages.select(*PAGE, F.explode(F.aggregate("_lines", empty, step, flushed)).alias("t"))
+    return found.select(*PAGE, "t.first_line", "t.last_line", "t.columns")
 
 
 def snapped(cell_rows: DataFrame, columns: DataFrame) -> DataFrame:

@@ -41,3 +41,10 @@ def write_parquet(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
     """Append a stream to Parquet, exactly once by its checkpoint."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what is there now and reads what it wrote: a table under folder, exactly once by its checkpoint."""
+    query = write_parquet(stream, f"{folder}/out", f"{folder}/checkpoint")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
