@@ -189,16 +189,27 @@ def filled(template: str, values: dict[str, Column], spaced: bool = True) -> Col
     return F.concat(*parts, F.lit(template[at:]))
 
 
+#: Weights by words of a style, the first that fits.
+FONT_WEIGHTS = (
+    ("thin|hairline", 100), ("extralight|ultralight", 200), ("light", 300), ("medium", 500), ("semibold|demibold", 600), ("extrabold|ultrabold", 800), ("black|heavy", 900), ("bold", 700),
+)
+
+
 def font_name(name: Column) -> Column:
     """struct(family, style, weight) of an embedded font's name without its subset tag."""
     bare = F.regexp_replace(name, r"^[A-Z]{6}\+", "")
     style = F.regexp_extract(bare, r"[-,](.*)$", 1)
     weight = F.lit(400)
-    for pattern, w in (("thin", 100), ("light", 300), ("medium", 500), ("bold", 700), ("semi|demi", 600), ("black|heavy", 900)):
+    for pattern, w in reversed(FONT_WEIGHTS):
         weight = F.when(F.lower(style).rlike(pattern), w).otherwise(weight)
     return F.struct(F.regexp_extract(bare, r"^([^-,]*)", 1).alias("family"), style.alias("style"), weight.alias("weight"))
 
 
+def nearest_weight(wanted: Column, have: Column) -> Column:
+    """Of an array of weights the one nearest to the wanted, the bolder on a tie."""
+    return F.array_min(F.transform(have, lambda w: F.struct(F.abs(w - wanted).alias("away"), (-w).alias("less"))))["less"] * -1
+
+
 def metadata_format(content: Column) -> Column:
     """jpeg, png, webp, pdf, ole or zip by the first bytes; null for anything else."""
     head = F.hex(F.substring(content, 1, 12))

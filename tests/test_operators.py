@@ -34,7 +34,9 @@ def test_scalars(spark):
     assert one(spark, X.exif_date(t), t=" 2024:01:02 03:04:05 ") == "2024-01-02 03:04:05"
     assert one(spark, X.js_round(F.col("n")), n=-2.5) == -2
     assert one(spark, X.safe_file_name(t, F.lit(7), "pdf"), t=' a/b:  c.pdf') == "a_b_ c.pdf" and one(spark, X.safe_file_name(t, F.lit(7), "pdf"), t="  ") == "7.pdf"
-    assert one(spark, X.font_name(t), t="ABCDEF+Noto Sans-SemiBold").asDict() == {"family": "Noto Sans", "style": "SemiBold", "weight": 700}
+    assert one(spark, X.font_name(t), t="ABCDEF+Noto Sans-SemiBold").asDict() == {"family": "Noto Sans", "style": "SemiBold", "weight": 600}
+    assert [one(spark, X.font_name(t), t=f"A-{s}")["weight"] for s in ("Bold", "ExtraBoldItalic", "UltraLight", "Light", "x")] == [700, 800, 200, 300, 400]
+    assert one(spark, X.nearest_weight(F.lit(600), F.array(*map(F.lit, (400, 500, 700))))) == 700
     assert one(spark, X.tags_by_risk(F.array(F.lit("xmp"), F.lit("gps")))) == ["gps", "xmp"]
     assert one(spark, X.upper_median(F.array(*map(F.lit, (4, 1, 3, 2))))) == 3
     assert [one(spark, X.error_code(t), t=m) for m in ("ENOENT", "needs a password", "odd")] == ["NOT_FOUND", "PASSWORD_REQUIRED", "UNREADABLE"]
