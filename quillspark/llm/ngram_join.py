@@ -62,6 +62,8 @@ SMALL = 8
 BLOCK = 512
 #: Sets of a bucket that one block of the rest is compared with in one task.
 CHUNK = 4096
+#: Pairs of a bucket's rest with its sets from which on the nearest are tried before all.
+FEW_PAIRS = 1 << 14
 #: Large buckets by which a set is compared at first: those of its least keys.
 FIRST_BUCKETS = 3
 #: Bits of the largest sketch.
@@ -393,34 +395,75 @@ def _distances(n, rows: list[bytes], x: np.ndarray, y: np.ndarray, num: int, den
     return away
 
 
-def _pairs_of(doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+def _pairs_of(doc: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     x, y = doc[x], doc[y]
     both = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-    return pa.table({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
-def _forest_pass(num: int, den: int):
-    """A forest of the nearest pairs of one block (n, doc_id, sketch)."""
+def _group_pass(found):
+    """A pass over rows sorted by group: found(n, doc, comp, rest, sketches) gives the pairs (x, y) of rows of each group.
 
-    def run(table: pa.Table) -> pa.Table:
-        n, doc = (table.column(c).to_numpy() for c in ("n", "doc_id"))
+    Rows are (group columns.., n, doc_id, comp, rest, sketch). A group is bounded by BLOCK and CHUNK and may go on in the
+    next batch; a task goes through all of its groups in one go, which most of them are too small to be worth a call of.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(table: pa.Table, ends: list[int]) -> pa.RecordBatch:
+            n, doc, comp, flag = (table.column(c).to_numpy() for c in ("n", "doc_id", "comp", "rest"))
+            sketches, xs, ys, at = table.column("sketch").to_pylist(), [], [], 0
+            for end in ends:
+                x, y = found(n[at:end], doc[at:end], comp[at:end], flag[at:end], sketches[at:end])
+                xs.append(x + at)
+                ys.append(y + at)
+                at = end
+            return _pairs_of(doc, np.concatenate(xs), np.concatenate(ys))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in table.schema.names[: table.schema.get_field_index("n")]]
+            ends = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if keys else np.zeros(0, np.int64)
+            if len(ends):
+                yield pairs(table.slice(0, int(ends[-1])), ends.tolist())
+            rest = table.slice(int(ends[-1]) if len(ends) else 0)
+        if rest is not None and rest.num_rows:
+            yield pairs(rest, [rest.num_rows])
+
+    return run
+
+
+def _in_groups(rows: DataFrame, keys: list[str], found) -> DataFrame:
+    """Pairs (a, b) of rows (keys.., doc_id, comp, rest, n, sketch) of the same keys."""
+    dealt = rows.select(*keys, "n", "doc_id", "comp", "rest", "sketch").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(_group_pass(found), "a long, b long").distinct()
+
+
+def _forest(num: int, den: int):
+    """A forest of the nearest pairs of one block."""
+
+    def found(n, doc, comp, rest, sketches):
         every = np.arange(len(n))
-        away = _distances(n, table.column("sketch").to_pylist(), every, every, num, den)
+        away = _distances(n, sketches, every, every, num, den)
         away[doc[:, None] == doc[None, :]] = _FAR
-        return _pairs_of(doc, *_nearest_forest(away, doc))
+        return _nearest_forest(away, doc)
 
-    return run
+    return found
 
 
-def _rest_pass(num: int, den: int, every: bool):
-    """Pairs of a block of the rest with other sets (n, doc_id, comp, rest, sketch) of other classes: all that no sketch refutes, or each one's nearest."""
+def _of_rest(num: int, den: int, every: bool):
+    """Pairs of a block of the rest with other sets of other classes: all that no sketch refutes, or each one's nearest."""
 
-    def run(table: pa.Table) -> pa.Table:
-        n, doc, comp, rest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "doc_id", "comp", "rest"))
+    def found(n, doc, comp, rest, sketches):
         x, y = np.flatnonzero(rest), np.flatnonzero(~rest)
         if not len(x) or not len(y):
-            return _pairs_of(doc, x[:0], y[:0])
-        away = _distances(n, table.column("sketch").to_pylist(), x, y, num, den)
+            return x[:0], y[:0]
+        away = _distances(n, sketches, x, y, num, den)
         away[comp[x][:, None] == comp[y][None, :]] = _FAR
         if every:
             i, j = np.nonzero(away < _FAR)
@@ -428,9 +471,9 @@ def _rest_pass(num: int, den: int, every: bool):
             j = away.argmin(1)
             i = np.flatnonzero(away[np.arange(len(x)), j] < _FAR)
             j = j[i]
-        return _pairs_of(doc, x[i], y[j])
+        return x[i], y[j]
 
-    return run
+    return found
 
 
 def _refute_pass(num: int, den: int):
@@ -524,8 +567,8 @@ def _first_pairs(members: DataFrame, sketches: DataFrame, num: int, den: int) ->
     near = stats.select("sig", F.explode(F.sequence(F.col("cls"), F.col("cls") + 2)).alias("cls"), F.col("pivot").alias("doc_id"))
     pivots = near.join(stats.select("sig", "cls", "parts"), ["sig", "cls"])
     pivots = pivots.select("sig", "cls", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "doc_id")
-    blocks = own.union(pivots).join(sketches, "doc_id")
-    return blocks.groupBy("sig", "cls", "block").applyInArrow(_forest_pass(num, den), "a long, b long").distinct()
+    blocks = own.union(pivots).join(sketches, "doc_id").withColumn("comp", F.col("doc_id")).withColumn("rest", F.lit(True))
+    return _in_groups(blocks, ["sig", "cls", "block"], _forest(num, den))
 
 
 def _rest_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, num: int, den: int, every: bool) -> DataFrame:
@@ -537,6 +580,8 @@ def _rest_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, num
     torn = shares.groupBy("sig").agg(
         F.count("*").alias("classes"), F.max_by(F.struct("comp", "m", "h1", "h2"), F.struct("m", "comp")).alias("most"), F.sum("m").alias("m"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
     ).where("classes > 1")
+    if not every:  # where few sets are left apart, all their pairs are as cheap as the nearest
+        torn = torn.where((F.col("m") - F.col("most.m")) * F.col("m") > FEW_PAIRS)
     # Buckets with the same sets outside the same largest class are one: their sets are compared once and not once a key.
     rest_of = [F.col("most.comp").alias("main"), F.col("m") - F.col("most.m"), *(F.col(f"h{i}").bitwiseXOR(F.col(f"most.h{i}")) for i in (1, 2))]
     torn = materialize(torn.select("sig", rest_of[0], F.xxhash64(*rest_of).alias("group")), "torn")
@@ -555,7 +600,7 @@ def _rest_pairs(members: DataFrame, sketches: DataFrame, classes: DataFrame, num
     right = _spread_join(held.withColumn("other", F.col("cls")).drop("cls"), of_all, ["sig", "other"]).withColumn("chunk", block(2)).withColumn("x", F.explode("met"))
     right = right.select("sig", F.col("x.small").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("x.blocks") - 1)).alias("block"), "other", "chunk", "doc_id", "comp", F.lit(False).alias("rest"))
     both = left.unionByName(right).join(sketches, "doc_id")
-    return both.groupBy("sig", "cls", "block", "other", "chunk").applyInArrow(_rest_pass(num, den, every), "a long, b long").distinct()
+    return _in_groups(both, ["sig", "cls", "block", "other", "chunk"], _of_rest(num, den, every))
 
 
 def _classes(texts: DataFrame, k: int, num: int, den: int, rare_below: int, small: int) -> DataFrame:

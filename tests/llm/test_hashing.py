@@ -56,7 +56,7 @@ def test_joins_of_thue_morse_words(spark):
 @pytest.mark.parametrize("seed", [11, 12])
 def test_large_buckets_in_small_blocks(spark, monkeypatch, seed):
     """Beyond BLOCK, CHUNK, BUFFER and the broadcast of ids the classes are the same."""
-    for name, value in {"BLOCK": 5, "CHUNK": 7, "BUFFER": 20, "BROADCAST_IDS": 0, "LEVEL_SLOTS": 1 << 12, "RANGE_BYTES": 512, "FIRST_BUCKETS": 1}.items():
+    for name, value in {"BLOCK": 5, "CHUNK": 7, "BUFFER": 20, "BROADCAST_IDS": 0, "LEVEL_SLOTS": 1 << 12, "RANGE_BYTES": 512, "FIRST_BUCKETS": 1, "FEW_PAIRS": 20}.items():
         monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed, 150)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
