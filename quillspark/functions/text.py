@@ -246,6 +246,11 @@ def error_code(message: Column) -> Column:
     return F.when(own.isin(*CODES), own).otherwise(out)
 
 
+def upper_median_of(column: str) -> Column:
+    """The upper middle of a group, as an aggregate that keeps counts of values and no list."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{column}` desc)")
+
+
 def upper_median(values: Column) -> Column:
     """The middle of a sorted array, the upper one of an even number."""
     s = F.array_sort(values)

@@ -187,8 +187,14 @@ def redact(docs: DataFrame, phrases: list[str], mark: str = "#") -> DataFrame:
     return docs.select("doc_id", found.alias("n_found"), masked.alias("redacted")).withColumn("n_left", left).withColumn("proved", F.col("n_left") == 0)
 
 
+#: Phrases of one redaction: all of them go to every task.
+MOST_PHRASES = 10_000
+
+
 def redaction_boxes(runs: DataFrame, phrases: DataFrame, margin: float = 1.0) -> DataFrame:
     """Boxes over each occurrence of a phrase in text runs (x, baseline, w, size, text), by estimated widths."""
+    if phrases.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
+        raise ValueError(f"BAD_ARGUMENT: more than {MOST_PHRASES} phrases")
     hit = runs.join(F.broadcast(phrases), F.expr("instr(text, phrase) > 0"))
     pieces = hit.withColumn("parts", F.expr("split(text, concat('\\\\Q', phrase, '\\\\E'), -1)"))
     at = pieces.select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))

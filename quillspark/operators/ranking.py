@@ -56,10 +56,15 @@ def confidence(score: Column, margin: Column) -> Column:
     return F.when((score >= 0.85) & (margin >= 0.02), "high").when(score >= 0.7, "mid").otherwise("low")
 
 
+#: Observed glyphs up to which they are broadcast to the faces.
+MOST_OBSERVED = 20_000
+
+
 def face_scores(observations: DataFrame, faces: DataFrame, coverage: float = 0.7) -> DataFrame:
     """Mean similarity of each face over the characters observed, of faces that cover enough of them."""
     n = observations.agg(F.count_distinct("char").alias("n"))
-    hit = faces.join(F.broadcast(observations), "char").select("face", "char", X.bitmap_similarity(F.col("bits"), F.col("seen")).alias("sim"))
+    small = observations.count() <= MOST_OBSERVED
+    hit = faces.join(F.broadcast(observations) if small else observations, "char").select("face", "char", X.bitmap_similarity(F.col("bits"), F.col("seen")).alias("sim"))
     out = hit.groupBy("face").agg(F.avg("sim").alias("mean"), F.count_distinct("char").alias("covered")).join(F.broadcast(n))
     share = F.col("covered") / F.col("n")
     return out.where(share >= coverage).select("face", (F.col("mean") * (0.9 + 0.1 * share)).alias("score"), "covered")

@@ -62,7 +62,7 @@ def agg_line_fit(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS middle FROM events GROUP BY 1")
 def agg_upper_median(spark, d):
-    return _t(spark, d, "events").groupBy("user_id").agg(X.upper_median(F.collect_list("value")).alias("middle"))
+    return _t(spark, d, "events").groupBy("user_id").agg(X.upper_median_of("value").alias("middle"))
 
 
 @query("WITH r AS (SELECT user_id, floor(value * 100 + 0.5) / 100 AS z, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, arg_max(z, (n, -z)) AS level FROM r GROUP BY 1")
