@@ -116,6 +116,23 @@ def append_row(cells: DataFrame, values: list[str]) -> DataFrame:
     return cells.select(new.columns).unionByName(new)
 
 
+def append_row_outcome(cells: DataFrame, row: int | None = None) -> DataFrame:
+    """doc_id, table_no, status, plain_row: whether a row (the last by default) can be copied to a table's end.
+
+    A row with merged cells cannot: RULE, with the first row after the head that has none (null if there is none). A row
+    that the table has not: BAD_ARGUMENT. Cells that a span from above covers make a row merged as well.
+    """
+    span = F.sequence(F.col("row_idx"), F.col("row_idx") + F.col("row_span") - 1)
+    reached = cells.select("doc_id", "table_no", F.explode(span).alias("row_idx"), (F.greatest("row_span", "col_span") > 1).alias("merged"))
+    rows = reached.groupBy("doc_id", "table_no", "row_idx").agg(F.max("merged").alias("merged"))
+    wanted = F.max("row_idx") if row is None else F.lit(row)
+    each = rows.groupBy("doc_id", "table_no").agg(wanted.alias("_row"), F.collect_list(F.struct("row_idx", "merged")).alias("_rows"))
+    own = F.filter("_rows", lambda r: r["row_idx"] == F.col("_row"))
+    plain = F.array_min(F.transform(F.filter("_rows", lambda r: (r["row_idx"] > 0) & ~r["merged"]), lambda r: r["row_idx"]))
+    status = F.when(F.size(own) == 0, "BAD_ARGUMENT").when(own[0]["merged"], "RULE").otherwise("ok")
+    return each.select("doc_id", "table_no", status.alias("status"), F.when(status == "RULE", plain).alias("plain_row"))
+
+
 def fold_operations(docs: DataFrame, operations: list[dict]) -> DataFrame:
     """doc_id, ok, failed_op, text after an ordered list of replace operations: the first without a hit undoes all.
 

@@ -417,6 +417,33 @@ def scl_confidence(spark, d):
     return _t(spark, d, "part").select("p_partkey", R.confidence(score, F.when(F.col("p_partkey") % 2 == 0, 0.03).otherwise(0.01)).alias("confidence"))
 
 
+@query("SELECT p_partkey, p_size < 20 OR p_size >= 30 AND p_size < 40 AS inside FROM part")
+def agg_inside_polygon(spark, d):
+    """A U of two posts of 20 and 10 wide (open between 20 and 30 above a bar): a point at height 5 is in a post or between them."""
+    u = F.array(*map(F.lit, (0.0, 0.0, 40.0, 0.0, 40.0, 10.0, 30.0, 10.0, 30.0, 2.0, 20.0, 2.0, 20.0, 10.0, 0.0, 10.0)))
+    return _t(spark, d, "part").select("p_partkey", G.inside_polygon(u, F.col("p_size").cast("double"), F.lit(5.0)).alias("inside"))
+
+
+@query("""WITH i AS (SELECT event_id AS item_no, CAST(user_id * 7 % 100 AS DOUBLE) AS x0, CAST(event_id % 100 AS DOUBLE) AS y0, CAST(user_id * 7 % 100 + event_id % 7 AS DOUBLE) AS x1, CAST(event_id % 100 + event_id % 5 AS DOUBLE) AS y1 FROM events),
+m AS (SELECT item_no, 0 AS k, x0 AS x, y0 AS y FROM i UNION ALL SELECT item_no, 1, (x0 + x1) / 2, (y0 + y1) / 2 FROM i UNION ALL SELECT item_no, 2, x1, y1 FROM i),
+p AS (SELECT c_custkey AS point_id, CAST(c_custkey % 97 AS DOUBLE) AS px, CAST(c_custkey * 5 % 97 AS DOUBLE) AS py FROM customer), w AS (SELECT point_id, item_no, k, sqrt((px - x) ** 2 + (py - y) ** 2) AS a FROM p, m)
+SELECT point_id, arg_min(item_no, (round(a, 9), item_no, k)) AS item_no, ['start', 'middle', 'end'][arg_min(k, (round(a, 9), item_no, k)) + 1] AS what, round(min(a), 5) AS distance FROM w WHERE a <= 2 GROUP BY 1""")
+def flt_snap_points(spark, d):
+    from .table_queries import _items
+
+    points = _t(spark, d, "customer").select(F.col("c_custkey").alias("point_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), (F.col("c_custkey") % 97).cast("double").alias("px"), (F.col("c_custkey") * 5 % 97).cast("double").alias("py"))
+    return G.snap_points(_items(spark, d), points, 2.0).select("point_id", "item_no", "what", F.round("distance", 5).alias("distance"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber - 1 AS r FROM lineitem GROUP BY 1, 2), m AS (SELECT doc_id, r, r IN (1, 2) AND bool_or(r = 1) OVER (PARTITION BY doc_id) AS merged FROM c),
+x AS (SELECT doc_id, max(r) AS last, bool_or(r = 1) AS has1, list(r) AS rows FROM m GROUP BY 1), f AS (SELECT doc_id, min(r) AS plain FROM m WHERE r > 0 AND NOT merged GROUP BY 1)
+SELECT x.doc_id, CASE WHEN greatest(last, CASE WHEN has1 THEN 2 ELSE 0 END) IN (1, 2) AND has1 THEN 'RULE' ELSE 'ok' END AS status, CASE WHEN greatest(last, CASE WHEN has1 THEN 2 ELSE 0 END) IN (1, 2) AND has1 THEN plain END AS plain_row FROM x LEFT JOIN f USING (doc_id)""")
+def edt_append_row_outcome(spark, d):
+    from .text_queries import _cells
+
+    return D.append_row_outcome(_cells(spark, d)).select("doc_id", "status", "plain_row")
+
+
 # --- scalar functions -------------------------------------------------------------------------------------
 
 

@@ -77,3 +77,18 @@ def test_scores_in_blocks(spark):
     assert {(r["query_id"], r["vec_id"]): r["sim"] for r in scores.collect()} == {(q, v): q * v + 1.0 for q in range(50) for v in range(50)}
     assert "Broadcast" not in scores._jdf.queryExecution().toString()
     assert R.cosine_scores(rows, queries.limit(0)).count() == 0
+
+
+def test_boxes_and_items_of_all_sizes(spark):
+    from quillspark.operators import geometry as G
+
+    rng = np.random.default_rng(8)
+    def some(n):
+        at, size = rng.uniform(-300, 300, (n, 2)), 10 ** rng.uniform(-2, 3, (n, 2))
+        return [(i, float(x), float(y), float(x + w), float(y + h)) for i, ((x, y), (w, h)) in enumerate(zip(at, size, strict=True))]
+    items, boxes = some(150), some(60)
+    a = spark.createDataFrame([("f", 1, *r) for r in items], "file string, sheet int, item_no long, x0 double, y0 double, x1 double, y1 double")
+    b = spark.createDataFrame([("f", 1, *r) for r in boxes], "file string, sheet int, box_id long, bx0 double, by0 double, bx1 double, by1 double")
+    got = [(r["box_id"], r["item_no"]) for r in G.in_boxes(a, b, 2.0).collect()]
+    want = {(j, i) for j, bx0, by0, bx1, by1 in boxes for i, x0, y0, x1, y1 in items if x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0}
+    assert len(got) == len(set(got)) and set(got) == want
