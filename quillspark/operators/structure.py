@@ -174,6 +174,35 @@ def layout_rows(blocks: DataFrame) -> DataFrame:
     return placed.where("row_no < _last").select("doc_id", "page", "row_no", "values")
 
 
+def tables_markdown(cells: DataFrame, key: str = "path") -> DataFrame:
+    """key, table_no, markdown of tables (key, table_no, row_idx, col_idx, row_span, col_span, text).
+
+    A table without merged cells is a pipe table with its first row as head, one cell alone a quote, any other HTML with its spans.
+    """
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    pipe = F.replace(flat, F.lit("|"), F.lit("\\|"))
+    span = lambda c, name: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise("")
+    html = F.concat(F.lit("<td"), span("row_span", "rowspan"), span("col_span", "colspan"), F.lit(">"), X.xml_escaped(flat), F.lit("</td>"))
+    one = F.array_sort(F.collect_list(F.struct("col_idx", pipe.alias("pipe"), html.alias("html"))))
+    rows = cells.groupBy(key, "table_no", "row_idx").agg(one.alias("c"), F.max(F.greatest("row_span", "col_span")).alias("most"), F.first(flat).alias("alone"))
+    both = rows.select(
+        key, "table_no", "row_idx", "most", "alone", F.size("c").alias("n"),
+        F.concat(F.lit("| "), F.array_join(F.transform("c", lambda x: x["pipe"]), " | "), F.lit(" |")).alias("line"), F.concat(F.lit("<tr>"), F.array_join(F.transform("c", lambda x: x["html"]), ""), F.lit("</tr>")).alias("tr"),
+    )
+    table = both.groupBy(key, "table_no").agg(F.array_sort(F.collect_list(F.struct("row_idx", "line", "tr"))).alias("r"), F.max("most").alias("most"), F.sum("n").alias("n"), F.max("n").alias("width"), F.first("alone").alias("alone"))
+    lines, trs = F.transform("r", lambda x: x["line"]), F.transform("r", lambda x: x["tr"])
+    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("width").cast("int")), " | "), F.lit(" |"))
+    plain = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.size(lines))), "\n")
+    said = F.when(F.col("n") == 1, F.concat(F.lit("> "), F.col("alone"))).when(F.col("most") > 1, F.concat(F.lit("<table>"), F.array_join(trs, ""), F.lit("</table>"))).otherwise(plain)
+    return table.select(key, "table_no", said.alias("markdown"))
+
+
+def summary_line(cells: DataFrame, key: str = "path") -> DataFrame:
+    """key, summary: how many tables, nested tables and merged cells a document has."""
+    per = cells.groupBy(key).agg(F.count_distinct("table_no").alias("t"), F.count_distinct(F.when(F.col("depth") > 0, F.col("table_no"))).alias("n"), F.count_if(F.col("row_span") * F.col("col_span") > 1).alias("m"))
+    return per.select(key, F.format_string("%d tables, %d nested, %d merged cells", "t", "n", "m").alias("summary"))
+
+
 def svg_filled(svg: Column, pairs: list[tuple[str, str]]) -> Column:
     """An SVG with sample texts replaced: only what stands between tags, in its escaped form."""
     said = [(F.lit(a), F.lit(b)) for a, b in ((X_escape(f), X_escape(t)) for f, t in pairs)]

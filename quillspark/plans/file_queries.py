@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import documents as D
+from ..operators import structure as T
 from ..sources import files as S
 from ..sources import formats, markup, sinks
 
@@ -210,6 +211,43 @@ def src_hwpx_blocks(spark, d):
     return S.hwpx_blocks(_as_files(sinks.zipped(rows, "n_nationkey"), "n_nationkey")).select(_id("id"), "section", "block_no", "text")
 
 
+def _hwpx_tables(spark, d):
+    """An HWPX for each region: a plain table of its nations, a table with a merged head that holds another table, and a single cell."""
+    cell = lambda r, c, text, spans="", inner="": F.concat(F.lit('<hp:tc><hp:cellAddr rowAddr="'), r.cast("string"), F.lit(f'" colAddr="{c}"/>{spans}<hp:subList><hp:p><hp:run><hp:t>'), text, F.lit(f"</hp:t>{inner}</hp:run></hp:p></hp:subList></hp:tc>"))
+    from pyspark.sql.window import Window
+
+    at = F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1
+    rows = _t(spark, d, "nation").withColumn("at", at)
+    line = F.concat(F.lit("<hp:tr>"), cell(F.col("at"), 0, F.col("n_name")), cell(F.col("at"), 1, F.concat(F.lit("a|b "), F.col("n_nationkey").cast("string"))), F.lit("</hp:tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("l")))), lambda x: x["l"]), "")
+    zero, one = F.lit(0), F.lit(1)
+    inner = '<hp:tbl><hp:tr><hp:tc><hp:subList><hp:p><hp:t>in</hp:t></hp:p></hp:subList></hp:tc></hp:tr></hp:tbl>'
+    merged = F.concat(F.lit("<hp:tbl><hp:tr>"), cell(zero, 0, F.lit("head &amp; more"), '<hp:cellSpan rowSpan="1" colSpan="2"/>', inner), F.lit("</hp:tr><hp:tr>"), cell(one, 0, F.lit("x")), cell(one, 1, F.lit("y")), F.lit("</hp:tr></hp:tbl>"))
+    files = rows.groupBy("n_regionkey").agg(body.alias("b"))
+    xml = F.concat(F.lit('<s xmlns:hp="h"><hp:p><hp:tbl>'), F.col("b"), F.lit("</hp:tbl></hp:p><hp:p>"), merged, F.lit("</hp:p></s>"))
+    packed = files.select("n_regionkey", F.lit("Contents/section0.xml").alias("name"), xml.cast("binary").alias("content"))
+    return S.hwpx_cells(_as_files(sinks.zipped(packed, "n_regionkey"), "n_regionkey"))
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r, n_name, n_nationkey FROM nation)
+SELECT id, 0 AS table_no, 0 AS depth, r AS row_idx, k AS col_idx, 1 AS col_span, CASE k WHEN 0 THEN n_name ELSE 'a|b ' || n_nationkey END AS text FROM n, (VALUES (0), (1)) v(k)
+UNION ALL SELECT DISTINCT id, t, dp, rr, cc, cs, tx FROM n, (VALUES (1, 0, 0, 0, 2, 'head & more'), (1, 0, 1, 0, 1, 'x'), (1, 0, 1, 1, 1, 'y'), (2, 1, 0, 0, 1, 'in')) w(t, dp, rr, cc, cs, tx)""")
+def src_hwpx_cells(spark, d):
+    return _hwpx_tables(spark, d).select(_id("id"), "table_no", "depth", "row_idx", "col_idx", "col_span", "text")
+
+
+@query("""WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS id, string_agg('| ' || n_name || ' | a\\|b ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) AS lines FROM nation GROUP BY 1)
+SELECT id, 0 AS table_no, CASE WHEN contains(lines, chr(10)) THEN regexp_replace(lines, '\n', chr(10) || '| --- | --- |' || chr(10)) ELSE lines || chr(10) || '| --- | --- |' END AS markdown FROM n
+UNION ALL SELECT id, 1, '<table><tr><td colspan="2">head &amp; more</td></tr><tr><td>x</td><td>y</td></tr></table>' FROM n UNION ALL SELECT id, 2, '> in' FROM n""")
+def snk_tables_markdown(spark, d):
+    return T.tables_markdown(_hwpx_tables(spark, d)).select(_id("id"), "table_no", "markdown")
+
+
+@query("SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS id, '3 tables, 1 nested, 1 merged cells' AS summary FROM nation")
+def snk_summary_line(spark, d):
+    return T.summary_line(_hwpx_tables(spark, d)).select(_id("id"), "summary")
+
+
 # --- drawings, boards, meshes -----------------------------------------------------------------------------
 
 

@@ -104,6 +104,11 @@ def hwpx_blocks(files: DataFrame) -> DataFrame:
     return parsed(files, lambda b: [dict(zip(("section", "block_no", "text"), x, strict=True)) for x in formats.hwpx_blocks(b)], "section long, block_no long, text string")
 
 
+def hwpx_cells(files: DataFrame) -> DataFrame:
+    names = ("section", "table_no", "depth", "row_idx", "col_idx", "row_span", "col_span", "text")
+    return parsed(files, lambda b: [dict(zip(names, x, strict=True)) for x in formats.hwpx_cells(b)], "section long, table_no long, depth long, row_idx long, col_idx long, row_span long, col_span long, text string")
+
+
 def xlsx_cells(files: DataFrame) -> DataFrame:
     return parsed(files, lambda b: [dict(zip(("sheet", "row_idx", "col_idx", "value", "num"), x, strict=True)) for x in formats.xlsx_cells(b)], "sheet string, row_idx long, col_idx long, value string, num double")
 

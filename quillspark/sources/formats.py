@@ -214,6 +214,53 @@ def hwpx_blocks(data: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
+#: Tables in tables are read so deep.
+MOST_DEPTH = 4
+
+
+def hwpx_cells(data: bytes) -> list[tuple[int, int, int, int, int, int, int, str]]:
+    """(section, table, depth, row, col, row_span, col_span, text) of the cells of an HWPX; a cell's text is that of its own paragraphs."""
+    local = lambda e: e.tag.rpartition("}")[2]
+    out, tables = [], 0
+
+    def own_text(e):
+        lines = []
+        for child in e:
+            if local(child) == "tbl":
+                continue
+            if local(child) == "p":
+                lines.append("".join(own_text(child)))
+            elif local(child) == "t":
+                lines.append("".join(child.itertext()))
+            else:
+                lines += own_text(child)
+        return lines
+
+    def walk(section, e, depth):
+        nonlocal tables
+        for child in e:
+            if local(child) != "tbl" or depth >= MOST_DEPTH:
+                walk(section, child, depth)
+                continue
+            table, tables = tables, tables + 1
+            for r, row in enumerate(x for x in child if local(x) == "tr"):
+                for c, cell in enumerate(x for x in row if local(x) == "tc"):
+                    parts = {local(x): x for x in cell}
+                    at, span = (parts[k].attrib if k in parts else {} for k in ("cellAddr", "cellSpan"))
+                    body = [x for x in cell if local(x) not in ("cellAddr", "cellSpan")]
+                    text = "\n".join("\n".join(own_text(x)) for x in body)
+                    out.append((section, table, depth, int(at.get("rowAddr", r)), int(at.get("colAddr", c)), int(span.get("rowSpan", 1)), int(span.get("colSpan", 1)), text))
+                    walk(section, cell, depth + 1)
+
+    with _zip(data) as z:
+        names = sorted((n for n in z.namelist() if re.match(r"Contents/section\d+\.xml$", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+        if not names:
+            raise Unreadable("UNREADABLE", "not an HWPX: no section")
+        for s, name in enumerate(names):
+            walk(s, ET.fromstring(z.read(name)), 0)
+    return out
+
+
 def xlsx_cells(data: bytes) -> list[tuple[str, int, int, str, float | None]]:
     """(sheet, row, col, value, number) of an XLSX; shared and inline strings resolved."""
     with _zip(data) as z:
