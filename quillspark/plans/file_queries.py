@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import documents as D
 from ..operators import structure as T
 from ..sources import files as S
-from ..sources import formats, markup, sinks
+from ..sources import dxf, formats, markup, sinks
 
 QUERIES, ORACLES = {}, {}
 
@@ -260,6 +260,34 @@ def src_dxf_items(spark, d):
     return S.drawing_items(_as_files(files, "o_custkey")).groupBy(_id("id")).agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count_distinct("layer").alias("layers"))
 
 
+def _drawings(spark, d):
+    """A drawing for each customer: a header with a unit, a block, and an entity of one of four types for each order, every fifth in paper space."""
+    x = F.col("o_orderkey") % 100
+    kind = F.element_at(F.array(*map(F.lit, ("LINE", "ELLIPSE", "SPLINE", "HATCH"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    paper = F.when(F.col("o_orderkey") % 5 == 0, "67\n1\n").otherwise("")
+    entity = F.concat(F.lit("  0\n"), kind, F.lit("\n5\n"), F.col("o_orderkey").cast("string"), F.lit("\n8\n"), F.col("o_orderstatus"), F.lit("\n"), paper, F.lit(" 10\n"), x.cast("string"), F.lit(".5\n 20\n1.0\n 11\n"), (x + 3).cast("string"), F.lit("\n 21\n2.0\n"))
+    head = F.concat(F.lit("0\nSECTION\n2\nHEADER\n9\n$INSUNITS\n70\n"), (F.col("o_custkey") % 3).cast("string"), F.lit("\n9\n$MEASUREMENT\n70\n"), (F.col("o_custkey") % 2).cast("string"), F.lit("\n0\nENDSEC\n0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB1\n0\nPOINT\n8\nin\n10\n7\n20\n8\n0\nENDBLK\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n"))
+    files = _t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(entity)), "").alias("body"))
+    return _as_files(files.select("o_custkey", F.concat(head, "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("content")), "o_custkey")
+
+
+@query("""SELECT o_custkey AS id, 'ENTITIES' AS section, '' AS block, CASE WHEN o_orderkey % 5 = 0 THEN 'paper' ELSE 'model' END AS space, ['LINE', 'ELLIPSE', 'SPLINE', 'HATCH'][o_orderkey % 4 + 1] AS type, o_orderstatus AS layer, CAST(o_orderkey AS VARCHAR) AS handle, CASE WHEN o_orderkey % 5 = 0 THEN 7 ELSE 6 END AS n_codes FROM orders
+UNION ALL SELECT DISTINCT o_custkey, 'BLOCKS', 'B1', 'model', 'POINT', 'in', '', 3 FROM orders""")
+def src_dxf_entities(spark, d):
+    out = dxf.entities(_drawings(spark, d))
+    return out.select(_id("id"), "section", F.coalesce("block", F.lit("")).alias("block"), "space", "type", "layer", F.coalesce("handle", F.lit("")).alias("handle"), F.size("codes").alias("n_codes"))
+
+
+@query("SELECT o_custkey AS id, ['LINE', 'ELLIPSE', 'SPLINE', 'HATCH'][o_orderkey % 4 + 1] AS type, count(*) AS n, min(o_orderkey % 100 + 0.5)::DOUBLE AS x0, max(o_orderkey % 100 + 3)::DOUBLE AS x1, 2.0 AS y1 FROM orders GROUP BY 1, 2")
+def agg_dxf_extents(spark, d):
+    return dxf.extents(dxf.entities(_drawings(spark, d)).where("block is null")).select(_id("id"), "type", "n", "x0", "x1", "y1")
+
+
+@query("SELECT o_custkey AS id, CASE o_custkey % 3 WHEN 1 THEN 25.4 WHEN 2 THEN 304.8 ELSE CASE WHEN o_custkey % 2 = 0 THEN 25.4 ELSE 1.0 END END AS unit_mm FROM orders GROUP BY 1")
+def src_dxf_units(spark, d):
+    return dxf.units(_drawings(spark, d)).select(_id("id"), "unit_mm")
+
+
 @query("SELECT o_custkey AS id, count(*) AS n, round(min(o_orderkey % 100) - 0.25, 4) AS x0, round(max(o_orderkey % 100) + 0.25, 4) AS x1 FROM orders GROUP BY 1")
 def src_gerber_items(spark, d):
     flash = F.concat(F.lit("X"), ((F.col("o_orderkey") % 100) * 10000).cast("string"), F.lit("Y0D03*"))
