@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import IS_SPACE, code_points, flat_text, materialize, rows_of, splitmix
+from .common import IS_SPACE, code_points, columns_of, flat_text, materialize, rows_of, splitmix
 
 #: A cut falls after a byte where the low bits of the rolling hash are zero: 1 in 2**MASK_BITS bytes on average.
 MASK_BITS = 10
@@ -165,7 +165,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     ids = numbered.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     found = recipes(numbered.select(F.col(key).alias("doc_id"), "text")).drop("row").withColumnRenamed("doc_id", "row")
     gone = _judged(materialize(found.join(ids, "row"), "recipes")).where("not kept").select(F.col("row").alias(key))
-    return numbered.join(gone, key, "left_anti").select(*docs.columns)
+    return numbered.join(gone, key, "left_anti").select(*columns_of(docs))
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize
+from .common import columns_of, documents, materialize
 
 ALPHA = 0.9
 ROUNDS = 8
@@ -136,7 +136,7 @@ def calibrated(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tok
 
 def sample_documents(docs: DataFrame, targets: dict[str, DataFrame] | None = None, tokens: float | None = None) -> DataFrame:
     """The rows of docs that are drawn, with the columns of docs, whatever their names."""
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_doc"), docs["doc_id"].alias("_mix_id"), docs["text"], docs["source"], docs["lang"])
+    whole = docs.select(F.struct(*columns_of(docs)).alias("_doc"), docs["doc_id"].alias("_mix_id"), docs["text"], docs["source"], docs["lang"])
     dealt = materialize(with_cells(whole).drop("text", "source", "lang"), "dealt")
     return _drawn(dealt, targets, tokens).where("_mix_kept").select("_doc.*")
 

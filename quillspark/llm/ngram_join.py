@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWERED_CODES, discard, documents, flat_text, materialize, mix64, rows_of, span_hashes, word_spans
+from .common import LOWERED_CODES, columns_of, discard, documents, flat_text, materialize, mix64, rows_of, span_hashes, word_spans
 from .components import connected_components
 
 #: Tokens in fewer documents than this are rare.
@@ -697,7 +697,7 @@ def keep_one_of_each_class(docs: DataFrame, k: int = 5, num: int = 80, den: int
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     best = found.groupBy("class").agg(F.min(order)["row"].alias("best"))
     drop = found.join(best, "class").where("row <> best and doc_id is not null").select(F.col("row").alias(gone))
-    return numbered.join(drop, gone, "left_anti").select(*docs.columns)
+    return numbered.join(drop, gone, "left_anti").select(*columns_of(docs))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillspark.llm import common, exact_dedup, ngram_join, packing
+from quillspark.llm import common, exact_dedup, mixing, ngram_join, packing
 from quillspark.llm.tokenize import _groups, tokenizer
 from tests.llm.test_dedup import brute_classes, corpus
 from tests.llm.test_packing import whole_ids
@@ -101,6 +101,14 @@ def test_stages_with_any_column_names(spark):
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 3}
 
 
+def test_stages_with_dotted_names(spark):
+    rows = [(1, "one two three four five six", "en", "s", 1), (1, "one two three four five six", "en", "s", 2), (2, "seven", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b c` int")
+    for stage in (exact_dedup.drop_exact_duplicates, ngram_join.keep_one_of_each_class, mixing.sample_documents):
+        out = stage(docs)
+        assert out.columns == docs.columns and out.count() <= 3
+
+
 def test_repeated_ids_with_different_texts(spark):
     rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (2, "alpha beta gamma delta epsilon zeta"), (3, "one two three four five six")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
