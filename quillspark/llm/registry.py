@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, exact_dedup, fim, language_id, licenses, media, mixing, ngram_join, packing, quality, token_counts, url_rules
+from . import chat, exact_dedup, fim, language_id, licenses, media, merkle, mixing, ngram_join, packing, quality, token_counts, url_rules
 
-MODULES = (packing, mixing, chat, ngram_join, language_id, licenses, media, quality, url_rules, exact_dedup, token_counts, fim)
+MODULES = (packing, mixing, chat, ngram_join, language_id, licenses, media, quality, url_rules, exact_dedup, token_counts, fim, merkle)
 
 
 def queries() -> dict:
