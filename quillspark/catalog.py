@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import file_queries, page_queries, structure_queries, table_queries, text_queries
+from .plans import batch_queries, file_queries, page_queries, structure_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries, page_queries, file_queries, structure_queries)
+MODULES = (text_queries, table_queries, page_queries, file_queries, structure_queries, batch_queries)
 
 
 def queries() -> dict:

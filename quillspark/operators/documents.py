@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources import tables
 
 
 def blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -169,23 +170,46 @@ def fill_rows(data: DataFrame, template: str, key: str, repeat: str | None = Non
     return data.select(F.col(key), body.alias("text"), added.alias("rows_added")).withColumn("left", X.placeholders(F.col("text")))
 
 
-def unique_names(named: DataFrame, name: str, order: str) -> DataFrame:
+def _past_taken(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    """rows (_name, _order, _k) with _k, their turn, made the _k-th number that no taken name of the same stem has.
+
+    The i-th taken number k leaves k - i free ones below it, so it moves every turn beyond these on by one: a running count
+    over turns and taken numbers together.
+    """
+    parts = F.regexp_extract(F.col("name"), r"^(.*)-([1-9][0-9]{0,8})(\.[^.]*)?$", 2).try_cast("int")
+    stem = F.regexp_replace("name", r"-[1-9][0-9]{0,8}(\.[^.]*)?$", "$1")
+    each = taken.select("name").distinct().select(F.explode(F.array(F.struct(F.col("name").alias("_name"), F.lit(1).alias("_n")), F.struct(stem.alias("_name"), parts.alias("_n")))).alias("t")).select("t.*")
+    numbers = each.where("_n >= 1").distinct().join(rows.select("_name").distinct(), "_name", "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy("_name").orderBy("_n")))
+    both = rows.select("_name", "_order", F.col("_k").alias("_at"), F.lit(0).alias("_taken")).unionByName(numbers.select("_name", (F.col("_n") - F.col("_i") + 1).alias("_at"), F.lit(1).alias("_taken")), allowMissingColumns=True)
+    moved = F.sum("_taken").over(Window.partitionBy("_name").orderBy("_at", F.desc("_taken")).rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_k", (F.col("_at") + moved).cast("int")).where("_taken = 0").select("_name", "_order", "_k")
+
+
+def unique_names(named: DataFrame, name: str, order: str, taken: DataFrame | None = None) -> DataFrame:
     """`unique_name`: in order, each row takes its name, or the first of name-2, name-3.. that no earlier row has taken.
 
-    Rows of one name count up among themselves; where a made name meets a name of other rows, the earlier row keeps it and
-    the others of the later row's name move on, until no two rows meet. Each round is a few shuffles of narrow rows; two
-    rounds are the rule, and there are never more than chains of such meetings.
+    taken (name) are files that are there already: they come before all rows. Rows of one name count up among themselves;
+    where a made name meets a name of other rows, the earlier row keeps it and the others of the later row's name move on,
+    until no two rows meet. Each round is a few shuffles of narrow rows that are then written, so that no round runs those
+    before it again; two rounds are the rule, and there are never more than chains of such meetings.
     """
-    rows = named.select(F.col(name).alias("_name"), F.col(order).alias("_order")).distinct()
-    rows = rows.select("*", F.row_number().over(Window.partitionBy("_name").orderBy("_order")).alias("_k"), F.lit(0).alias("_skip"))
+    rows = named.select(F.col(name).alias("_name"), F.col(order).alias("_order")).distinct().withColumn("_k", F.row_number().over(Window.partitionBy("_name").orderBy("_order")))
+    if taken is not None:
+        rows = _past_taken(rows, taken)
+    rows = tables.written(rows.withColumn("_skip", F.lit(0)), "names")
     made = lambda k: F.when(k == 1, F.col("_name")).otherwise(F.concat(F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 1), F.lit("-"), k.cast("string"), F.regexp_extract("_name", r"^(.*?)(\.[^.]*)?$", 2)))
-    along = Window.partitionBy("_name").orderBy("_order")
+    along = Window.partitionBy("_name").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     while True:
-        now = rows.withColumn("_made", made(F.col("_k") + F.col("_skip"))).withColumn("_first", F.min("_order").over(Window.partitionBy("_made")))
-        if now.where("_order > _first").isEmpty():
+        now = rows.withColumn("_made", made(F.col("_k") + F.col("_skip")))
+        firsts = now.groupBy("_made").agg(F.min("_order").alias("_first"))
+        if taken is not None:
+            there = taken.select(F.col("name").alias("_made")).distinct().withColumn("_there", F.lit(True))
+            firsts = firsts.join(there, "_made", "left").withColumn("_first", F.when(F.col("_there").isNull(), F.col("_first")))
+        meets = (F.col("_first").isNull() | (F.col("_order") > F.col("_first"))).cast("int")
+        now = tables.written(now.join(firsts.select("_made", "_first"), "_made").withColumn("_meets", meets), "names")
+        if now.where("_meets = 1").isEmpty():
             break
-        more = F.max(F.col("_skip") + (F.col("_order") > F.col("_first")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))
-        rows = now.select("_name", "_order", "_k", more.alias("_skip"))
+        rows = now.select("_name", "_order", "_k", F.max(F.col("_skip") + F.col("_meets")).over(along).alias("_skip"))
     keyed = now.select("_name", "_order", F.col("_made").alias("unique_name"))
     return named.join(keyed, (F.col(name) == F.col("_name")) & (F.col(order) == F.col("_order"))).drop("_name", "_order")
 

@@ -72,9 +72,13 @@ def unknown_columns(match: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def batch_result(rows: DataFrame, given: list[str]) -> DataFrame:
-    """made, failed, unused of a batch (ok, used ARRAY): how many outputs were made, and the given keys that none used."""
-    each = rows.agg(F.count_if("ok").alias("made"), F.count_if(~F.col("ok")).alias("failed"), F.array_distinct(F.flatten(F.collect_set(F.array_sort("used")))).alias("_used"))
-    return each.select("made", "failed", F.array_sort(F.array_except(F.array(*map(F.lit, given)), "_used")).alias("unused"))
+    """made, failed, unused of a batch (ok, used ARRAY): how many outputs were made, and the given keys that none used.
+
+    Of the used keys only the given ones, each once, come together.
+    """
+    sums = rows.agg(F.count_if("ok").alias("made"), F.count_if(~F.col("ok")).alias("failed"))
+    used = rows.select(F.explode("used").alias("key")).where(F.col("key").isin(given)).distinct().agg(F.collect_list("key").alias("_used"))
+    return sums.join(used).select("made", "failed", F.array_sort(F.array_except(F.array(*map(F.lit, given)), "_used")).alias("unused"))
 
 
 # --- previews and candidates ------------------------------------------------------------------------------

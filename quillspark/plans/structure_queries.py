@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -16,6 +13,7 @@ from ..operators import ranking as R
 from ..operators import structure as T
 from ..sources import files as S
 from ..sources import markup as M
+from ..sources import tables
 from ..streaming import ingest
 
 QUERIES, ORACLES = {}, {}
@@ -499,12 +497,7 @@ def snk_mail_text(spark, d):
 
 def _folder(spark) -> str:
     """A folder of its own for a stream's output, where driver and executors can both reach it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("BAD_ARGUMENT: spark.checkpoint.dir is needed")
-        root = tempfile.mkdtemp(prefix="streams-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return tables.new_folder(spark, "stream")
 
 
 @query("""WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS start, event_type FROM events)
