@@ -2,8 +2,8 @@
 
 A unit is a run of ASCII letters or one other code point. Texts are matched into runs of up to GRAIN units; the runs'
 lengths are exploded with their positions, a window sums them, and the cut requests of a document (an ordinal of a
-unit each) meet the run that holds their unit. The units of these runs alone are exploded again, summed by a window
-and met by what is left of the ordinal. Offsets are then aggregated by document, and prefix, middle and suffix are
+unit each) meet the run that holds their unit. The unit lengths of these runs alone are exploded again, summed by a
+window and met by what is left of the ordinal. Offsets are then aggregated by document, and prefix, middle and suffix are
 substrings of the text, which moves once. Facts and lengths are written as a small table in between, so the units of
 a text are matched once, and rows that repeat share them.
 
@@ -23,16 +23,16 @@ from .common import documents, materialize
 UNIT = "[A-Za-z]+|[^A-Za-z]"
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Units of one run.
-GRAIN = 64
+GRAIN = 32
 #: Of 100 documents, those that are cut; of 100 of these, those with the suffix first.
 CUT_SHARE, SPM_SHARE = 90, 20
-_KEY = ["doc_id", "text_hash"]
+_KEY = ["id", "text_hash"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a hash of the text: together they tell documents apart where ids repeat."""
+    """doc_id, text, and the key (id, text_hash), never null, that tells documents apart where ids repeat or are null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text"))
+    return rows.select("*", F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text", F.col("doc_id").isNull()).alias("text_hash"))
 
 
 def _draw(i: int) -> Column:
@@ -41,18 +41,20 @@ def _draw(i: int) -> Column:
 
 
 def _facts(rows: DataFrame, grain: int, cut_share: int, spm_share: int) -> DataFrame:
-    """doc_id, text_hash, n, form, cuts (which, ordinal) above 0, lengths of the runs, and the runs that hold a cut."""
+    """The key, n, form, cuts (which, ordinal) above 0, lengths of the runs, and the lengths of the units of the runs that hold a cut."""
     runs = F.regexp_extract_all("text", F.lit(f"(?:[A-Za-z]++|[^A-Za-z]){{1,{grain}}}+"), F.lit(0))
+    units = lambda run: F.regexp_extract_all(run, F.lit(UNIT), F.lit(0))
     full = F.greatest(F.size("runs") - 1, F.lit(0)).cast("long") * grain
-    rest = F.size(F.regexp_extract_all(F.element_at("runs", -1), F.lit(UNIT), F.lit(0)))
     marked = F.contains("text", F.lit(PREFIX)) | F.contains("text", F.lit(SUFFIX)) | F.contains("text", F.lit(MIDDLE))
-    seen = rows.select(*_KEY, runs.alias("runs"), ((F.col("text") == "") | marked).alias("whole"), F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256).alias("digest"))
-    counted = seen.withColumn("n", F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(full + rest))
+    digest = F.sha2(F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+    seen = rows.select(*_KEY, runs.alias("runs"), ((F.col("text") == "") | marked).alias("whole"), digest.alias("digest"))
+    counted = seen.withColumn("n", F.when(F.size("runs") == 0, F.lit(0).cast("long")).otherwise(full + F.size(units(F.element_at("runs", -1)))))
     form = F.when(F.col("whole") | (_draw(3) % 100 >= cut_share), "plain").when(_draw(4) % 100 < spm_share, "spm").otherwise("psm")
     a, b = _draw(1) % (F.col("n") + 1), _draw(2) % (F.col("n") + 1)
     formed = counted.withColumn("form", form).withColumn("a", F.least(a, b)).withColumn("b", F.greatest(a, b))
     cuts = F.filter(F.array(F.struct(F.lit("prefix").alias("which"), F.col("a").alias("ordinal")), F.struct(F.lit("middle").alias("which"), F.col("b").alias("ordinal"))), lambda c: c["ordinal"] > 0)
-    held = F.map_from_entries(F.transform(F.array_distinct(F.transform("cuts", lambda c: F.floor((c["ordinal"] - 1) / grain).cast("int"))), lambda g: F.struct(g, F.get("runs", g))))
+    asked = F.array_distinct(F.transform("cuts", lambda c: F.floor((c["ordinal"] - 1) / grain).cast("int")))
+    held = F.map_from_entries(F.transform(asked, lambda g: F.struct(g, F.transform(units(F.get("runs", g)), F.length))))
     plain = F.col("form") == "plain"
     return (
         formed.withColumn("cuts", F.when(plain, F.slice(cuts, 1, 0)).otherwise(cuts))
@@ -61,19 +63,18 @@ def _facts(rows: DataFrame, grain: int, cut_share: int, spm_share: int) -> DataF
 
 
 def cut_offsets(facts: DataFrame, grain: int = GRAIN) -> DataFrame:
-    """doc_id, text_hash, prefix_end, middle_end in code points, of the documents that have a cut above 0."""
+    """id, text_hash, prefix_end, middle_end in code points, of the documents that have a cut above 0."""
     facts = facts.where("size(cuts) > 0").dropDuplicates(_KEY)
     before = F.coalesce(F.sum("chars").over(Window.partitionBy(*_KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = facts.select(*_KEY, "held", F.posexplode("lengths").alias("run", "chars")).select(*_KEY, "run", "chars", F.try_element_at("held", F.col("run")).alias("piece"))
-    summed = runs.withColumn("before", before).where("piece is not null")
+    runs = facts.select(*_KEY, "held", F.posexplode("lengths").alias("run", "chars")).select(*_KEY, "run", "chars", F.try_element_at("held", F.col("run")).alias("units"))
+    summed = runs.withColumn("before", before).where("units is not null")
     asked = facts.select(*_KEY, F.explode("cuts").alias("c")).select(
         *_KEY, "c.which", F.floor((F.col("c.ordinal") - 1) / grain).cast("int").alias("run"), ((F.col("c.ordinal") - 1) % grain).cast("int").alias("left")
     )
-    same = (summed["doc_id"].eqNullSafe(asked["doc_id"])) & (summed["text_hash"] == asked["text_hash"]) & (summed["run"] == asked["run"])
-    met = summed.join(asked, same).select(*(summed[c] for c in [*_KEY, "run", "piece", "before"]), asked["which"], asked["left"])
-    units = met.select(*_KEY, "run", "which", "left", "before", F.posexplode(F.regexp_extract_all("piece", F.lit(UNIT), F.lit(0))).alias("unit", "u"))
-    end = F.sum(F.length("u")).over(Window.partitionBy(*_KEY, "run", "which").orderBy("unit"))
-    ends = units.where("unit <= left").withColumn("end", F.col("before") + end).where("unit = left")
+    met = summed.join(asked, [*_KEY, "run"])
+    units = met.select(*_KEY, "run", "which", "left", "before", F.posexplode("units").alias("unit", "chars")).where("unit <= left")
+    end = F.sum("chars").over(Window.partitionBy(*_KEY, "run", "which").orderBy("unit"))
+    ends = units.withColumn("end", F.col("before") + end).where("unit = left")
     one = lambda which: F.coalesce(F.max(F.when(F.col("which") == which, F.col("end"))), F.lit(0))
     return ends.groupBy(*_KEY).agg(one("prefix").alias("prefix_end"), one("middle").alias("middle_end"))
 
@@ -83,10 +84,8 @@ def fill_in_middle(docs: DataFrame, grain: int = GRAIN, cut_share: int = CUT_SHA
     rows = _keyed(docs)
     facts = materialize(_facts(rows, grain, cut_share, spm_share), "units")
     once = facts.select(*_KEY, "n", "form").dropDuplicates(_KEY)
-    offsets = cut_offsets(facts, grain)
-    same = once["doc_id"].eqNullSafe(offsets["doc_id"]) & (once["text_hash"] == offsets["text_hash"])
-    cut = once.join(offsets, same, "left").select(once["doc_id"].alias("id"), once["text_hash"].alias("hash"), "n", "form", F.coalesce("prefix_end", F.lit(0)).alias("p"), F.coalesce("middle_end", F.lit(0)).alias("m"))
-    both = rows.join(cut.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    cut = once.join(cut_offsets(facts, grain), _KEY, "left").select(*_KEY, "n", "form", F.coalesce("prefix_end", F.lit(0)).alias("p"), F.coalesce("middle_end", F.lit(0)).alias("m"))
+    both = rows.join(cut.hint("shuffle_hash"), _KEY)
     piece = lambda start, length: F.substring("text", (start + 1).cast("int"), length.cast("int"))
     p, m = F.col("p"), F.col("m")
     prefix, middle, suffix = piece(F.lit(0), p), piece(p, m - p), piece(m, F.length("text") - m)

@@ -26,7 +26,7 @@ def by_hand(doc_id, text):
 def test_cuts_equal_the_plain_rule(spark):
     rows = [(i * 40 + k, t, "c") for k in range(40) for i, t in enumerate(RANDOM_TEXTS)] + [(None, "null id here", "c"), (None, None, "c"), (5, None, "c"), (5, "same id", "c"), (5, "same id", "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, form string")
-    for grain in (64, 3):
+    for grain in (32, 3):
         made = fim.fill_in_middle(docs, grain)
         got = made.select("doc_id", "text", "n", "form", "prefix_chars", "middle_chars", "output", fim.restored(F.col("output"), F.col("form")).alias("back")).collect()
         assert len(got) == len(rows) and {r["form"] for r in got} == {"plain", "psm", "spm"}
