@@ -1,4 +1,4 @@
-"""Boards and buildings as relations: layer classes, job files, stack order, drill scale, comparison; IFC relations, storeys, properties."""
+"""Boards as relations: layer classes, job files, stack order, drill scale, comparison."""
 
 from __future__ import annotations
 
@@ -77,61 +77,6 @@ def compared(a: DataFrame, b: DataFrame, grid: float) -> DataFrame:
     return met.groupBy("board", "layer").agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))
 
 
-# --- buildings --------------------------------------------------------------------------------------------
-
-#: IFC relationships: (what the many have to the one, entity, whether the one comes after the list).
-RELATIONS = (
-    ("contained_in", "IFCRELCONTAINEDINSPATIALSTRUCTURE", True), ("part_of", "IFCRELAGGREGATES", False), ("part_of", "IFCRELNESTS", False), ("typed_by", "IFCRELDEFINESBYTYPE", True),
-    ("made_of", "IFCRELASSOCIATESMATERIAL", True), ("has_properties", "IFCRELDEFINESBYPROPERTIES", True),
-)
-
-
-def relations(entities: DataFrame) -> DataFrame:
-    """file, relation, child, parent from entities (file, id, type, args): lists of references and the one they refer to."""
-    out = None
-    for name, kind, after in RELATIONS:
-        pattern = r"\(((?:#\d+,?)+)\)\s*,\s*#(\d+)" if after else r"#(\d+)\s*,\s*\(((?:#\d+,?)+)\)"
-        many, one = (1, 2) if after else (2, 1)
-        rows = entities.where(F.col("type") == kind).select("file", F.lit(name).alias("relation"), F.regexp_extract("args", pattern, many).alias("_many"), F.regexp_extract("args", pattern, one).alias("_one"))
-        each = rows.where("_one <> ''").select("file", "relation", "_one", F.explode(F.regexp_extract_all("_many", F.lit(r"#(\d+)"))).alias("_child"))
-        part = each.select("file", "relation", F.col("_child").cast("long").alias("child"), F.col("_one").cast("long").alias("parent"))
-        out = part if out is None else out.union(part)
-    return out
-
-
-SPATIAL = ("IFCPROJECT", "IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE")
-
-
-def storeys(entities: DataFrame, links: DataFrame, steps: int = 30) -> DataFrame:
-    """file, id, storey of each entity that stands somewhere: up through containers and wholes to a storey, else the first other spatial node."""
-    up = links.where("relation in ('contained_in', 'part_of')").groupBy("file", "child").agg(F.min_by("parent", F.struct("relation", "parent")).alias("parent"))
-    kinds = entities.where(F.col("type").isin(*SPATIAL)).select("file", F.col("id").alias("parent"), F.col("type").alias("kind"))
-    now = up.join(kinds, ["file", "parent"], "left").select("file", F.col("child").alias("id"), "parent", "kind")
-    found, other = None, None
-    for _ in range(steps):
-        hit = now.where("kind = 'IFCBUILDINGSTOREY'").select("file", "id", F.col("parent").alias("storey"))
-        side = now.where("kind is not null and kind <> 'IFCBUILDINGSTOREY'").select("file", "id", F.col("parent").alias("other"))
-        found = hit if found is None else found.union(hit)
-        other = side if other is None else other.union(side.join(other, ["file", "id"], "left_anti"))
-        left = now.where("kind is null or kind <> 'IFCBUILDINGSTOREY'").select("file", "id", F.col("parent").alias("child"))
-        now = left.join(up, ["file", "child"]).join(kinds, ["file", "parent"], "left").select("file", "id", "parent", "kind")
-        if now.isEmpty():
-            break
-    both = found.join(other, ["file", "id"], "full")
-    return both.select("file", "id", F.coalesce("storey", "other").alias("storey"))
-
-
-def properties(entities: DataFrame, links: DataFrame) -> DataFrame:
-    """file, element, key, value: single values of property sets as Set.Name, blanks dropped."""
-    text = lambda c, i: F.regexp_extract(c, r"^(?:[^',]*,){" + str(i) + r"}'((?:[^']|'')*)'", 1)
-    sets = entities.where("type = 'IFCPROPERTYSET'").select("file", F.col("id").alias("parent"), F.regexp_extract("args", r"^'[^']*'\s*,[^,]*,\s*'((?:[^']|'')*)'", 1).alias("set_name"), F.explode(F.regexp_extract_all(F.regexp_extract("args", r"\(((?:#\d+,?)+)\)", 1), F.lit(r"#(\d+)"))).alias("_id"))
-    sets = sets.select("file", "parent", "set_name", F.col("_id").cast("long").alias("id"))
-    single = entities.where("type = 'IFCPROPERTYSINGLEVALUE'").select("file", "id", text(F.col("args"), 0).alias("name"), F.regexp_extract("args", r"IFC[A-Z]+\(\s*'?((?:[^')])*)'?\s*\)", 1).alias("value"))
-    held = links.where("relation = 'has_properties'").select("file", F.col("child").alias("element"), "parent")
-    met = held.join(sets, ["file", "parent"]).join(single, ["file", "id"])
-    return met.where(F.trim("value") != "").select("file", "element", F.concat("set_name", F.lit("."), "name").alias("key"), "value")
-
-
 def schema_warning(schema: Column) -> Column:
     """Null for the schemas that are known (IFC2X3, IFC4 and their variants), else a warning."""
     return F.when(~F.upper(schema).rlike(r"^IFC(2X3|4)"), F.concat(F.lit("read as IFC4, the file says "), schema))

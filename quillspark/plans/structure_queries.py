@@ -244,53 +244,6 @@ def cmp_boards(spark, d):
     return B.compared(items.where("o_orderkey % 5 < 4"), items.where("o_orderkey % 5 > 0"), 1.0)
 
 
-def _building(spark, d):
-    """An IFC file for each nation: project, building, two storeys, a wall in each, a part of the first wall, and properties."""
-    body = """ISO-10303-21;
-DATA;
-#1= IFCPROJECT('p',#9,'P');
-#2= IFCBUILDING('b',#9,'B');
-#3= IFCBUILDINGSTOREY('s1',#9,'S1');
-#4= IFCBUILDINGSTOREY('s2',#9,'S2');
-#5= IFCWALL('w1',#9,'W1');
-#6= IFCWALL('w2',#9,'W2');
-#7= IFCBUILDINGELEMENTPART('q',#9,'Q');
-#8= IFCFURNITURE('f',#9,'F');
-#11= IFCRELAGGREGATES('r1',#9,$,$,#1,(#2));
-#12= IFCRELAGGREGATES('r2',#9,$,$,#2,(#3,#4));
-#13= IFCRELCONTAINEDINSPATIALSTRUCTURE('r3',#9,$,$,(#5),#3);
-#14= IFCRELCONTAINEDINSPATIALSTRUCTURE('r4',#9,$,$,(#6),#4);
-#15= IFCRELAGGREGATES('r5',#9,$,$,#5,(#7));
-#16= IFCRELCONTAINEDINSPATIALSTRUCTURE('r6',#9,$,$,(#8),#2);
-#21= IFCPROPERTYSINGLEVALUE('Owner',$,IFCLABEL('NATION'),$);
-#22= IFCPROPERTYSINGLEVALUE('Key',$,IFCREAL(KEY.),$);
-#23= IFCPROPERTYSINGLEVALUE('Blank',$,IFCLABEL(' '),$);
-#24= IFCPROPERTYSET('ps',#9,'Pset',$,(#21,#22,#23));
-#25= IFCRELDEFINESBYPROPERTIES('r7',#9,$,$,(#5,#6),#24);
-ENDSEC;
-END-ISO-10303-21;"""
-    text = F.replace(F.replace(F.lit(body), F.lit("NATION"), F.col("n_name")), F.lit("KEY"), F.col("n_nationkey").cast("string"))
-    files = _t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("path"), text.cast("binary").alias("content"))
-    return S.step_entities(files).select(F.col("path").cast("long").alias("file"), "id", "type", "args")
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS file, relation, child, parent FROM nation, (VALUES ('contained_in', 5, 3), ('contained_in', 6, 4), ('contained_in', 8, 2), ('part_of', 2, 1), ('part_of', 3, 2), ('part_of', 4, 2), ('part_of', 7, 5), ('has_properties', 5, 24), ('has_properties', 6, 24)) v(relation, child, parent)")
-def jn_ifc_relations(spark, d):
-    return B.relations(_building(spark, d))
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS file, id, storey FROM nation, (VALUES (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 3), (8, 2)) v(id, storey)")
-def jn_ifc_storeys(spark, d):
-    e = _building(spark, d)
-    return B.storeys(e, B.relations(e))
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS file, element, key, CASE key WHEN 'Pset.Owner' THEN n_name ELSE n_nationkey || '.' END AS value FROM nation, (VALUES (5, 'Pset.Owner'), (5, 'Pset.Key'), (6, 'Pset.Owner'), (6, 'Pset.Key')) v(element, key)")
-def jn_ifc_properties(spark, d):
-    e = _building(spark, d)
-    return B.properties(e, B.relations(e))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 'read as IFC4, the file says IFC2X2' END AS warning FROM part")
 def chk_ifc_schema(spark, d):
     return _t(spark, d, "part").select("p_partkey", B.schema_warning(_pick(["IFC4X3", "ifc2x3", "IFC2X2"], F.col("p_partkey"))).alias("warning"))
