@@ -46,21 +46,23 @@ def stack_order(layers: DataFrame, key: str = "board") -> DataFrame:
     return layers.withColumn("stack_no", F.row_number().over(Window.partitionBy(key).orderBy(place, "file")))
 
 
-#: Scales that a drill file without a header may be in.
-SCALES = (1.0, 10.0, 100.0, 1000.0, 0.1, 0.01, 0.001, 25.4, 2.54, 0.254, 0.0254)
+#: Scales that a drill file without a header may be in, in the order in which they are tried.
+SCALES = (1.0, 10.0, 0.1, 100.0, 0.01, 1 / 25.4, 10 / 25.4, 0.1 / 25.4, 25.4, 2.54, 0.254)
 
 
 def drill_scale(holes: DataFrame, boxes: DataFrame) -> DataFrame:
-    """file, scale, share: the scale at which most holes (file, x, y) lie in the copper's box (file, x0, y0, x1, y1); 1 where it holds no more than half.
+    """file, scale, share: the scale at which most holes (file, x, y) lie in the copper's box (file, x0, y0, x1, y1).
 
-    Scale 1 wins against one that is not better by over 5 %.
+    A thousandth of a decade counts against a scale, the earlier of two equal ones is taken, and a file stays as it is (1)
+    where the best holds no more than half. share is that of the scale taken.
     """
-    scales = F.explode(F.array(*map(F.lit, SCALES))).alias("scale")
-    tried = holes.join(boxes, "file").select("*", scales)
-    x, y = F.col("x") * F.col("scale"), F.col("y") * F.col("scale")
-    share = tried.groupBy("file", "scale").agg(F.avg((x.between(F.col("x0"), F.col("x1")) & y.between(F.col("y0"), F.col("y1"))).cast("double")).alias("share"))
-    best = share.groupBy("file").agg(F.max_by(F.struct("scale", "share"), F.struct(F.col("share") + F.when(F.col("scale") == 1, 0.05).otherwise(0.0), -F.abs(F.log10("scale")), "scale")).alias("b"))
-    return best.select("file", F.when(F.col("b.share") > 0.5, F.col("b.scale")).otherwise(1.0).alias("scale"), F.col("b.share").alias("share"))
+    x, y = F.col("x"), F.col("y")
+    inside = [F.avg(((x * s).between(F.col("x0"), F.col("x1")) & (y * s).between(F.col("y0"), F.col("y1"))).cast("double")).alias(f"_s{i}") for i, s in enumerate(SCALES)]
+    shares = holes.join(boxes, "file").groupBy("file").agg(*inside)  # one pass over the holes
+    scored = F.array(*(F.struct((F.col(f"_s{i}") - F.abs(F.log10(F.lit(s))) * 1e-3).alias("score"), F.lit(-i).alias("first"), F.lit(s).alias("scale"), F.col(f"_s{i}").alias("share")) for i, s in enumerate(SCALES)))
+    best = shares.withColumn("_b", F.array_max(scored))
+    fits = F.col("_b.score") > 0.5
+    return best.select("file", F.when(fits, F.col("_b.scale")).otherwise(1.0).alias("scale"), F.when(fits, F.col("_b.share")).otherwise(F.col("_s0")).alias("share"))
 
 
 def cells_of(items: DataFrame, grid: float, keys: tuple[str, ...] = ("board", "layer")) -> DataFrame:

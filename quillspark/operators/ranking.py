@@ -123,20 +123,28 @@ def collapse_repeats(steps: DataFrame, key: str, order: str, symbol: str, blank:
 # --- layer pairs and sheets -------------------------------------------------------------------------------
 
 
-def paired_layers(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a_no, b_no) of layers (layer_no, function, name, file) paired by function, then name, then file; leftovers stand alone."""
-    pairs = None
-    left, right = a, b
-    for key in ("function", "name", "file"):
-        n = F.row_number().over(Window.partitionBy(key).orderBy("layer_no"))
-        x = left.where(F.col(key).isNotNull()).select("layer_no", key).withColumn("n", n).withColumnRenamed("layer_no", "a_no")
-        y = right.where(F.col(key).isNotNull()).select("layer_no", key).withColumn("n", n).withColumnRenamed("layer_no", "b_no")
-        found = x.join(y, [key, "n"]).select("a_no", "b_no", F.lit(key).alias("by"))
-        pairs = found if pairs is None else pairs.union(found)
-        left = left.join(found.select(F.col("a_no").alias("layer_no")), "layer_no", "left_anti")
-        right = right.join(found.select(F.col("b_no").alias("layer_no")), "layer_no", "left_anti")
-    none = F.lit(None).cast("long")
-    return pairs.union(left.select(F.col("layer_no"), none, F.lit("only_a"))).union(right.select(none, F.col("layer_no"), F.lit("only_b")))
+def paired_layers(a: DataFrame, b: DataFrame, board: str = "board") -> DataFrame:
+    """board, a_no, b_no, by: the layers (board, layer_no, function, name, file) of two versions of each board in pairs; leftovers stand alone.
+
+    In the order of A, each layer takes the first of B that is left with its function, else with its name, else with its
+    file. Boards are dealt out; a board's layers are a bounded list, folded in one row.
+    """
+    layer = F.struct("layer_no", "function", "name", "file")
+    lists = lambda df, c: df.groupBy(F.col(board).alias("board")).agg(F.array_sort(F.collect_list(layer)).alias(c))
+    kind = a.schema["layer_no"].dataType.simpleString()
+    both = lists(a, "a").join(lists(b, "b"), "board", "full")
+    none = lambda c: F.coalesce(c, F.array().cast(f"array<struct<layer_no:{kind},function:string,name:string,file:string>>"))
+    start = F.array().cast(f"array<struct<a_no:{kind},b_no:{kind},by:string>>")
+
+    def step(pairs, one):
+        left = F.filter(none(F.col("b")), lambda x: ~F.exists(pairs, lambda p: p["b_no"].eqNullSafe(x["layer_no"])))
+        first = [F.struct(F.get(F.filter(left, lambda x: x[k] == one[k]), F.lit(0))["layer_no"].alias("no"), F.lit(k).alias("by")) for k in ("function", "name", "file")]  # noqa: B023
+        found = F.get(F.filter(F.array(*first), lambda f: f["no"].isNotNull()), F.lit(0))
+        return F.concat(pairs, F.array(F.struct(one["layer_no"].alias("a_no"), found["no"].alias("b_no"), F.coalesce(found["by"], F.lit("only_a")).alias("by"))))
+
+    paired = both.withColumn("pairs", F.aggregate(none(F.col("a")), start, step))
+    alone = F.transform(F.filter(none(F.col("b")), lambda x: ~F.exists("pairs", lambda p: p["b_no"].eqNullSafe(x["layer_no"]))), lambda x: F.struct(F.lit(None).cast(kind).alias("a_no"), x["layer_no"].alias("b_no"), F.lit("only_b").alias("by")))
+    return paired.select(F.col("board").alias(board), F.explode(F.concat("pairs", alone)).alias("p")).select(board, "p.*")
 
 
 def sheet_json(rows: DataFrame, header: list[str]) -> DataFrame:

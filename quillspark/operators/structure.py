@@ -1,4 +1,4 @@
-"""Trees, fields, arguments, previews, characters, categories and pictures of documents as DataFrame operations."""
+"""Items, fields, arguments, previews, characters, categories and pictures of documents as DataFrame operations."""
 
 from __future__ import annotations
 
@@ -10,20 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
-# --- trees ------------------------------------------------------------------------------------------------
-
-
-def preorder_parents(nodes: DataFrame, key: str, at: str = "at", depth: str = "depth", deepest: int = 16) -> DataFrame:
-    """nodes in preorder with parent (the `at` of the nearest node before that is less deep; null for a root).
-
-    One window by document: the last place of each depth so far is kept, and the latest of the lesser depths is the parent.
-    Depths beyond `deepest` count as it.
-    """
-    w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    level = F.least(F.col(depth), F.lit(deepest))
-    last = [F.last(F.when(level == k, F.col(at)), True).over(w) for k in range(deepest)]
-    above = [F.when(level > k, p) for k, p in enumerate(last)]
-    return nodes.withColumn("parent", F.greatest(*above))
+# --- items -----------------------------------------------------------------------------------------------
 
 
 def notable(items: DataFrame, most: int = 400, kinds: str = "text|image|group") -> DataFrame:
@@ -51,17 +38,18 @@ def set_fields(fields: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-#: Arguments that each operation needs.
+#: Arguments that each operation needs; those of text and name changes are not asked for.
 NEEDS = {
-    "replace_text": ("find", "replace"), "set_cell": ("table", "row", "col", "text"), "insert_paragraph": ("paragraph", "text"), "delete_paragraph": ("paragraph",),
-    "append_row": ("table", "cells"), "set_field": ("name", "text"),
+    "replace_text": ("find",), "set_cell": ("table", "row", "col", "text"), "insert_paragraph": ("paragraph", "text"), "delete_paragraph": ("paragraph",), "set_field": ("name", "text"),
+    "append_row": ("table",), "hide": ("ids",), "show": ("ids",), "delete": ("ids",), "move": ("ids", "dx", "dy"), "set_fill": ("ids", "color"), "duplicate": ("ids",), "command": ("command",),
+    "set_text": (), "rename": (),
 }
 
 
 def argument_issues(ops: DataFrame) -> DataFrame:
     """ops (op_no, op, args MAP) with `missing`, the arguments an operation lacks, and `code`: BAD_ARGUMENT where any is missing or the operation is unknown."""
-    known = F.create_map(*(x for op, names in NEEDS.items() for x in (F.lit(op), F.array(*map(F.lit, names)))))
-    needs = F.element_at(known, F.col("op"))
+    known = F.create_map(*(x for op, names in NEEDS.items() for x in (F.lit(op), F.array(*map(F.lit, names)).cast("array<string>"))))
+    needs = F.try_element_at(known, F.col("op"))
     missing = F.filter(needs, lambda n: F.col("args")[n].isNull())
     return ops.withColumn("missing", missing).withColumn("code", F.when(needs.isNull() | (F.size(missing) > 0), "BAD_ARGUMENT").otherwise("ok"))
 

@@ -11,6 +11,7 @@ from ..operators import geometry as G
 from ..operators import layout as L
 from ..operators import ranking as R
 from ..operators import structure as T
+from ..operators import trees
 from ..sources import files as S
 from ..sources import markup as M
 from ..sources import tables
@@ -40,11 +41,25 @@ def _pick(values, by):
 # --- trees, fields, arguments -----------------------------------------------------------------------------
 
 
-@query("""WITH n AS (SELECT o_custkey, o_orderkey AS at, o_orderkey % 4 AS depth FROM orders)
-SELECT a.o_custkey, a.at, max(b.at) AS parent FROM n a LEFT JOIN n b ON a.o_custkey = b.o_custkey AND b.at < a.at AND b.depth < a.depth GROUP BY 1, 2""")
+_TREE = "WITH n AS (SELECT o_custkey AS k, o_orderkey AS at, o_orderkey * 7 % 23 AS depth FROM orders)"
+
+
+@query(f"""{_TREE}, p AS (SELECT a.k, a.at, a.depth, max(b.at) AS parent FROM n a LEFT JOIN n b ON a.k = b.k AND b.at < a.at AND b.depth < a.depth GROUP BY 1, 2, 3),
+e AS (SELECT p.k, p.at, p.parent, min(b.at) AS next FROM p LEFT JOIN n b ON p.k = b.k AND b.at > p.at AND b.depth <= p.depth GROUP BY 1, 2, 3)
+SELECT e.k, e.at, e.parent, max(b.at) AS last FROM e JOIN n b ON e.k = b.k AND (e.next IS NULL OR b.at < e.next) GROUP BY 1, 2, 3""")
 def win_preorder_parents(spark, d):
-    nodes = _t(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("at"), (F.col("o_orderkey") % 4).alias("depth"))
-    return T.preorder_parents(nodes, "o_custkey").select("o_custkey", "at", "parent")
+    """Parents and subtrees of nodes of any depth."""
+    nodes = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") * 7 % 23).alias("depth"))
+    return trees.preorder(nodes, "k").select("k", "at", "parent", "last")
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT o_custkey AS k, o_orderkey AS place, o_orderkey * 7 % 23 AS depth FROM orders),
+p AS (SELECT a.k, a.place, max(b.place) AS parent FROM n a LEFT JOIN n b ON a.k = b.k AND b.place < a.place AND b.depth < a.depth GROUP BY 1, 2),
+r AS (SELECT k, place, parent AS ancestor, CAST(1 AS BIGINT) AS distance FROM p WHERE parent IS NOT NULL UNION ALL SELECT r.k, r.place, p.parent, distance + 1 FROM r JOIN p ON p.k = r.k AND p.place = r.ancestor WHERE p.parent IS NOT NULL)
+SELECT k, place AS "at", ancestor, distance FROM r""")
+def win_ancestors(spark, d):
+    nodes = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), (F.col("o_orderkey") * 7 % 23).alias("depth"))
+    return trees.ancestors(trees.preorder(nodes, "k"), nodes, "k")
 
 
 @query("""WITH i AS (SELECT o_custkey, o_orderkey AS n FROM orders WHERE o_orderkey % 4 <= 1 OR o_orderstatus = 'F' OR o_orderkey % 5 = 0)
@@ -71,12 +86,17 @@ def edt_set_field(spark, d):
     return T.set_fields(fields, changes).select("doc_id", "name", "status", "old_value", "message")
 
 
-@query("""SELECT o_orderkey AS op_no, CASE WHEN o_orderkey % 4 = 3 OR o_orderkey % 3 > 0 THEN 'BAD_ARGUMENT' ELSE 'ok' END AS code,
-  CASE o_orderkey % 4 WHEN 0 THEN CASE WHEN o_orderkey % 3 > 0 THEN 'replace' ELSE '' END WHEN 1 THEN CASE WHEN o_orderkey % 3 > 0 THEN 'text' ELSE '' END WHEN 2 THEN CASE WHEN o_orderkey % 3 > 0 THEN 'cells' ELSE '' END END AS missing FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 6 AS op, o_orderkey % 3 AS given FROM orders)
+SELECT k AS op_no, CASE WHEN op = 5 OR (op IN (0, 2, 3) AND given = 2) OR (op IN (1, 3) AND given > 0) THEN 'BAD_ARGUMENT' ELSE 'ok' END AS code,
+  CASE op WHEN 0 THEN CASE given WHEN 2 THEN 'find' ELSE '' END WHEN 1 THEN CASE given WHEN 0 THEN '' WHEN 1 THEN 'text' ELSE 'paragraph text' END WHEN 2 THEN CASE given WHEN 2 THEN 'table' ELSE '' END
+    WHEN 3 THEN CASE given WHEN 0 THEN '' WHEN 1 THEN 'ids dx dy' ELSE 'ids dx dy' END WHEN 4 THEN '' END AS missing FROM o""")
 def edt_argument_needs(spark, d):
-    given = F.create_map(*map(F.lit, ("find", "a", "paragraph", "1", "table", "0", "replace", "b", "text", "c", "cells", "d")))
+    """replace_text does not ask for its new text, append_row not for cells, rename for nothing; what is unknown is refused."""
+    full = F.create_map(*map(F.lit, ("find", "a", "paragraph", "1", "table", "0", "replace", "b", "text", "c", "cells", "d", "ids", "1", "dx", "2", "dy", "3")))
     some = F.create_map(*map(F.lit, ("find", "a", "paragraph", "1", "table", "0")))
-    ops = _t(spark, d, "orders").select(F.col("o_orderkey").alias("op_no"), _pick(["replace_text", "insert_paragraph", "append_row", "dance"], F.col("o_orderkey")).alias("op"), F.when(F.col("o_orderkey") % 3 == 0, given).otherwise(some).alias("args"))
+    key = F.col("o_orderkey")
+    args = F.when(key % 3 == 0, full).when(key % 3 == 1, some).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    ops = _t(spark, d, "orders").select(key.alias("op_no"), _pick(["replace_text", "insert_paragraph", "append_row", "move", "rename", "dance"], key).alias("op"), args.alias("args"))
     return T.argument_issues(ops).select("op_no", "code", F.array_join("missing", " ").alias("missing"))
 
 
@@ -226,12 +246,17 @@ def srt_stack_order(spark, d):
     return B.stack_order(layers).select("board", "file", "stack_no")
 
 
-@query("SELECT o_custkey AS file, CASE o_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.001 ELSE 25.4 END AS scale, 1.0 AS share FROM orders GROUP BY 1")
+@query("""WITH h AS (SELECT o_custkey AS file, (50.0 + o_orderkey % 50) * CASE o_custkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 100.0 WHEN 2 THEN 2.54 ELSE 5000.0 END AS x FROM orders),
+s AS (SELECT i, CAST(s AS DOUBLE) AS s FROM (VALUES (0, 1.0), (1, 10.0), (2, 0.1), (3, 100.0), (4, 0.01), (5, 1 / 25.4), (6, 10 / 25.4), (7, 0.1 / 25.4), (8, 25.4), (9, 2.54), (10, 0.254)) v(i, s)),
+t AS (SELECT file, i, s, avg(CASE WHEN x * s BETWEEN 49.9 AND 100.1 THEN 1.0 ELSE 0.0 END) AS share FROM h, s GROUP BY 1, 2, 3),
+b AS (SELECT file, arg_max(struct_pack(s := s, share := share, score := share - abs(log10(s)) * 1e-3), (share - abs(log10(s)) * 1e-3, -i)) AS b, max(CASE i WHEN 0 THEN share END) AS own FROM t GROUP BY 1)
+SELECT file, CASE WHEN b.score > 0.5 THEN b.s ELSE 1.0 END AS scale, CASE WHEN b.score > 0.5 THEN b.share ELSE own END AS share FROM b""")
 def jn_drill_scale(spark, d):
+    """Files in millimetres, hundredths, tenths of an inch, and one that fits no scale."""
     o = _t(spark, d, "orders")
-    unit = _pick([1.0, 1000.0, 1 / 25.4], F.col("o_custkey"))
-    x = 50.0 + F.col("o_orderkey") % 50
-    holes = o.select(F.col("o_custkey").alias("file"), (x * unit).alias("x"), (x * unit).alias("y"))
+    unit = _pick([1.0, 100.0, 2.54, 5000.0], F.col("o_custkey"))
+    x = (50.0 + F.col("o_orderkey") % 50) * unit
+    holes = o.select(F.col("o_custkey").alias("file"), x.alias("x"), x.alias("y"))
     boxes = o.select(F.col("o_custkey").alias("file")).distinct().select("file", F.lit(49.9).alias("x0"), F.lit(49.9).alias("y0"), F.lit(100.1).alias("x1"), F.lit(100.1).alias("y1"))
     return B.drill_scale(holes, boxes)
 

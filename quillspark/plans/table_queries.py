@@ -167,13 +167,23 @@ def snk_sheet_text(spark, d):
     return G.sheet_text(_items(spark, d)).select(F.md5(F.col("text").cast("binary")).alias("code"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 3 < 2), b AS (SELECT p_partkey AS no, p_brand AS function, p_type AS name FROM part WHERE p_partkey % 3 > 0),
-f AS (SELECT x.no AS a_no, y.no AS b_no FROM (SELECT *, row_number() OVER (PARTITION BY function ORDER BY no) AS n FROM a) x JOIN (SELECT *, row_number() OVER (PARTITION BY function ORDER BY no) AS n FROM b) y ON x.function = y.function AND x.n = y.n),
-a2 AS (SELECT * FROM a WHERE no NOT IN (SELECT a_no FROM f)), b2 AS (SELECT * FROM b WHERE no NOT IN (SELECT b_no FROM f)),
-g AS (SELECT x.no AS a_no, y.no AS b_no FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no) AS n FROM a2) x JOIN (SELECT *, row_number() OVER (PARTITION BY name ORDER BY no) AS n FROM b2) y ON x.name = y.name AND x.n = y.n)
-SELECT a_no, b_no, 'function' AS by FROM f UNION ALL SELECT a_no, b_no, 'name' FROM g UNION ALL SELECT no, NULL, 'only_a' FROM a2 WHERE no NOT IN (SELECT a_no FROM g) UNION ALL SELECT NULL, no, 'only_b' FROM b2 WHERE no NOT IN (SELECT b_no FROM g)""")
+@query("""WITH RECURSIVE l AS (SELECT p_size AS board, p_partkey AS no, p_brand AS function, p_type AS name, CAST(p_partkey % 7 AS VARCHAR) AS file FROM part),
+a AS (SELECT *, row_number() OVER (PARTITION BY board ORDER BY no) AS i FROM l WHERE no % 3 < 2),
+b AS (SELECT board, list(struct_pack(no := no, function := function, name := name, file := file) ORDER BY no) AS bs FROM l WHERE no % 3 > 0 GROUP BY 1),
+s(board, i, used, a_no, b_no, how) AS (
+  SELECT board, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), '' FROM (SELECT DISTINCT board FROM l)
+  UNION ALL
+  SELECT board, i, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit.no) END, a_no, hit.no, coalesce(hit.how, 'only_a') FROM (
+    SELECT s.board, a.i, s.used, a.no AS a_no, coalesce(
+      list_transform(list_filter(coalesce(bs, []), lambda x: x.function = a.function AND NOT list_contains(s.used, x.no)), lambda x: struct_pack(no := x.no, how := 'function'))[1],
+      list_transform(list_filter(coalesce(bs, []), lambda x: x.name = a.name AND NOT list_contains(s.used, x.no)), lambda x: struct_pack(no := x.no, how := 'name'))[1],
+      list_transform(list_filter(coalesce(bs, []), lambda x: x.file = a.file AND NOT list_contains(s.used, x.no)), lambda x: struct_pack(no := x.no, how := 'file'))[1]) AS hit
+    FROM s JOIN a ON a.board = s.board AND a.i = s.i + 1 LEFT JOIN b ON b.board = s.board) q)
+SELECT board, a_no, b_no, how AS "by" FROM s WHERE i > 0
+UNION ALL SELECT board, NULL, no, 'only_b' FROM l WHERE no % 3 > 0 AND no NOT IN (SELECT b_no FROM s WHERE b_no IS NOT NULL)""")
 def jn_layer_pairs(spark, d):
-    layers = _t(spark, d, "part").select(F.col("p_partkey").alias("layer_no"), F.col("p_brand").alias("function"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("file"))
+    """Two versions of each board: every layer is in one of them at least."""
+    layers = _t(spark, d, "part").select(F.col("p_size").cast("bigint").alias("board"), F.col("p_partkey").alias("layer_no"), F.col("p_brand").alias("function"), F.col("p_type").alias("name"), (F.col("p_partkey") % 7).cast("string").alias("file"))
     return R.paired_layers(layers.where("layer_no % 3 < 2"), layers.where("layer_no % 3 > 0"))
 
 

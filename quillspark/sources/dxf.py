@@ -16,9 +16,20 @@ def header_value(text: Column, name: str, code: int) -> Column:
     return F.when(found != "", F.trim(found))
 
 
+def drawing_text(content: Column) -> Column:
+    """A drawing's text; bytes that are no UTF-8 become U+FFFD, as one bad drawing ends no job."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
+def encoding_issues(files: DataFrame) -> DataFrame:
+    """path, code, message of files (path, content) whose bytes are no UTF-8: their texts are read with replacements."""
+    bad = files.where(~F.is_valid_utf8(F.col("content").cast("string")))
+    return bad.select("path", F.lit("ENCODING").alias("code"), F.concat(F.lit("not UTF-8; the file says "), F.coalesce(header_value(drawing_text(F.col("content")), "DWGCODEPAGE", 3), F.lit("nothing"))).alias("message"))
+
+
 def units(files: DataFrame) -> DataFrame:
     """path, unit_mm: from $INSUNITS; without a unit, inches where $MEASUREMENT says imperial, else millimetres."""
-    text = F.decode("content", "UTF-8")
+    text = drawing_text(F.col("content"))
     number = header_value(text, "INSUNITS", 70).cast("int")
     mm = F.element_at(F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv)), number)
     imperial = header_value(text, "MEASUREMENT", 70) == "0"
@@ -30,7 +41,7 @@ def entities(files: DataFrame) -> DataFrame:
 
     Every entity of every type comes, drawn or not. A file's entities are one window; a file is a bounded group.
     """
-    lines = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r"\r\n?", "\n"), "\n", -1)
+    lines = F.split(F.regexp_replace(drawing_text(F.col("content")), r"\r\n?", "\n"), "\n", -1)
     pair = lambda i: F.struct(F.trim(F.get("_lines", 2 * i)).try_cast("int").alias("code"), F.trim(F.get("_lines", 2 * i + 1)).alias("value"))
     last = F.floor(F.size("_lines") / 2).cast("int") - 1
     # Codes and values take turns, so a value of 0 is no code 0.

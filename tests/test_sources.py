@@ -173,3 +173,14 @@ def test_unpacked_gzip():
     import gzip
 
     assert cad.unpacked(gzip.compress(b"x")) == [("", b"x")]
+
+
+def test_a_drawing_that_is_not_utf8_is_a_row(spark):
+    from quillspark.sources import dxf
+
+    body = b"0\nSECTION\n2\nHEADER\n9\n$DWGCODEPAGE\n3\nANSI_949\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n0\nTEXT\n8\n\xb0\xa1\xb3\xaa\n10\n1.5\n0\nENDSEC\n0\nEOF\n"
+    files = spark.createDataFrame([("bad", bytearray(body)), ("good", bytearray(body.replace(b"\xb0\xa1\xb3\xaa", b"ok")))], "path string, content binary")
+    found = {r["path"]: r["layer"] for r in dxf.entities(files).collect()}
+    assert found["good"] == "ok" and set(found["bad"]) == {chr(0xFFFD)}
+    assert [tuple(r) for r in dxf.encoding_issues(files).collect()] == [("bad", "ENCODING", "not UTF-8; the file says ANSI_949")]
+    assert {r["path"] for r in dxf.units(files).collect()} == {"bad", "good"}
