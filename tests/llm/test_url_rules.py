@@ -1,4 +1,5 @@
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -28,24 +29,67 @@ def brute(rows, least, confidence):
     return {c: p for c, p in good.items() if not any(set(d) < set(c) and good[d] >= p for d in good)}
 
 
-def test_rules_of_the_query_equal_brute_force(spark):
+def test_mined_rules_equal_brute_force(spark):
     urls = url_rules.split_urls(spark.read.parquet(f"{BIG}/pages.parquet"))
     labelled = url_rules.labelled_urls(urls, spark.read.parquet(f"{BIG}/labels.parquet"))
     rows = [(r["tokens"], r["block"]) for r in labelled.collect()]
-    least, base = 20, sum(b for _, b in rows) / len(rows)
-    want = brute(rows, least, url_rules.MIN_LIFT * base)
+    base = sum(b for _, b in rows) / len(rows)
+    want = brute(rows, 20, url_rules.MIN_LIFT * base)
     got = {tuple(r["rule_tokens"]): r["confidence"] for r in url_rules.learn_rules(labelled).collect()}
     assert got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in got) and len(got) > 0
+
+
+def test_query_judges_by_list_rules_and_default(spark):
+    urls = url_rules.split_urls(spark.read.parquet(f"{BIG}/pages.parquet"))
+    labelled = url_rules.labelled_urls(urls, spark.read.parquet(f"{BIG}/labels.parquet"))
+    rules = {tuple(r["rule_tokens"]): r["confidence"] for r in url_rules.significant_rules(labelled).collect()}
     judged = url_rules.op9_url_rules(spark, BIG).collect()
-    mined = [r for r in judged if r["rule"] is None and r["mined"] is not None]
-    print(len(rows), "labelled urls", len(got), "rules, which decide", len(mined), "of", sum(r["rule"] is None for r in judged), "urls that no given rule fits")
+    print(len(rules), "rules hold, which decide", sum(r["rule"] is None and r["mined"] is not None for r in judged), "of", sum(r["rule"] is None for r in judged), "urls that no given rule fits")
     tokens = {r["page_id"]: set(r["tokens"]) for r in urls.select("page_id", "tokens").collect()}
     for r in judged:
-        fits = [(-p, -len(c), " ".join(c)) for c, p in want.items() if set(c) <= tokens[r["page_id"]]]
+        fits = [(-p, -len(c), " ".join(c)) for c, p in rules.items() if set(c) <= tokens[r["page_id"]]]
         assert r["mined"] == (min(fits)[2] if fits else None)
         assert r["verdict"] == ({"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}[r["rule"]] if r["rule"] else "block" if fits else "allow")
 
 
+def made_up(r, n, planted):
+    """Urls of tokens at random; a planted combination is blocked nine times in ten, any other url once in four."""
+    rows = []
+    for i in range(n):
+        tokens = {f"s:{r.choice('ab')}", f"h:{r.randint(0, 12)}", f"p:{r.randint(0, 6)}", f"q:{r.randint(0, 9)}"}
+        if planted and i % 8 == 0:
+            tokens |= {"w:cheap", "w:pills"}
+        elif planted and i % 8 in (1, 2, 3, 4):
+            tokens |= {r.choice(["w:cheap", "w:pills"])}
+        both = {"w:cheap", "w:pills"} <= tokens
+        rows.append((i, sorted(tokens), r.random() < (0.9 if both else 0.25)))
+    return rows
+
+
+SCHEMA = "doc_id long, tokens array<string>, block boolean"
+
+
+def test_shuffled_labels_give_no_rule(spark):
+    rows = [(i, t, b) for i, t, b in made_up(random.Random(1), 900, False)]
+    for draw in range(20):
+        blocks = [b for *_, b in rows]
+        random.Random(draw).shuffle(blocks)
+        shuffled = spark.createDataFrame([(i, t, b) for (i, t, _), b in zip(rows, blocks, strict=True)], SCHEMA)
+        assert url_rules.significant_rules(shuffled).isEmpty()
+
+
+def test_planted_rules_are_found(spark):
+    got = url_rules.significant_rules(spark.createDataFrame(made_up(random.Random(2), 2400, True), SCHEMA)).collect()
+    assert ["w:cheap", "w:pills"] in [r["rule_tokens"] for r in got] and all({"w:cheap", "w:pills"} <= set(r["rule_tokens"]) for r in got)
+    judged = {tuple(r["rule_tokens"]): r["confidence"] for r in got}
+    assert 0.8 < judged["w:cheap", "w:pills"] <= 1
+
+
+def test_lower_bound(spark):
+    got = spark.range(1).select(url_rules.lower_bound(F.lit(20), F.lit(20), 0.05), url_rules.lower_bound(F.lit(30), F.lit(100), 0.025)).first()
+    assert abs(got[0] - 0.8808) < 1e-3 and abs(got[1] - 0.2190) < 1e-3
+
+
 def test_tokens(spark):
     rows = [(1, "HTTPS://a.my-shop.com/x/12/y.html?id=3&Q&=4#f?z=1"), (2, None), (3, "no scheme"), (4, "://"), (5, "ftp://h" + "/s" * 40_000)]
     got = {r["page_id"]: r["tokens"] for r in url_rules.split_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
