@@ -17,16 +17,16 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id) for each endpoint of an edge: component_id is the least id reachable.
 
-    Self links and repeated edges do no harm, null endpoints are left out, no edges give no rows. The rounds
-    end when a round changes nothing; their number grows with the logarithm of the graph.
+    Self links and repeated edges do no harm, null endpoints are left out, no edges give no rows. Rounds go on until
+    one changes nothing, however many that takes; their number grows with the logarithm of the graph.
     """
     both = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}")
     now = materialize(both.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if not state["n"] or mark == tuple(state):
             break
