@@ -289,7 +289,8 @@ def packed_sequences(pieces: DataFrame, tokens: DataFrame, id_bytes: int = 2) ->
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, window: int = WINDOW) -> DataFrame:
-    return pack_tokens(token_table(docs, path, end_id, window), window)
+    width = tokenizer(path).dtype.itemsize  # ids of large vocabularies lie in four bytes
+    return pack_tokens(token_table(docs, path, end_id, window), window, id_bytes=width)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
