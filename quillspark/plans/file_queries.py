@@ -278,6 +278,20 @@ def src_dxf_entities(spark, d):
     return out.select(_id("id"), "section", F.coalesce("block", F.lit("")).alias("block"), "space", "type", "layer", F.coalesce("handle", F.lit("")).alias("handle"), F.size("codes").alias("n_codes"))
 
 
+@query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, o_orderstatus AS s, unnest(range(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END)) AS copy FROM orders)
+SELECT id, copy, 'POINT' AS type, v.d AS depth, CASE v.d WHEN 1 THEN s ELSE 'in' END AS layer, CAST(CASE v.d WHEN 1 THEN 2 ELSE 20 END + k % 100 + 7 * copy AS DOUBLE) AS x, CAST(CASE v.d WHEN 1 THEN 9 ELSE 11 END AS DOUBLE) AS y FROM o, (VALUES (1), (2)) v(d)""")
+def src_dxf_drawn(spark, d):
+    """Blocks in blocks, turned and scaled, in rows of copies; a circle of references ends."""
+    blocks = "0\nSECTION\n2\nBLOCKS\n0\nBLOCK\n2\nB1\n10\n0\n20\n0\n0\nPOINT\n8\n0\n10\n1\n20\n2\n0\nINSERT\n8\n0\n2\nb2\n10\n10\n20\n0\n50\n90\n0\nENDBLK\n0\nBLOCK\n2\nB2\n10\n1\n20\n0\n0\nPOINT\n8\nin\n10\n4\n20\n0\n0\nINSERT\n8\n0\n2\nB1\n10\n3\n20\n3\n0\nENDBLK\n0\nENDSEC\n0\nSECTION\n2\nENTITIES\n"
+    key = F.col("o_orderkey")
+    copies = F.when(key % 4 == 0, F.lit("70\n2\n44\n7\n")).otherwise(F.lit(""))
+    insert = F.concat(F.lit("0\nINSERT\n8\n"), "o_orderstatus", F.lit("\n2\nB1\n10\n"), (key % 100).cast("string"), F.lit("\n20\n5\n41\n2\n42\n2\n"), copies)
+    files = _t(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(insert)), "").alias("body"))
+    files = _as_files(files.select("o_custkey", F.concat(F.lit(blocks), "body", F.lit("0\nENDSEC\n0\nEOF\n")).alias("content")), "o_custkey")
+    out = dxf.drawn(dxf.entities(files), dxf.block_bases(files))
+    return out.select(_id("id"), F.col("copy").cast("bigint").alias("copy"), "type", "depth", "layer", F.round(F.col("points")[0]["x"], 6).alias("x"), F.round(F.col("points")[0]["y"], 6).alias("y"))
+
+
 @query("SELECT o_custkey AS id, ['LINE', 'ELLIPSE', 'SPLINE', 'HATCH'][o_orderkey % 4 + 1] AS type, count(*) AS n, min(o_orderkey % 100 + 0.5)::DOUBLE AS x0, max(o_orderkey % 100 + 3)::DOUBLE AS x1, 2.0 AS y1 FROM orders GROUP BY 1, 2")
 def agg_dxf_extents(spark, d):
     return dxf.extents(dxf.entities(_drawings(spark, d)).where("block is null")).select(_id("id"), "type", "n", "x0", "x1", "y1")
