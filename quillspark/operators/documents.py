@@ -228,15 +228,19 @@ def redact(docs: DataFrame, phrases: list[str], mark: str = "#") -> DataFrame:
     return docs.select("doc_id", found.alias("n_found"), masked.alias("redacted")).withColumn("n_left", left).withColumn("proved", F.col("n_left") == 0)
 
 
-#: Phrases of one redaction: all of them go to every task.
-MOST_PHRASES = 10_000
+#: Characters of a phrase by which it is filed; shorter phrases are filed whole.
+_FILED = 3
 
 
 def redaction_boxes(runs: DataFrame, phrases: DataFrame, margin: float = 1.0) -> DataFrame:
-    """Boxes over each occurrence of a phrase in text runs (x, baseline, w, size, text), by estimated widths."""
-    if phrases.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
-        raise ValueError(f"BAD_ARGUMENT: more than {MOST_PHRASES} phrases")
-    hit = runs.join(F.broadcast(phrases), F.expr("instr(text, phrase) > 0"))
+    """Boxes over each occurrence of a phrase in text runs (x, baseline, w, size, text), by estimated widths.
+
+    Phrases, however many, are filed by their first characters, and a run looks up the pieces of that length that it holds.
+    """
+    filed = phrases.where("phrase <> ''").select("phrase", F.substring("phrase", 1, _FILED).alias("_piece")).distinct()
+    piece = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - n + 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+    looked = runs.where("text <> ''").withColumn("_piece", F.explode(F.array_distinct(F.concat(*(piece(n) for n in range(1, _FILED + 1))))))
+    hit = looked.join(filed, "_piece").drop("_piece").where("instr(text, phrase) > 0")
     pieces = hit.withColumn("parts", F.expr("split(text, concat('\\\\Q', phrase, '\\\\E'), -1)"))
     at = pieces.select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
     before = F.expr("array_join(slice(parts, 1, k), phrase)")

@@ -47,11 +47,6 @@ def line_fit(x: Column, y: Column) -> Column:
     return F.struct(F.when(flat, 0.0).otherwise(F.regr_slope(y, x)).alias("slope"), F.when(flat, F.avg(y)).otherwise(F.regr_intercept(y, x)).alias("intercept"))
 
 
-def blend(ml: Column, glyph: Column, alpha: Column) -> Column:
-    """alpha ml + (1 - alpha) glyph, each score missing counting as its floor 0."""
-    return alpha * F.coalesce(ml, F.lit(0.0)) + (1 - alpha) * F.coalesce(glyph, F.lit(0.0))
-
-
 def confidence(score: Column, margin: Column) -> Column:
     return F.when((score >= 0.85) & (margin >= 0.02), "high").when(score >= 0.7, "mid").otherwise("low")
 

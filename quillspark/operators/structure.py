@@ -211,9 +211,3 @@ def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, flo
     """struct(x, y) after the transform [a b c d e f]."""
     a, b, c, d, e, f = map(F.lit, m)
     return F.struct((a * x + c * y + e).alias("x"), (b * x + d * y + f).alias("y"))
-
-
-def capabilities(spark) -> DataFrame:
-    """Which kinds of files are read, checked, edited, filled and written."""
-    rows = [("docx", "read check edit fill write"), ("hwpx", "read"), ("sheet", "read write"), ("mail", "read"), ("web", "read convert"), ("image", "facts strip"), ("pdf", "facts"), ("cad", "read draw"), ("archive", "read write")]
-    return spark.createDataFrame(rows, "kind string, actions string")

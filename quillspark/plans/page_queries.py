@@ -24,9 +24,10 @@ def _pages(spark, d):
 
 
 @query(r"""SELECT page_id, len(h) AS n, array_to_string(list_transform(h, lambda x: substr(x, 3, 1) || ' ' || trim(regexp_replace(x, '<[^>]+>', '', 'g'))), chr(10)) AS text
-FROM (SELECT page_id, list_concat(regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>'), regexp_extract_all(html, '(?is)<h2[^>]*>.*?</h2>')) AS h FROM pages)""")
+FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>') AS h FROM pages)""")
 def snk_page_headings(spark, d):
-    h = F.array_sort(F.filter(M.headings(F.col("html")), lambda x: x["level"] < 3), lambda a, b: a["level"] - b["level"])
+    """Headings of all levels, as they come."""
+    h = M.headings(F.col("html"))
     text = F.array_join(F.transform(h, lambda x: F.concat(x["level"].cast("string"), F.lit(" "), x["text"])), "\n")
     return _pages(spark, d).select("page_id", F.size(h).cast("long").alias("n"), text.alias("text"))
 

@@ -200,11 +200,6 @@ def scl_affine(spark, d):
     return _t(spark, d, "part").select("p_partkey", p["x"].alias("x"), p["y"].alias("y"))
 
 
-@query("""SELECT * FROM (VALUES ('archive', 'read write'), ('cad', 'read draw'), ('docx', 'read check edit fill write'), ('hwpx', 'read'), ('image', 'facts strip'), ('mail', 'read'), ('pdf', 'facts'), ('sheet', 'read write'), ('web', 'read convert')) v(kind, actions)""")
-def res_capabilities(spark, d):
-    return T.capabilities(spark)
-
-
 @query("""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), p AS (SELECT conv_id AS doc_id, count(*) AS pages, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM t GROUP BY 1)
 SELECT doc_id, 'error' AS severity, 'PAGE_COUNT' AS code, pages || ' pages, expected 4' AS message FROM p WHERE pages <> 4
 UNION ALL SELECT doc_id, 'warning', 'TRACKED_CHANGES', 'tracked changes are not settled' FROM p WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'warning', 'COMMENTS', 'comments are left' FROM p WHERE doc_id % 5 = 0

@@ -162,9 +162,11 @@ def agg_visible_layer_boxes(spark, d):
     return G.layer_counts(G.visible(items, layers)).drop("file")
 
 
-@query(f"WITH {_ITEMS} SELECT md5(string_agg(layer, chr(10) ORDER BY -y0, x0, item_no)) AS code FROM i")
+@query(f"WITH {_ITEMS} SELECT CAST(item_no // 100 AS BIGINT) AS sheet, md5(string_agg(layer, chr(10) ORDER BY -y0, x0, item_no)) AS code FROM i GROUP BY 1")
 def snk_sheet_text(spark, d):
-    return G.sheet_text(_items(spark, d)).select(F.md5(F.col("text").cast("binary")).alias("code"))
+    """A sheet for every hundred items."""
+    items = _items(spark, d).withColumn("sheet", F.floor(F.col("item_no") / 100))
+    return G.sheet_text(items).select("sheet", F.md5(F.col("text").cast("binary")).alias("code"))
 
 
 @query("""WITH RECURSIVE l AS (SELECT p_size AS board, p_partkey AS no, p_brand AS function, p_type AS name, CAST(p_partkey % 7 AS VARCHAR) AS file FROM part),

@@ -125,3 +125,11 @@ def test_streams(spark, tmp_path):
     q = ingest.stream_files(spark, str(tmp_path / "files")).select("path", "kind").writeStream.format("memory").queryName("seen_files").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r["kind"] for r in spark.table("seen_files").collect()] == ["web"]
+
+
+def test_many_phrases_are_boxed(spark):
+    text = "ab abc x"
+    runs = spark.createDataFrame([(1, 1, 0.0, 10.0, 80.0, 10.0, text), (2, 1, 0.0, 10.0, 0.0, 10.0, "")], "doc_id long, page long, x double, baseline double, w double, size double, text string")
+    phrases = [(f"zz{i}",) for i in range(12_000)] + [("ab",), ("abc x",), ("x",), ("nothing",), ("",)]
+    got = D.redaction_boxes(runs, spark.createDataFrame(phrases, "phrase string")).groupBy("phrase").count().collect()
+    assert {r["phrase"]: r["count"] for r in got} == {"ab": 2, "abc x": 1, "x": 1}
