@@ -156,19 +156,23 @@ def property_values(instances: DataFrame, found: DataFrame, deepest: int = 3) ->
         references(F.when(F.col("type") == "IFCPROPERTYSET", _arg(4)).otherwise(_arg(5))).alias("members"),
     )
     now = heads.select("file", "set", "prefix", "counts", F.posexplode("members").alias("turn", "id")).select("file", "set", "prefix", "counts", "id", F.array(F.col("turn").cast("bigint")).alias("turns"))
+    # What any depth needs of a property or quantity, read once.
+    kinds = F.col("type").rlike("^IFC(PROPERTY(SINGLE|ENUMERATED|LIST|BOUNDED|REFERENCE)VALUE|COMPLEXPROPERTY|QUANTITY|PHYSICAL)")
+    read = instances.where(kinds).select("file", "id", "type", text_of(_arg(0)).alias("name"), value_of(_arg(2)).alias("high"), value_of(_arg(3)).alias("low"), text_of(_arg(2)).alias("said"), references(_arg(3)).alias("below"))
+    read = tables.written(read.where("name <> ''"), "properties")
     values = None
-    for depth in range(deepest + 1):
-        met = now.join(instances, ["file", "id"]).withColumn("name", text_of(_arg(0))).where("name <> ''").withColumn("key", F.concat("prefix", F.lit("."), "name"))
-        low, high = value_of(_arg(3)), value_of(_arg(2))
+    for _ in range(deepest + 1):
+        met = now.join(read, ["file", "id"]).withColumn("key", F.concat("prefix", F.lit("."), "name"))
+        low, high = F.col("low"), F.col("high")
         value = (
-            F.when(F.col("counts"), F.when(F.col("type") != "IFCPHYSICALCOMPLEXQUANTITY", value_of(_arg(3))))
-            .when(F.col("type").isin("IFCPROPERTYSINGLEVALUE", "IFCPROPERTYENUMERATEDVALUE", "IFCPROPERTYLISTVALUE"), value_of(_arg(2)))
+            F.when(F.col("counts"), F.when(F.col("type") != "IFCPHYSICALCOMPLEXQUANTITY", low))
+            .when(F.col("type").isin("IFCPROPERTYSINGLEVALUE", "IFCPROPERTYENUMERATEDVALUE", "IFCPROPERTYLISTVALUE"), high)
             .when(F.col("type") == "IFCPROPERTYBOUNDEDVALUE", F.when((low != "") & (high != ""), F.concat(low, F.lit(" .. "), high)).otherwise(F.concat(low, high)))
-            .when(F.col("type") == "IFCPROPERTYREFERENCEVALUE", text_of(_arg(2)))
+            .when(F.col("type") == "IFCPROPERTYREFERENCEVALUE", F.col("said"))
         )
         part = met.select("file", "set", "key", value.alias("value"), "turns").where("value <> ''")
         values = part if values is None else values.unionByName(part)
-        nested = met.where("not counts and type = 'IFCCOMPLEXPROPERTY'").select("file", "set", F.col("key").alias("prefix"), "counts", F.posexplode(references(_arg(3))).alias("turn", "member"), "turns")
+        nested = met.where("not counts and type = 'IFCCOMPLEXPROPERTY'").select("file", "set", F.col("key").alias("prefix"), "counts", F.posexplode("below").alias("turn", "member"), "turns")
         now = nested.select("file", "set", "prefix", "counts", F.col("member").alias("id"), F.concat("turns", F.array(F.col("turn").cast("bigint"))).alias("turns"))
     each = sets.join(values, ["file", "set"])
     return each.groupBy("file", "element", "key").agg(F.max_by("value", F.struct("order", "turns")).alias("value"))
