@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import batch_queries, board_queries, building_queries, edit_queries, file_queries, frame_queries, layout_queries, page_queries, structure_queries, table_queries, text_queries
+from .plans import batch_queries, board_queries, building_queries, edit_queries, file_queries, finding_queries, frame_queries, layout_queries, page_queries, structure_queries, table_queries, text_queries
 
-MODULES = (text_queries, table_queries, page_queries, file_queries, structure_queries, batch_queries, edit_queries, board_queries, building_queries, frame_queries, layout_queries)
+MODULES = (text_queries, table_queries, page_queries, file_queries, structure_queries, batch_queries, edit_queries, board_queries, building_queries, frame_queries, layout_queries, finding_queries)
 
 
 def queries() -> dict:

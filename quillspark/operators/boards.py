@@ -82,3 +82,38 @@ def compared(a: DataFrame, b: DataFrame, grid: float) -> DataFrame:
 def schema_warning(schema: Column) -> Column:
     """Null for the schemas that are known (IFC2X3, IFC4 and their variants), else a warning."""
     return F.when(~F.upper(schema).rlike(r"^IFC(2X3|4)"), F.concat(F.lit("read as IFC4, the file says "), schema))
+
+
+# --- file functions ---------------------------------------------------------------------------------------
+
+#: The first field of a file function by what the layer is. Where the side stands, counted from 0, is 2 for copper and components, else 1.
+KINDS = {
+    "copper": ("copper",),
+    "drill": ("plated", "nonplated"),
+    "outline": ("profile",),
+    "mask": ("soldermask",),
+    "silk": ("legend",),
+    "paste": ("paste",),
+    "component": ("component",),
+    "other": ("glue", "carbonmask", "goldmask", "heatsinkmask", "peelablemask", "silvermask", "tinmask", "depthrout", "vcut", "viafill", "pads", "other"),
+    "drawing": ("drillmap", "fabricationdrawing", "vcutmap", "assemblydrawing", "arraydrawing", "otherdrawing"),
+}
+
+
+def layer_facts(function: Column) -> Column:
+    """struct(kind, side, layer_no, plated) of a file function such as Copper,L2,Inr; kind is null where the function is none of the format's.
+
+    Copper without a side is on top as layer 1 and inside else. Holes and outlines are on both sides; other kinds without
+    a side have none.
+    """
+    field = lambda i: F.trim(F.coalesce(F.get(F.split(function, ",", -1), F.lit(i)), F.lit("")))
+    what = F.lower(field(0))
+    kind = F.lit(None).cast("string")
+    for k, names in KINDS.items():
+        kind = F.when(what.isin(*names), k).otherwise(kind)
+    deep = what.isin("copper", "component")
+    said = F.lower(F.when(deep, field(2)).otherwise(field(1)))
+    side = F.when(said.startswith("top"), "top").when(said.startswith("bot"), "bottom").when(said.startswith("inr"), "inner")
+    number = F.coalesce(F.regexp_extract(field(1), r"^[Ll]?\s*([0-9]+)", 1).try_cast("int"), F.lit(0))
+    side = F.when(what == "copper", F.coalesce(side, F.when(number == 1, "top").otherwise("inner"))).when(what.isin("plated", "nonplated", "profile"), "both").when(what != "other", side)
+    return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), side).alias("side"), F.when(deep, number).otherwise(0).alias("layer_no"), F.when(what == "plated", True).when(what == "nonplated", False).alias("plated"))
