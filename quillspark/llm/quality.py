@@ -1,37 +1,40 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-Preference pairs are drawn between learned-from documents of label 1 and label 0. The chance that one is
-preferred is a logistic function of the difference of their scores, and a score is linear in a document's features,
-so the weights minimise logistic loss on feature differences (Newton steps with a ridge). A threshold is then set at
-a quantile of the learned scores: the share of label 0. Scores are squashed so that the threshold stands at CUT.
+Each learned-from document of label 1 is paired with each one of label 0. The chance that one is preferred is a logistic
+function of the difference of their scores, and a score is linear in a document's features, so the weights minimise
+logistic loss over all these pairs (Newton steps with a ridge). A threshold is then set at a quantile of the learned
+scores: the share of label 0. Scores are squashed so that the threshold stands at CUT.
 
 Features are of the whole text, on byte and word level: shares of capitals, signs, digits, letters and white space,
 word and line lengths, repeated neighbours, distinct words and lines, the longest run of one word, the share of words
-that are no prose (repeats, words that end in signs, lone signs, words in capitals). The learning sample is a
-documented bound: at most SAMPLE documents of each label, by hash of their ids, read whole; PAIRS pairs. Sample and
-pairs are in an order of their own and each row is scored by itself, so partitions and batches change no score.
+that are no prose (repeats, words that end in signs, lone signs, words in capitals). All labelled documents are learned
+from, each read whole, and all pairs count without being formed: the sum over pairs depends on scores by smooth functions
+of a difference, so each task gives the documents of a label and a cell of scores of width 1 over to NODES Chebyshev
+points of that cell (an interpolation, exact to some 1e-13), and pairs of points stand for pairs of documents. What a
+round brings to the driver is bounded by the range of scores. The threshold is the exact value of its rank.
+Weights are rounded at DIGITS places and each row is scored by itself, so partitions and batches change no score.
 
 Defined cases: null and empty texts have the features of an empty text and a score from them; ties keep equal scores;
 rows that repeat are scored each, and of rows that repeat a labelled doc_id one is learned from (the least by its
-features); without labels of both kinds every score is 1; an empty table gives an empty result; other columns are not
-read.
+features); labels of documents that are not there count for nothing; without documents of both labels every score is 1;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, crc_of_id, documents, flat_text, rows_of, span_hashes, table, word_spans
+from .common import BYTE_CODES, crc_of_id, discard, documents, flat_text, materialize, rows_of, span_hashes, table, value_at, word_spans
 
-SAMPLE = 4000
-PAIRS = 60_000
 CUT = 0.3
 RIDGE = 1e-3
+NODES = 12
+DIGITS = 6
 _KINDS = 7
 
 
@@ -111,70 +114,196 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ])
 
 
+_POINTS = np.cos((np.arange(NODES) + 0.5) * np.pi / NODES)
+
+
+def _chebyshev(at: np.ndarray) -> np.ndarray:
+    return np.cos(np.arange(NODES) * np.arccos(np.clip(at, -1, 1))[:, None])
+
+
+#: Values of the Chebyshev polynomials to the share of each point.
+_TO_SHARES = _chebyshev(_POINTS).T * np.where(np.arange(NODES) == 0, 1, 2)[:, None] / NODES
+
+#: By label and cell of scores: what its points hold of counts and features, and the sums of products of two features.
+Sums = dict[tuple[int, int], np.ndarray]
+
+
+def cell_sums(quality: np.ndarray, z: np.ndarray, weights: np.ndarray, into: Sums) -> None:
+    """Adds rows of standardised features to the sums of their labels and cells."""
+    raw = z @ weights
+    cell = np.floor(raw)
+    shares = _chebyshev(2 * (raw - cell) - 1) @ _TO_SHARES
+    one = np.column_stack((np.ones(len(z)), z))
+    upper = np.triu_indices(z.shape[1])
+    order = np.lexsort((cell, quality))
+    keys = np.column_stack((quality, cell))[order]
+    ends = [*(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(z)]
+    for start, end in zip([0, *ends[:-1]], ends, strict=True):
+        rows = order[start:end]
+        found = np.concatenate(((shares[rows].T @ one[rows]).ravel(), (z[rows].T @ z[rows])[upper]))
+        key = (int(keys[start, 0]), int(keys[start, 1]))
+        into[key] = into[key] + found if key in into else found
+
+
+def _newton(sums: Sums, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss over all pairs with the ridge, its slope downwards, and its bend as it is when each pair of cells has one."""
+    d = len(weights)
+    upper = np.triu_indices(d)
+    sides = []
+    for q in (1, 0):
+        cells = sorted(c for label, c in sums if label == q)
+        held = [sums[q, c] for c in cells]
+        points = np.concatenate([c + (_POINTS + 1) / 2 for c in cells])
+        nodes = np.concatenate([h[: NODES * (1 + d)].reshape(NODES, 1 + d) for h in held])
+        square = np.zeros((len(cells), d, d))
+        square[:, upper[0], upper[1]] = square[:, upper[1], upper[0]] = [h[NODES * (1 + d) :] for h in held]
+        sides.append((points, nodes[:, 0], nodes[:, 1:], nodes.reshape(len(cells), NODES, 1 + d).sum(1), square))
+    (at, count, x, cells, square), (at0, count0, x0, cells0, square0) = sides
+    pairs = count.sum() * count0.sum()
+    gap = at0 - at[:, None]
+    wrong = np.exp(-np.logaddexp(0, -gap))  # chance of the wrong order
+    loss = count @ np.logaddexp(0, gap) @ count0 / pairs + RIDGE / 2 * weights @ weights
+    slope = (x.T @ (wrong @ count0) - x0.T @ (count @ wrong)) / pairs - RIDGE * weights
+    each = (count[:, None] * (wrong * (1 - wrong)) * count0).reshape(len(cells), NODES, len(cells0), NODES).sum((1, 3))
+    each = np.maximum(each / (cells[:, :1] * cells0[:, 0]), 0)
+    across = cells[:, 1:].T @ each @ cells0[:, 1:]
+    bend = np.tensordot(each @ cells0[:, 0], square, 1) + np.tensordot(cells[:, 0] @ each, square0, 1) - across - across.T
+    return loss, slope, bend / pairs + RIDGE * np.eye(d)
+
+
 class Ranker:
     """Weights of standardised features and the threshold; score(x) in 0..1 with the threshold at CUT."""
 
-    def __init__(self, good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, cut: float = CUT, share: float | None = None):
-        self.cut = cut
-        both = np.concatenate((good, bad))
-        self.ready = len(good) > 0 and len(bad) > 0
+    def __init__(self, good: np.ndarray, bad: np.ndarray, cut: float = CUT):
+        """Learned from rows of features in memory."""
+        self.cut, self.ready = cut, len(good) > 0 and len(bad) > 0
         if not self.ready:
             return
-        self.mean, self.scale = both.mean(0), np.maximum(both.std(0), 1e-6)
-        g, b = (good - self.mean) / self.scale, (bad - self.mean) / self.scale
-        rng = np.random.default_rng(5)
-        diff = g[rng.integers(0, len(g), pairs)] - b[rng.integers(0, len(b), pairs)]
-        w = np.zeros(diff.shape[1])
-        for _ in range(25):
-            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))  # chance of the wrong order
-            slope = diff.T @ p / pairs - RIDGE * w
-            bend = (diff * (p * (1 - p))[:, None]).T @ diff / pairs + RIDGE * np.eye(len(w))
-            step = np.linalg.solve(bend, slope)
-            w += step
-            if np.abs(step).max() < 1e-6:
+        both, quality = np.concatenate((good, bad)), np.repeat((1, 0), (len(good), len(bad)))
+        self.standardise(both.mean(0), both.std(0))
+
+        def sums(weights: np.ndarray) -> Sums:
+            found: Sums = {}
+            cell_sums(quality, self.standard(both), weights, found)
+            return found
+
+        self.fit(sums)
+        raw = np.sort(self.raw(both))
+        self.squash(raw[len(bad) - 1], raw[len(bad)], raw.std())
+
+    def standardise(self, mean: np.ndarray, spread: np.ndarray) -> None:
+        # Rounded, so that the order in which rows were summed does not show.
+        self.mean, self.scale = (np.array([float(f"{v:.9g}") for v in vs]) for vs in (mean, np.maximum(spread, 1e-6)))
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return (x - self.mean) / self.scale
+
+    def fit(self, sums: Callable[[np.ndarray], Sums]) -> None:
+        """Weights of the least loss over all pairs; sums gives the sums of all rows by their scores under weights."""
+        base = weights = step = np.zeros(len(self.mean))
+        before = np.inf
+        while True:
+            loss, slope, bend = _newton(sums(weights), weights)
+            if loss >= before:  # too far: half of the way
+                step = step / 2
+            else:
+                base, before, step = weights, loss, np.linalg.solve(bend, slope)
+            weights = base + step
+            if np.abs(step).max() < 1e-7:
                 break
-        self.weights = w
-        raw_good, raw_bad = g @ w, b @ w
-        # The quantile of all scores below which the share of label 0 lies, each label weighted as it occurs.
-        share = len(bad) / len(both) if share is None else share
-        raw = np.concatenate((raw_good, raw_bad))
-        weight = np.concatenate((np.full(len(raw_good), (1 - share) / len(raw_good)), np.full(len(raw_bad), share / len(raw_bad))))
-        order = np.argsort(raw, kind="stable")
-        at = min(int(np.searchsorted(np.cumsum(weight[order]), share + 1e-9, side="right")), len(raw) - 1)
-        # Between the last score of that share and the next one, so that a gap between the labels is split evenly.
-        self.threshold = float(raw[order][max(at - 1, 0) : at + 1].mean())
-        self.width = max(1e-6, float(np.std(raw)))
+        self.weights = np.round(weights, DIGITS)
+
+    def squash(self, below: float, above: float, width: float) -> None:
+        """The last score of the share of label 0 and the next one (a gap between the labels is split evenly), and the spread of scores."""
+        self.threshold, self.width = float(below + above) / 2, max(1e-6, float(f"{width:.9g}"))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return (self.standard(x) * self.weights).sum(1)  # by row: the same in any batch
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.ready:
             return np.ones(len(x))
-        raw = ((x - self.mean) / self.scale * self.weights).sum(1)  # by row: the same in any batch
-        return 1 / (1 + np.exp(np.clip(-(raw - self.threshold) / self.width + np.log(1 / self.cut - 1), -60, 60)))
+        return 1 / (1 + np.exp(np.clip(-(self.raw(x) - self.threshold) / self.width + np.log(1 / self.cut - 1), -60, 60)))
 
 
 def _feature_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows_of(batches):
         x = features(*flat_text(batch))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-
-
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
-    """A ranker from documents (doc_id, text) and labels (doc_id, quality), at most sample of each label."""
-    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    share = counts.get(0, 0) / max(1, sum(counts.values()))
-    ranked = known.select("doc_id", "quality", F.xxhash64("doc_id").alias("h"))
-    chosen = None
-    for q in (0, 1):
-        own = ranked.where(F.col("quality") == q).orderBy("h", "doc_id").limit(sample)
-        chosen = own if chosen is None else chosen.union(own)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id", "quality")), "doc_id")
-    found = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text").mapInArrow(_feature_pass, "doc_id long, quality int, x array<double>")
-    rows = found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: (r["quality"], r["doc_id"]))
-    width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
-    part = {q: np.array([r["x"] for r in rows if r["quality"] == q]).reshape(-1, width) for q in (0, 1)}
-    return Ranker(part[1], part[0], share=share)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _sum_rows(sums: Sums) -> pa.RecordBatch:
+    keys = list(sums)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.list_(pa.float64()))], names=["quality", "cell", "sums"])
+
+
+_SUM_SCHEMA = "quality int, cell long, sums array<double>"
+
+
+def _sum_pass(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranker, weights = model.value
+        found: Sums = {}
+        for batch in batches:
+            if batch.num_rows:
+                cell_sums(batch.column("quality").to_numpy(), ranker.standard(_matrix(batch)), weights, found)
+        yield _sum_rows(found)
+
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: Sums = {}
+    for batch in batches:
+        for q, c, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            v = v.values.to_numpy()
+            found[q, c] = found[q, c] + v if (q, c) in found else v.copy()
+    yield _sum_rows(found)
+
+
+def _raw_pass(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(model.value.raw(_matrix(batch)))], names=["raw"])
+
+    return run
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Ranker:
+    """A ranker from all documents (doc_id, text) that labels (doc_id, quality) mark."""
+    spark = docs.sparkSession
+    known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Features take the place of texts before anything is shuffled.
+    found = texts.mapInArrow(_feature_pass, "doc_id long, x array<double>").join(known, "doc_id")
+    rows = materialize(found.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).select("quality", "x"), "features")
+    counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
+    ranker = Ranker(np.zeros((0, 0)), np.zeros((0, 0)))
+    ranker.ready = len(counts) == 2
+    if ranker.ready:
+        width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
+        each = [F.col("x")[i] for i in range(width)]
+        spread = rows.agg(*map(F.avg, each), *map(F.stddev_pop, each)).first()
+        ranker.standardise(np.array(spread[:width]), np.array(spread[width:]))
+
+        def sums(weights: np.ndarray) -> Sums:
+            model = spark.sparkContext.broadcast((ranker, weights))
+            parts = rows.mapInArrow(_sum_pass(model), _SUM_SCHEMA).repartition("quality", "cell").mapInArrow(_add_up, _SUM_SCHEMA)
+            got = {(r["quality"], r["cell"]): np.array(r["sums"]) for r in parts.collect()}
+            model.destroy()
+            return got
+
+        ranker.fit(sums)
+        raw = materialize(rows.mapInArrow(_raw_pass(spark.sparkContext.broadcast(ranker)), "raw double"), "raw")
+        ranker.squash(value_at(raw, counts[0] - 1), value_at(raw, counts[0]), raw.agg(F.stddev_pop("raw")).first()[0])
+        discard(raw)
+    discard(rows)
+    return ranker
 
 
 def _score_pass(model):
@@ -202,7 +331,7 @@ def _held_out(df: DataFrame):
 
 def learned_from(spark, docs: DataFrame, sf_dir: str) -> Ranker:
     labels = table(spark, sf_dir, "labels")
-    return learn(docs, labels.where(~_held_out(labels)))
+    return learn(docs.where(~_held_out(docs)), labels.where(~_held_out(labels)))
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
