@@ -1,14 +1,16 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates, in DataFrame operations only.
 
 Lines are sparse vectors of word n-grams (one and two words). Multinomial logistic regression learns the licence
-families from PHRASES and their fragments, and class none from a bounded sample of lines of all documents. Every line of
-every document is scored, by Spark's own transformers in the JVM; a line that speaks for a family, or holds a wording of
+families from PHRASES and their fragments, and class none from all lines of all documents that hold no wording of licences:
+lines of equal vectors are learned as one row that weighs what they do, and all of them weigh ORDINARY_WEIGHT at most together,
+so that they do not drown the families. Every line of every document is scored, by Spark's own transformers in the JVM; a line that speaks for a family, or holds a wording of
 licences in general (ANCHORS), is judged. Licences next to the known ones (other versions, Lesser, Affero, ShareAlike and
 so on, and licences of other names) are a class of their own, learned from NEIGHBOURS and half of the lines that OTHER_NAMES
 and WRAPPERS generate; what falls there is unknown. The class unknown is calibrated: the least confidence at which a family
 is accepted is set so that at most FALSE_SHARE of lines that are not learned from and fit no template would pass, namely the
-other half of the generated ones, OTHERS, and judged lines of the corpus; with fewer than LEAST_LINES of them the floor is
-not called calibrated and learning fails. A family is accepted only where its MARKS hold, what sets it apart from its
+other half of the generated ones, OTHERS, and all judged lines of the corpus with a wording of licences (the rest are learned
+from), and so that no greater share of those that are not of the corpus would, however many the corpus has; with fewer than
+LEAST_LINES lines the floor is not called calibrated and learning fails. A family is accepted only where its MARKS hold, what sets it apart from its
 neighbours: the name, the version, NC without SA, no Lesser. A prediction is confirmed when, besides, enough of the words
 of one of the family's templates stand in the text.
 
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, materialize
+from .common import discard, documents, materialize, value_at
 
 #: Labelled paragraphs of each family (fixed values): the learning set and the templates.
 PHRASES = {
@@ -124,7 +126,8 @@ OTHERS = [
     "Mozilla Public License", "BSD license", "ISC License", "Boost Software License", "This file is in the public domain.",
     "the licence fee of a television set", "a driving licence from the city", "She renewed her fishing license.", "the copyright of a song",
 ]
-SAMPLE_LINES = 1500
+#: What all ordinary lines weigh together in learning, at most (a line by itself weighs one).
+ORDINARY_WEIGHT = 1500
 FALSE_SHARE = 0.01
 FLOOR = 0.5
 CONFIRM = 0.6
@@ -174,14 +177,9 @@ def fragments() -> list[tuple[str, str]]:
     return sorted((min(fs), line) for line, fs in found.items() if len(fs) == 1)
 
 
-def _least(lines: DataFrame, n: int) -> DataFrame:
-    """(line, h) of at most n lines, by the least hashes of document and line number."""
-    return lines.select("line", F.xxhash64("doc_id", "line_no", "line").alias("h")).orderBy("h", "line").limit(n)
-
-
-def ordinary_lines(docs: DataFrame, n: int = SAMPLE_LINES) -> DataFrame:
-    """A bounded sample of lines (line, h) without an anchor, of all lines of all documents."""
-    return _least(_lines(docs).where((F.length("line") > 0) & ~_holds_anchor(F.col("line"))), n)
+def ordinary_lines(docs: DataFrame) -> DataFrame:
+    """The lines (line) without an anchor of all documents."""
+    return _lines(docs).where((F.length("line") > 0) & ~_holds_anchor(F.col("line"))).select("line")
 
 
 def marked(family: Column, line: Column) -> Column:
@@ -228,15 +226,13 @@ class Classifier:
         return (F.col("confidence") > self.floor) & ~F.col("none") & ~F.col("other") & marked(F.col("family"), F.col("line"))
 
 
-def train(docs: DataFrame) -> tuple[Classifier, DataFrame]:
-    """A classifier from PHRASES and at most SAMPLE_LINES ordinary lines, not yet calibrated, and these lines."""
+def train(docs: DataFrame) -> Classifier:
+    """A classifier from PHRASES and all ordinary lines, not yet calibrated."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer
 
     spark = docs.sparkSession
-    sample = materialize(ordinary_lines(docs), "lines")
     phrases = _with_grams(_phrase_rows(spark))
-    plain = _with_grams(sample.select(F.lit(_NONE).alias("family"), "line"))
     # Each phrase as often as keeps the families from drowning in ordinary lines.
     lifted = phrases.withColumn("times", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("times")
     others, ordinary = generated(True)
@@ -246,40 +242,49 @@ def train(docs: DataFrame) -> tuple[Classifier, DataFrame]:
     named = [(f, w.format(n)) for f, names in FAMILY_NAMES.items() for n in names for w in WRAPPERS for _ in range(3)]
     near = _with_grams(spark.createDataFrame([*named] + [(_OTHER, x) for x in NEIGHBOURS for _ in range(10)] + [(_OTHER, x) for x in others] + [(_NONE, x) for x in ordinary], "family string, line string"))
     parts = _with_grams(spark.createDataFrame(own, "family string, line string"))
-    rows = lifted.unionByName(parts).unionByName(plain).unionByName(near)
     vocabulary = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=1.0, vocabSize=4096).fit(phrases.unionByName(near))
+    # The vocabulary has the words of licences only, so vectors of ordinary lines are short and often equal.
+    plain = materialize(vocabulary.transform(_with_grams(ordinary_lines(docs))).groupBy("features").agg(F.count("*").alias("lines")), "plain")
+    each = min(1.0, ORDINARY_WEIGHT / (plain.agg(F.sum("lines")).first()[0] or 1))
     families = sorted([*PHRASES, _NONE, _OTHER])
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     # A corpus without a line still has the class none, by an empty line.
     empty = _with_grams(spark.createDataFrame([(_NONE, " ")], "family string, line string"))
-    train = vocabulary.transform(rows.unionByName(empty)).select("features", label.cast("double").alias("label"))
-    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=100, standardization=False).fit(train)
-    made = Classifier(vocabulary, model, families, FLOOR)
-    return made, sample
-
-
-def calibrate(made: Classifier, judged: DataFrame, sample: DataFrame) -> Classifier:
-    """Sets the floor by judged lines of the corpus (SAMPLE_LINES at most) and OTHERS that fit no family's templates and are not learned from."""
-    judged = materialize(_least(judged, 8 * SAMPLE_LINES), "held")
-    strange = judged.select("h", "line", F.explode(F.array(words_of(F.col("line")))).alias("words")).where(F.greatest(*map(_overlap, PHRASES)) < CONFIRM)
-    strange = strange.join(F.broadcast(sample.select("line")), "line", "left_anti").orderBy("h", "line").limit(SAMPLE_LINES)
-    made_up = [(x,) for xs in ([*OTHERS], *generated(False)) for x in xs]
-    held = materialize(strange.select("line").union(judged.sparkSession.createDataFrame(made_up, "line string")), "strange")
+    rows = vocabulary.transform(lifted.unionByName(parts).unionByName(near).unionByName(empty)).select("family", "features", F.lit(1.0).alias("weight"))
+    rows = rows.unionByName(plain.select(F.lit(_NONE).alias("family"), "features", (F.col("lines") * each).alias("weight")))
+    train = rows.select("features", label.cast("double").alias("label"), "weight")
+    model = LogisticRegression(family="multinomial", regParam=0.001, maxIter=100, standardization=False, weightCol="weight").fit(train)
+    discard(plain)
+    return Classifier(vocabulary, model, families, FLOOR)
+
+
+def calibrate(made: Classifier, judged: DataFrame) -> Classifier:
+    """Sets the floor by all judged lines of the corpus and OTHERS that fit no family's templates and are not learned from."""
+    # Lines without an anchor are learned from.
+    worded = judged.where(_holds_anchor(F.col("line"))).select("line", F.explode(F.array(words_of(F.col("line")))).alias("words"))
+    strange = worded.where(F.greatest(*map(_overlap, PHRASES)) < CONFIRM).select("line", F.lit(False).alias("made_up"))
+    made_up = [(x, True) for xs in ([*OTHERS], *generated(False)) for x in xs]
+    lines = strange.union(judged.sparkSession.createDataFrame(made_up, "line string, made_up boolean"))
+    held = materialize(made.with_scores(lines).select("made_up", "confidence", (~F.col("none") & ~F.col("other")).alias("passed")), "held")
     made.calibrated_on = held.count()
     if made.calibrated_on < LEAST_LINES:
         raise ValueError(f"only {made.calibrated_on} lines to calibrate on, {LEAST_LINES} are needed")
-    passed = made.with_scores(held).where("not none and not other")
-    # Of all held-out lines, those that none and other do not take, from the surest on: a share of FALSE_SHARE may pass.
-    top = [r["confidence"] for r in passed.orderBy(F.desc("confidence")).limit(int(FALSE_SHARE * made.calibrated_on) + 1).collect()]
-    made.floor = max(FLOOR, top[-1] if len(top) > FALSE_SHARE * made.calibrated_on else 0.0)
-    made.false_share = sum(c > made.floor for c in top) / made.calibrated_on
+    # Of held-out lines, those that none and other do not take, from the surest on: a share of FALSE_SHARE may pass.
+    made.floor = FLOOR
+    for lines, n in ((held, made.calibrated_on), (held.where("made_up"), len(made_up))):
+        passed = lines.where("passed").select("confidence")
+        after = passed.count() - 1 - int(FALSE_SHARE * n)
+        if after >= 0:
+            made.floor = max(made.floor, value_at(passed, after))
+    made.false_share = held.where(F.col("passed") & (F.col("confidence") > made.floor)).count() / made.calibrated_on
+    discard(held)
     return made
 
 
 def learn(docs: DataFrame) -> Classifier:
     """A trained and calibrated classifier."""
-    made, sample = train(docs)
-    return calibrate(made, materialize(_judged_lines(docs, made), "judged"), sample)
+    made = train(docs)
+    return calibrate(made, materialize(_judged_lines(docs, made), "judged"))
 
 
 def _judged_lines(docs: DataFrame, model: Classifier) -> DataFrame:
@@ -304,11 +309,11 @@ def scan(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
 
 def scan_paragraphs(docs: DataFrame, classifier: Classifier | None = None) -> DataFrame:
     """doc_id, line_no (of the first line), n_lines, family (or unknown), confidence, template_overlap, confirmed of each licence paragraph."""
-    model, sample = (classifier, None) if classifier else train(docs)
+    model = classifier or train(docs)
     # Every line is scored once: what is judged does not depend on the floor.
     found = materialize(_judged_lines(docs, model), "judged")
-    if sample is not None:
-        calibrate(model, found, sample)
+    if classifier is None:
+        calibrate(model, found)
     lines = found.select("doc_id", "row", "line_no", "line", F.when(model.sure(), F.col("family")).alias("own"))
     along = Window.partitionBy("row").orderBy("line_no")
     run = lines.withColumn("_gap", F.coalesce((F.col("line_no") - F.lag("line_no").over(along) > 1).cast("int"), F.lit(1)))
