@@ -143,7 +143,7 @@ SELECT box_id, count(*) AS n, CAST(sum(item_no) AS BIGINT) AS total FROM b, i WH
 def flt_items_in_boxes(spark, d):
     x, y = (F.col("c_custkey") % 90).cast("double"), (F.col("c_custkey") * 3 % 90).cast("double")
     boxes = _t(spark, d, "customer").select(F.col("c_custkey").alias("box_id"), F.lit("f").alias("file"), F.lit(1).alias("sheet"), x.alias("bx0"), y.alias("by0"), (x + 3).alias("bx1"), (y + 2).alias("by1"))
-    return G.in_boxes(_items(spark, d), boxes, 4.0).groupBy("box_id").agg(F.count("*").alias("n"), F.sum("item_no").alias("total"))
+    return G.counted_in_boxes(_items(spark, d), boxes, 4.0)
 
 
 @query(f"""WITH {_ITEMS}, p AS (SELECT c_custkey AS point_id, CAST(c_custkey % 97 AS DOUBLE) AS px, CAST(c_custkey * 5 % 97 AS DOUBLE) AS py FROM customer),
