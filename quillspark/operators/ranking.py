@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -122,24 +126,44 @@ def paired_layers(a: DataFrame, b: DataFrame, board: str = "board") -> DataFrame
     """board, a_no, b_no, by: the layers (board, layer_no, function, name, file) of two versions of each board in pairs; leftovers stand alone.
 
     In the order of A, each layer takes the first of B that is left with its function, else with its name, else with its
-    file. Boards are dealt out; a board's layers are a bounded list, folded in one row.
+    file. Boards are dealt out. What a layer finds depends on all before it, so a task goes through a board's layers in
+    order; each of B waits in three queues, by function, name and file, and is passed over once in each when it is taken.
     """
-    layer = F.struct("layer_no", "function", "name", "file")
-    lists = lambda df, c: df.groupBy(F.col(board).alias("board")).agg(F.array_sort(F.collect_list(layer)).alias(c))
-    kind = a.schema["layer_no"].dataType.simpleString()
-    both = lists(a, "a").join(lists(b, "b"), "board", "full")
-    none = lambda c: F.coalesce(c, F.array().cast(f"array<struct<layer_no:{kind},function:string,name:string,file:string>>"))
-    start = F.array().cast(f"array<struct<a_no:{kind},b_no:{kind},by:string>>")
-
-    def step(pairs, one):
-        left = F.filter(none(F.col("b")), lambda x: ~F.exists(pairs, lambda p: p["b_no"].eqNullSafe(x["layer_no"])))
-        first = [F.struct(F.get(F.filter(left, lambda x: x[k] == one[k]), F.lit(0))["layer_no"].alias("no"), F.lit(k).alias("by")) for k in ("function", "name", "file")]  # noqa: B023
-        found = F.get(F.filter(F.array(*first), lambda f: f["no"].isNotNull()), F.lit(0))
-        return F.concat(pairs, F.array(F.struct(one["layer_no"].alias("a_no"), found["no"].alias("b_no"), F.coalesce(found["by"], F.lit("only_a")).alias("by"))))
-
-    paired = both.withColumn("pairs", F.aggregate(none(F.col("a")), start, step))
-    alone = F.transform(F.filter(none(F.col("b")), lambda x: ~F.exists("pairs", lambda p: p["b_no"].eqNullSafe(x["layer_no"]))), lambda x: F.struct(F.lit(None).cast(kind).alias("a_no"), x["layer_no"].alias("b_no"), F.lit("only_b").alias("by")))
-    return paired.select(F.col("board").alias(board), F.explode(F.concat("pairs", alone)).alias("p")).select(board, "p.*")
+    kinds, names = ("function", "name", "file"), ["layer_no", "function", "name", "file"]
+    key, kind = (df.schema[c].dataType for df, c in ((a, board), (a, "layer_no")))
+    schema = StructType([StructField(board, key), StructField("a_no", kind), StructField("b_no", kind), StructField("by", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def pair(group: pa.Table) -> pa.Table:
+        sides = []
+        for side in (0, 1):
+            own = group.filter(pc.equal(group["_side"], side))
+            rows = zip(*(own[c].to_pylist() for c in names), strict=True)
+            sides.append(sorted(rows, key=lambda r: [(v is not None, v) for v in r]))
+        at = group[board][0].as_py()
+        queues, taken = {k: {} for k in kinds}, set()
+        for row in reversed(sides[1]):  # so that the first is the last of its list, where it is taken from
+            for k, v in zip(kinds, row[1:], strict=True):
+                if v is not None and row[0] is not None and at is not None:
+                    queues[k].setdefault(v, []).append(row[0])
+        out = []
+        for no, *said in sides[0]:
+            for k, v in zip(kinds, said, strict=True):
+                waiting = queues[k].get(v, [])
+                while waiting and waiting[-1] in taken:
+                    waiting.pop()
+                if waiting:
+                    taken.add(waiting[-1])
+                    out.append((no, waiting.pop(), k))
+                    break
+            else:
+                out.append((no, None, "only_a"))
+        out += [(None, row[0], "only_b") for row in sides[1] if row[0] not in taken]
+        columns = [[at] * len(out), *([r[i] for r in out] for i in range(3))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    own = lambda df, side: df.select(board, *names, F.lit(side).alias("_side"))
+    return own(a, 0).unionByName(own(b, 1)).groupBy(board).applyInArrow(pair, schema)
 
 
 def sheet_json(rows: DataFrame, header: list[str]) -> DataFrame:

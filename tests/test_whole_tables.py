@@ -92,3 +92,24 @@ def test_boxes_and_items_of_all_sizes(spark):
     got = [(r["box_id"], r["item_no"]) for r in G.in_boxes(a, b, 2.0).collect()]
     want = {(j, i) for j, bx0, by0, bx1, by1 in boxes for i, x0, y0, x1, y1 in items if x0 <= bx1 and x1 >= bx0 and y0 <= by1 and y1 >= by0}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_layer_pairs_of_a_board_with_many_layers(spark):
+    """As by going through A and looking for the first of B that is left; thousands of layers of a board take seconds."""
+    import random
+    import time
+
+    draw = random.Random(4)
+    layer = lambda i, n: (7, i, f"f{draw.randrange(n)}" if draw.random() < 0.9 else None, f"n{draw.randrange(n)}", f"x{draw.randrange(3)}")
+    schema = "board long, layer_no long, function string, name string, file string"
+    a, b = ([layer(i, 40) for i in draw.sample(range(500), 200)] for _ in range(2))
+    want, used = set(), set()
+    for _, no, *said in sorted(a):
+        hit = next(((y[1], k) for j, k in enumerate(("function", "name", "file")) for y in sorted(b) if said[j] is not None and y[2 + j] == said[j] and y[1] not in used), None)
+        used |= {hit[0]} if hit else set()
+        want.add((7, no, *(hit or (None, "only_a"))))
+    want |= {(7, None, y[1], "only_b") for y in b if y[1] not in used}
+    assert {tuple(r) for r in R.paired_layers(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()} == want
+    many = spark.createDataFrame([layer(i, 400) for i in range(4000)], schema)
+    began = time.monotonic()
+    assert R.paired_layers(many, many).where("b_no is not null").count() == 4000 and time.monotonic() - began < 30
