@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..sources import tables
 
 
 #: Queries of one block, which a task holds at a time.
@@ -23,6 +25,84 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, block: int = QUERY_BLO
     return vectors.crossJoin(blocks).select("query_id", "vec_id", "label", X.dot(F.col("embedding"), F.col("query")).alias("sim"))
 
 
+#: Vectors and queries that a task holds at a time, and by how much a fast product may be off before it is summed again in order.
+VECTOR_CHUNK, SEARCH_BLOCK, SLACK = 16_384, 512, 1e-6
+
+
+def _chunks(vectors: DataFrame, rows: int, tag: str) -> DataFrame:
+    """ids, labels, n, flat: vectors (vec_id, label, embedding) by the chunk, written; those without an embedding are left out."""
+    ids, labels = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+    schema = f"ids array<{ids}>, labels array<{labels}>, flat array<float>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def pack(batches):
+        kept, n = [], 0
+
+        def chunk(table):
+            flat = pc.list_flatten(table["embedding"]).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((table["vec_id"].to_pylist(), table["label"].to_pylist(), flat.to_numpy(zero_copy_only=False)), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            kept.append(batch)
+            n += batch.num_rows
+            while n >= rows:
+                table = pa.Table.from_batches(kept)
+                yield chunk(table[:rows])
+                kept, n = table[rows:].to_batches(), n - rows
+        if n:
+            yield chunk(pa.Table.from_batches(kept))
+
+    return tables.written(vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInArrow(pack, schema), tag)
+
+
+def best_vectors(vectors: DataFrame, queries: DataFrame, k: int, by_label: bool = False, chunk: int = VECTOR_CHUNK, block: int = SEARCH_BLOCK) -> DataFrame:
+    """query_id, vec_id, label, sim: of all vectors (vec_id, label, embedding) the k best of each query (query_id, query), of each label if asked.
+
+    All pairs are looked at, a chunk of vectors by a block of queries at a time, as products of matrices. These find who
+    may be among the best; their sims are then summed in the order of the elements, so that equal vectors tie exactly and
+    the smaller vec_id wins. Only the best of a chunk leave their task.
+    """
+    asked = _chunks(queries.select(F.col("query_id").alias("vec_id"), F.lit(0).alias("label"), F.col("query").alias("embedding")).coalesce(max(1, -(-queries.count() // block))), block, "queries")
+    mine = _chunks(vectors, chunk, "vectors").withColumnRenamed("flat", "own")
+    ids, labels = (vectors.schema[c].dataType.simpleString() for c in ("vec_id", "label"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {ids}, label {labels}, sim double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def search(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                vec, label, asks = (batch.column(c)[i].values for c in ("ids", "labels", "asks"))
+                own, other = (batch.column(c)[i].values.to_numpy().reshape(n, -1).astype(float) for c, n in (("own", len(vec)), ("flat", len(asks))))
+                group = np.zeros(len(vec), dtype=np.int64) if not by_label else label.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                order = np.argsort(group, kind="stable")
+                group, own, number = group[order], own[order], vec.to_numpy()[order]
+                sims = own @ other.T
+                slack = SLACK * max(1.0, np.sqrt((own * own).sum(1).max() * (other * other).sum(1).max()))
+                begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+                ends = np.r_[begins[1:], len(group)]
+                rows, cols = [], []
+                for a, b in zip(begins, ends, strict=True):
+                    part = sims[a:b]
+                    least = np.partition(part, b - a - k, axis=0)[b - a - k] if b - a > k else np.full(len(asks), -np.inf)
+                    r, c = np.nonzero(part >= least - slack)
+                    rows.append(r + a)
+                    cols.append(c)
+                r, c = np.concatenate(rows), np.concatenate(cols)
+                exact = np.zeros(len(r))
+                for j in range(own.shape[1]):
+                    exact += own[r, j] * other[c, j]
+                best = np.lexsort((number[r], -exact, group[r], c))
+                r, c, exact = r[best], c[best], exact[best]
+                begin = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (group[r][1:] != group[r][:-1])])
+                place = np.arange(len(r)) - np.repeat(begin, np.diff(np.r_[begin, len(r)]))
+                r, c, exact = r[place < k], c[place < k], exact[place < k]
+                at = pa.array(order[r])
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(c)), vec.take(at), label.take(at), pa.array(exact)], schema=arrow)
+
+    pairs = mine.crossJoin(asked.select(F.col("ids").alias("asks"), "flat").hint("shuffle_replicate_nl"))
+    return pairs.mapInArrow(search, schema)
+
+
 def best_by_family(scores: DataFrame, family: str = "label") -> DataFrame:
     """The best member of each family for each query, ties to the smaller id."""
     best = F.max_by(F.struct("vec_id", "sim"), F.struct("sim", (-F.col("vec_id")).alias("o")))

@@ -25,10 +25,10 @@ def _t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _scores(spark, d):
+def _best(spark, d, k, by_label=False):
     v = _t(spark, d, "embeddings")
     queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return R.cosine_scores(v, queries)
+    return R.best_vectors(v, queries, k, by_label)
 
 
 _SIM = """s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, list_sum(list_transform(range(1, 65), lambda i: CAST(v.embedding[i] AS DOUBLE) * q.embedding[i])) AS sim
@@ -37,12 +37,12 @@ FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)"""
 
 @query(f"WITH {_SIM} SELECT query_id, vec_id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS rank FROM s) WHERE rank <= 10")
 def srt_cosine_topk(spark, d):
-    return R.top_k(_scores(spark, d), 10).select("query_id", "vec_id", F.round("sim", 6).alias("sim"), "rank")
+    return R.top_k(_best(spark, d, 10), 10).select("query_id", "vec_id", F.round("sim", 6).alias("sim"), "rank")
 
 
 @query(f"WITH {_SIM} SELECT query_id, label, vec_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY sim DESC, vec_id) AS n FROM s) WHERE n = 1")
 def agg_family_best(spark, d):
-    return R.best_by_family(_scores(spark, d)).withColumn("sim", F.round("sim", 6))
+    return R.best_by_family(_best(spark, d, 1, True)).withColumn("sim", F.round("sim", 6))
 
 
 @query("""WITH p AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings), m AS (SELECT label, i, avg(CAST(v AS DOUBLE)) AS v FROM p GROUP BY ALL), n AS (SELECT label, sqrt(sum(v * v)) AS n FROM m GROUP BY 1)

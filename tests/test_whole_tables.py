@@ -113,3 +113,19 @@ def test_layer_pairs_of_a_board_with_many_layers(spark):
     many = spark.createDataFrame([layer(i, 400) for i in range(4000)], schema)
     began = time.monotonic()
     assert R.paired_layers(many, many).where("b_no is not null").count() == 4000 and time.monotonic() - began < 30
+
+
+def test_best_vectors_by_chunks_are_as_of_all_scores(spark):
+    """Copies that tie, a label of null, chunks and blocks that cut anywhere: as by scoring all pairs one by one."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 8)).astype(np.float32)
+    rows = [(i, None if i % 5 == 0 else i % 3, [float(x) for x in base[i % 40 if i < 90 else i % 2]]) for i in rng.permutation(130).tolist()]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    q = v.where("vec_id % 4 = 0").selectExpr("vec_id as query_id", "embedding as query")
+    scores = R.cosine_scores(v, q)
+    for chunk, block in ((7, 5), (1000, 1000)):
+        got = R.best_vectors(v, q, 6, chunk=chunk, block=block)
+        assert {tuple(r) for r in R.top_k(got, 6).collect()} == {tuple(r) for r in R.top_k(scores, 6).collect()}
+        got = R.best_vectors(v, q, 1, True, chunk=chunk, block=block)
+        assert {tuple(r) for r in R.best_by_family(got).collect()} == {tuple(r) for r in R.best_by_family(scores).collect()}
+    assert got.count() < scores.count() / 4
